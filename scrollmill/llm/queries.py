@@ -4,15 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ._store import new_path
+from .bpe import round_trip
+from .chat import read_back, segments
+from .decontaminate import find_contamination
 from .ngram_join import ngram_components
+from .sharding import document_shards
+from .token_counts import count_tokens
 
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def _read(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a cache of its own, so that every run encodes every distinct text."""
+    return count_tokens(_read(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), new_path(spark, "token-counts"))
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_shards(_read(spark, sf_dir))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4, num=85, den=100)
+    return ngram_components(_read(spark, sf_dir), k=4, num=85, den=100)
 
 
 OP3_SQL = rf"""
@@ -30,5 +50,58 @@ WITH RECURSIVE w AS (
 SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, least(s.doc_id, coalesce(c.b, s.doc_id)) AS component_id FROM s LEFT JOIN c ON c.a = s.doc_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_ngram_jaccard": op3_ngram_jaccard}
-ORACLES: dict[str, str] = {"op3_ngram_jaccard": OP3_SQL}
+
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_read(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(_read(spark, sf_dir), _read(spark, sf_dir, "benchmark")).drop("spans")
+
+
+OP9_SQL = rf"""
+WITH i AS (SELECT item_id, regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE item_id IS NOT NULL
+), q AS (
+  SELECT DISTINCT item_id, least(len(ws), 13) AS m, unnest(list_transform(range(1, len(ws) - least(len(ws), 13) + 2), lambda k: ws[k:k + least(len(ws), 13) - 1])) AS x
+  FROM i WHERE len(ws) > 0
+), d AS (SELECT doc_id, regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), v AS (SELECT doc_id, m, unnest(range(1, len(ws) - m + 2)) AS k, ws FROM d, (SELECT DISTINCT m FROM q) WHERE len(ws) >= m
+), o AS (SELECT v.doc_id, v.k, v.m, q.item_id FROM v JOIN q ON q.m = v.m AND q.x = v.ws[v.k:v.k + v.m - 1]
+), h AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(k, k + m)) AS k FROM o) GROUP BY doc_id
+), t AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS sha FROM (SELECT DISTINCT doc_id, item_id FROM o) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(sha, sha256('')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.ws) AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+"""
+
+OP10_OWN = "</s>[INST] ok [/INST]"
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-7, 0, "user", OP10_OWN), (-7, 1, "assistant", OP10_OWN)], "conv_id long, turn long, role string, text string")
+    return read_back(segments(turns.unionByName(own))).drop("in_order")
+
+
+OP10_SQL = rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{OP10_OWN}' UNION ALL SELECT -7, 1, 'assistant', '{OP10_OWN}'
+), e AS (SELECT *, regexp_replace(regexp_replace(replace(role || text, '\', '\\'), '<(s>|/s>)', '\\l\1', 'g'), '\[(INST\]|/INST\])', '\\b\1', 'g') AS x FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256, sum(length(x) + 20)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
+    "op2_sharding": op2_sharding,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op9_decontamination": op9_decontamination,
+    "op10_chat_format": op10_chat_format,
+}
+ORACLES: dict[str, str] = {"op3_ngram_jaccard": OP3_SQL, "op9_decontamination": OP9_SQL, "op10_chat_format": OP10_SQL}
