@@ -60,14 +60,13 @@ class Encoder:
             self._json(path)
 
     def _json(self, path: str) -> None:
-        import tokenizers
-
-        whole = tokenizers.Tokenizer.from_file(path)
-        whole.no_truncation(), whole.no_padding()
         spec = json.loads(Path(path).read_text())
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         special = re.compile("|".join(map(re.escape, self.added)) or "(?!)")
-        slow = lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
+
+        def slow(text: str) -> np.ndarray:
+            return np.array(self._whole.encode(text, add_special_tokens=False).ids, np.uint32)
+
         self.encode = slow
         split = spec.get("pre_tokenizer") or {}
         self.byte_level = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and not spec.get("normalizer")
@@ -89,12 +88,31 @@ class Encoder:
             return np.array(quick.encode_ordinary(text), np.uint32)
 
         self.encode, self.special = encode, special
-        self.split = whole.pre_tokenizer.pre_tokenize_str
-        unsplit = tokenizers.Tokenizer.from_file(path)
+
+    @functools.cached_property
+    def _whole(self):
+        import tokenizers
+
+        whole = tokenizers.Tokenizer.from_file(self.path)
+        whole.no_truncation(), whole.no_padding()
+        return whole
+
+    @functools.cached_property
+    def _unsplit(self):
+        import tokenizers
+
+        unsplit = tokenizers.Tokenizer.from_file(self.path)
         unsplit.pre_tokenizer = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         unsplit.encode_special_tokens = True
-        #: Merges only: the text is one word, whatever it holds.
-        self.merge = lambda text: np.array(unsplit.encode(text, add_special_tokens=False).ids, np.uint32)
+        return unsplit
+
+    def split(self, text: str) -> list:
+        """Words of a text, as the tokenizer splits it, with their places."""
+        return self._whole.pre_tokenizer.pre_tokenize_str(text)
+
+    def merge(self, text: str) -> np.ndarray:
+        """Merges only: the text is one word, whatever it holds."""
+        return np.array(self._unsplit.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def decode(self, ids: np.ndarray) -> str:
         """As the library's decode with skip_special_tokens=False; byte-level files only."""

@@ -13,6 +13,7 @@ from .chat import read_back, segments
 from .decontaminate import find_contamination
 from .ngram_join import ngram_components
 from .sharding import document_shards
+from .suffix_dedup import repeated_spans
 from .token_counts import count_tokens
 
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -55,6 +56,21 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_read(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each repeated passage; texts without one are not listed."""
+    return repeated_spans(_read(spark, sf_dir)).drop("row", "first_row")
+
+
+OP7_SQL = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all({LOWER_SQL}, '[^\x20\x09-\x0D]+') AS ws FROM documents
+), v AS (SELECT doc_id, s, md5(array_to_string(ws[s + 1:s + 50], ' ')) AS x FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 49)) AS s FROM w WHERE len(ws) >= 50)
+), f AS (SELECT doc_id, s, first_value(doc_id) OVER o AS fd, first_value(s) OVER o AS fs FROM v WINDOW o AS (PARTITION BY x ORDER BY doc_id, s)
+), g AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 THEN 0 ELSE 1 END AS gap FROM f WHERE fd <> doc_id OR fs <> s
+), h AS (SELECT *, sum(gap) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM g)
+SELECT doc_id, min(s)::INTEGER AS "start", (max(s) + 50)::INTEGER AS "end", arg_min(fd, s) AS first_doc_id, arg_min(fs, s)::INTEGER AS first_start FROM h GROUP BY doc_id, span
+"""
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(_read(spark, sf_dir), _read(spark, sf_dir, "benchmark")).drop("spans")
 
@@ -101,7 +117,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_chat_format": op10_chat_format,
 }
-ORACLES: dict[str, str] = {"op3_ngram_jaccard": OP3_SQL, "op9_decontamination": OP9_SQL, "op10_chat_format": OP10_SQL}
+ORACLES: dict[str, str] = {"op3_ngram_jaccard": OP3_SQL, "op7_suffix_dedup": OP7_SQL, "op9_decontamination": OP9_SQL, "op10_chat_format": OP10_SQL}
