@@ -28,7 +28,15 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it again: later uses neither recompute it nor depend on lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def discard(*settled: DataFrame) -> None:
+    """Remove what ``settle`` has written, when nothing reads it any more."""
+    for df in settled:
+        drop(df.sparkSession, df.settled_at)
 
 
 def drop(spark: SparkSession, path: str) -> None:
@@ -37,3 +45,13 @@ def drop(spark: SparkSession, path: str) -> None:
         raise ValueError(f"not in the shared folder: {path}")
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+#: Rows that go to a Python worker at once; texts may be long, and both sides hold a batch several times.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))

@@ -15,6 +15,7 @@ from .ngram_join import ngram_components
 from .sharding import document_shards
 from .suffix_dedup import repeated_spans
 from .token_counts import count_tokens
+from .toxicity import score_documents
 
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -56,6 +57,10 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_read(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_read(spark, sf_dir), _read(spark, sf_dir, "labels"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each repeated passage; texts without one are not listed."""
     return repeated_spans(_read(spark, sf_dir)).drop("row", "first_row")
@@ -117,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op6_toxicity": op6_toxicity,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_chat_format": op10_chat_format,
