@@ -11,6 +11,7 @@ from ._store import new_path
 from .bpe import round_trip
 from .chat import read_back, segments
 from .decontaminate import find_contamination
+from .embedding_dedup import near_vectors
 from .ngram_join import ngram_components
 from .sharding import document_shards
 from .suffix_dedup import repeated_spans
@@ -53,6 +54,23 @@ SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, least(s.doc_id, coalesce(c.b, s
 """
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+OP4_SQL = """
+WITH RECURSIVE f AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS s FROM f
+), p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.s > 0 AND b.s > 0 AND list_dot_product(a.v, b.v) / (a.s * b.s) >= 0.9
+), r(a, b) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a
+), c AS (SELECT a, min(b) AS b FROM r GROUP BY a
+), k AS (SELECT a, count(*) AS k FROM p GROUP BY a)
+SELECT vec_id, coalesce(k, 0)::BIGINT AS n_links, least(vec_id, coalesce(c.b, vec_id)) AS component_id, least(vec_id, coalesce(c.b, vec_id)) = vec_id AS kept
+FROM embeddings e LEFT JOIN c ON c.a = vec_id LEFT JOIN k ON k.a = vec_id
+"""
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_read(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -121,10 +139,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_toxicity": op6_toxicity,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_chat_format": op10_chat_format,
 }
-ORACLES: dict[str, str] = {"op3_ngram_jaccard": OP3_SQL, "op7_suffix_dedup": OP7_SQL, "op9_decontamination": OP9_SQL, "op10_chat_format": OP10_SQL}
+ORACLES: dict[str, str] = {"op3_ngram_jaccard": OP3_SQL, "op4_embedding_dedup": OP4_SQL, "op7_suffix_dedup": OP7_SQL, "op9_decontamination": OP9_SQL, "op10_chat_format": OP10_SQL}
