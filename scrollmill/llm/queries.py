@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +15,7 @@ from .decontaminate import find_contamination
 from .embedding_dedup import near_vectors
 from .ngram_join import ngram_components
 from .sharding import document_shards
+from .substring_dedup import near_passages
 from .suffix_dedup import repeated_spans
 from .token_counts import count_tokens
 from .toxicity import score_documents
@@ -94,6 +96,11 @@ SELECT doc_id, min(s)::INTEGER AS "start", (max(s) + 50)::INTEGER AS "end", arg_
 """
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each near-duplicate passage; texts without one are not listed."""
+    return near_passages(_read(spark, sf_dir))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(_read(spark, sf_dir), _read(spark, sf_dir, "benchmark")).drop("spans")
 
@@ -136,6 +143,7 @@ FROM e GROUP BY conv_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "pipeline": corpus_pipeline.run,
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
     "op3_ngram_jaccard": op3_ngram_jaccard,
@@ -143,6 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_toxicity": op6_toxicity,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_chat_format": op10_chat_format,
 }
