@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import settle
+from ._store import discard, settle
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -35,7 +35,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     edges = settle(links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(u.alias("u"), v.alias("v")).distinct(), "edges")
     seen = None
     while True:
-        edges = settle(_star(_star(edges, True), False), "edges")
+        before, edges = edges, settle(_star(_star(edges, True), False), "edges")
+        discard(before)
         # A forest of stars no longer changes: every node has one edge, and no centre is itself an end.
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h")).first()
         if seen == (now["n"], now["h"]):

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._store import small_batches
 from ._tokenizers import encoder, fingerprint
 
 SCHEMA = "digest binary, n_tokens long"
@@ -36,6 +37,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 512)
     Repeated rows and null doc_ids give a row each; other columns are left out. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("digest", F.unhex(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32)))
     path = f"{cache.rstrip('/')}/tokenizer={fingerprint(tokenizer)}"
