@@ -31,7 +31,7 @@ SPAN, DECAY = 7, 0.8
 WIDTH = 10
 LANDMARKS = 160
 #: Labelled documents of either class that are read for training at most, and sentences of each.
-TRAIN_DOCS, TRAIN_SENTENCES = 3000, 200
+TRAIN_DOCS, TRAIN_SENTENCES = 1500, 60
 THRESHOLD = 0.3
 
 _CODE = np.zeros(256, np.int32)
@@ -81,14 +81,12 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * value + self.shift, -30, 30)))
 
 
-def _triples(windows: np.ndarray) -> list[tuple[np.ndarray, np.float32]]:
+def _triples(windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.float32]]:
     """For each start and step: table places (0 if a character is no letter) and weight, for all windows."""
-    out = []
     for i in range(WIDTH):
         for a, b, weight in _STEPS:
-            x, y, z = windows[:, i], windows[:, i + a], windows[:, i + a + b]
-            out.append((np.where((x > 0) & (y > 0) & (z > 0), (x << 10) + (y << 5) + z, 0), np.float32(weight)))
-    return out
+            x, y, z = (windows[:, k].astype(np.int32) for k in (i, i + a, i + a + b))
+            yield np.where((x > 0) & (y > 0) & (z > 0), (x << 10) + (y << 5) + z, 0), np.float32(weight)
 
 
 def _kernel(windows: np.ndarray, features: np.ndarray) -> np.ndarray:
@@ -177,25 +175,28 @@ def fit(rows: list[dict], share: dict[int, int]) -> Model:
     texts: dict[str, int] = {}
     for r in rows:
         texts[r["sentence"]] = max(texts.get(r["sentence"], 0), r["toxic"])
-    windows, words, toxic = [], [], []
     in_class: tuple[Counter, Counter] = (Counter(), Counter())
+    number: dict[str, int] = {}
+    codes, at, word, toxic, length = [], [], [], [], 0
     for s, y in sorted(texts.items()):
         found = [(m[0].lower(), len(s[: m.start()].encode())) for m in _WORD.finditer(s)]
         in_class[y].update({w for w, _ in found})
-        codes = _codes(s)
-        for w, at in found:
-            windows.append(codes[at : at + WIDTH + SPAN])
-            words.append(w)
-            toxic.append(y)
-    if not windows:
+        codes.append(_codes(s).astype(np.uint8))
+        at += [length + k for _, k in found]
+        word += [number.setdefault(w, len(number)) for w, _ in found]
+        toxic += [y] * len(found)
+        length += len(codes[-1])
+    if not at:
         return nothing
-    windows, toxic = np.stack(windows), np.array(toxic)
+    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate(codes), WIDTH + SPAN)[np.array(at)]
+    word, toxic = np.array(word, np.int32), np.array(toxic, np.int8)
+    del codes, at
     sizes = [max(1, sum(1 for y in texts.values() if y == k)) for k in (0, 1)]
     marks = {w for w, n in in_class[1].items() if n >= max(3, 0.002 * sizes[1]) and (n + 0.5) / (sizes[1] + 1) >= 8 * (in_class[0][w] + 0.5) / (sizes[0] + 1)}
     if not marks:
         return nothing
     rng = np.random.default_rng(11)
-    is_mark = np.array([w in marks for w in words])
+    is_mark = np.isin(word, [number[w] for w in marks])
     negative = np.flatnonzero(toxic == 0)
     negative = np.sort(rng.choice(negative, min(len(negative), 12_000), replace=False))
     positive = np.flatnonzero((toxic == 1) & is_mark)
@@ -204,7 +205,7 @@ def fit(rows: list[dict], share: dict[int, int]) -> Model:
     # Landmarks: half of them by turns from each marking word, half from clean windows.
     by_word = defaultdict(list)
     for k in positive:
-        by_word[words[k]].append(k)
+        by_word[int(word[k])].append(k)
     turns = [ks[t] for t in range(LANDMARKS) for _, ks in sorted(by_word.items(), key=lambda x: (-len(x[1]), x[0])) if t < len(ks)][: LANDMARKS // 2]
     marked = windows[np.concatenate([turns, rng.choice(negative, min(len(negative), LANDMARKS // 2), replace=False)])]
     features = np.zeros((1 << 15, len(marked)), np.float32)
