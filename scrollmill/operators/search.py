@@ -28,11 +28,13 @@ def query_phrases(query: str) -> list[list[str]]:
     return [p for p in pieces if p]
 
 
-def postings(messages: DataFrame, keys: list[str], stemmed: bool = False) -> DataFrame:
-    """(keys, term, tf, positions, dl): one row for each word of each message."""
+def postings(messages: DataFrame, keys: list[str], stemmed: bool = False, only: list[str] | None = None) -> DataFrame:
+    """(keys, term, tf, positions, dl): one row for each word of each message, or for those in ``only``."""
     words = messages.select(*keys, F.posexplode(F.regexp_extract_all(fold(F.col("body")), F.lit(WORD), 0)).alias("pos", "term"), F.size(F.regexp_extract_all("body", F.lit(WORD), 0)).alias("dl"))
     if stemmed:
         stems = words.select("term").distinct().withColumn("stem", porter_stem("term"))
+        if only is not None:
+            stems = stems.where(F.col("stem").isin(only))
         words = words.join(stems, "term").drop("term").withColumnRenamed("stem", "term")
     return words.groupBy(*keys, "dl", "term").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
@@ -40,7 +42,7 @@ def postings(messages: DataFrame, keys: list[str], stemmed: bool = False) -> Dat
 def bm25(messages: DataFrame, query: str, keys: list[str], stemmed: bool = False, prefix: bool = False) -> DataFrame:
     """(keys, score) of messages that have every phrase; lower is better. Statistics are one row, whatever the corpus holds."""
     phrases = query_phrases(query)
-    index = postings(messages, keys, stemmed)
+    index = postings(messages, keys, stemmed, None if prefix or not stemmed else sorted({stem(w) for p in phrases for w in p}))
     size = messages.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(F.regexp_extract_all("body", F.lit(WORD), 0))).alias("avgdl"))
     out: DataFrame | None = None
     for k, phrase in enumerate(phrases):

@@ -216,12 +216,12 @@ def page_link_stats(spark, d):
 
 @query("html_to_markdown")
 def html_to_markdown_pages(spark, d):
-    return src.pages(spark, d).select("page_id", html_to_markdown("html").alias("markdown"))
+    return src.spread(src.pages(spark, d)).select("page_id", html_to_markdown("html").alias("markdown"))
 
 
 @query("extract_page")
 def extract_page_regions(spark, d):
-    return src.pages(spark, d).select("page_id", extract_page("html").alias("p")).select("page_id", "p.ok", "p.title", "p.score", F.array_join("p.warnings", "; ").alias("warnings"), "p.markdown")
+    return src.spread(src.pages(spark, d)).select("page_id", extract_page("html").alias("p")).select("page_id", "p.ok", "p.title", "p.score", F.array_join("p.warnings", "; ").alias("warnings"), "p.markdown")
 
 
 # -- merge and index ----------------------------------------------------------------------------------------------

@@ -23,3 +23,9 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """For costly rows in few input splits: at least one partition a core; tables with more splits stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
