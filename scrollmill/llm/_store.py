@@ -47,6 +47,14 @@ def drop(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+def free_name(name: str, *taken: list[str]) -> str:
+    """A column name that no table has, whatever the case of its letters."""
+    used = {c.lower() for cols in taken for c in cols}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 #: Rows that go to a Python worker at once; texts may be long, and both sides hold a batch several times.
 BATCH_ROWS = 1000
 

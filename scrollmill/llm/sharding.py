@@ -10,9 +10,11 @@ bound that the caller states; it is made on the driver and broadcast, and a row
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-import xxhash
+
+from ._store import free_name
 
 #: Default table: a prime about 64 times the default number of shards.
 SIZE, SHARDS = 65_537, 1024
@@ -58,9 +60,10 @@ def place(df: DataFrame, key: str, shards: list[str], size: int = SIZE) -> DataF
     """
     table = lookup_table(shards, size)
     spark = df.sparkSession
-    slots = spark.createDataFrame([(k, shards[s]) for k, s in enumerate(table.tolist())], "_slot int, _shard string")
-    placed = df.drop("slot", "shard").withColumn("slot", slot(F.col(key), size))
-    return placed.join(F.broadcast(slots), placed["slot"] == slots["_slot"], "left").drop("_slot").withColumnRenamed("_shard", "shard")
+    at, name = free_name("_slot", df.columns), free_name("_shard", df.columns)
+    slots = spark.createDataFrame([(k, shards[s]) for k, s in enumerate(table.tolist())], f"`{at}` int, `{name}` string")
+    placed = df.withColumn("slot", slot(F.col(key), size)).drop("shard")
+    return placed.join(F.broadcast(slots), placed["slot"] == slots[at], "left").drop(at).withColumnRenamed(name, "shard")
 
 
 def write_shards(placed: DataFrame, path: str, files: int = 1) -> None:

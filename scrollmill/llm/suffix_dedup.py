@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._store import settle, small_batches
+from ._store import free_name, settle, small_batches
 
 WIDTH, GRAM = 50, 10
 #: Ends of the blocks of words by which suffixes are sorted.
@@ -168,18 +168,19 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
 
     What lies between words stays as it was. Rows without repeats, null texts among them, are unchanged.
     """
-    spans = repeated_spans(docs).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    spans = settle(spans.withColumnRenamed("row", "_row").withColumnRenamed("spans", "_spans"), "spans")
-    keyed = docs.withColumn("_row", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")))
-    ids = spans.select("_row")
+    row, held = free_name("_row", docs.columns), free_name("_spans", docs.columns)
+    spans = repeated_spans(docs).groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("start", "end")).alias(held))
+    spans = settle(spans, "spans")
+    keyed = docs.withColumn(row, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")))
+    ids = spans.select(row)
     few = ids.count() <= BROADCAST_IDS
     ids = F.broadcast(ids) if few else ids
-    cut = keyed.join(ids, "_row", "left_semi").join(spans, "_row").drop("_row")
+    cut = keyed.join(ids, row, "left_semi").join(spans, row).drop(row)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, texts = batch.schema.get_field_index("text"), []
-            spans = batch.column("_spans").to_pylist()
+            spans = batch.column(held).to_pylist()
             for chunk in T.chunks(batch.column("text")):
                 w = T.words(chunk)
                 for r in range(chunk.rows):
@@ -191,11 +192,11 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
                         done, left = w.end[b - 1], left - (b - a)
                     out.append(chunk.data[done : chunk.at[r + 1]].tobytes())
                     texts.append(b"".join(out).decode() if left else None)
-            batch = batch.set_column(at, "text", pa.array(texts, pa.string())).drop_columns(["_spans"])
+            batch = batch.set_column(at, "text", pa.array(texts, pa.string())).drop_columns([held])
             yield batch.filter(pa.array([t is not None for t in texts]))
 
-    rest = keyed.join(ids, "_row", "left_anti").drop("_row")
-    cut = cut.mapInArrow(run, cut.drop("_spans").schema)
+    rest = keyed.join(ids, row, "left_anti").drop(row)
+    cut = cut.mapInArrow(run, cut.drop(held).schema)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return rest.unionByName(cut)

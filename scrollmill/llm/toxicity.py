@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._store import small_batches
+from ._store import free_name, small_batches
 
 SPAN, DECAY = 7, 0.8
 #: Triples of a window begin at so many characters.
@@ -270,16 +270,17 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     small_batches(docs.sparkSession)
     names = keep or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*names, F.col("text").cast("string").alias("_text"))
+    said = free_name("_text", names)
+    rows = docs.select(*names, F.col("text").cast("string").alias(said))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            found = [model.scores(model.best(chunk)) for chunk in T.chunks(batch.column("_text"), T.CHUNK // 4)]
+            found = [model.scores(model.best(chunk)) for chunk in T.chunks(batch.column(said), T.CHUNK // 4)]
             s = np.concatenate(found) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], [*names, "score", "predicted"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != said)
     return rows.mapInArrow(run, f"{kinds}, score double, predicted int")
 
 
