@@ -9,7 +9,8 @@ one of their first ``n - ceil(t * n) + 1``. Each bucket has a tree of its own.
 Pairs are never written out for whole buckets. The first walks pair every member with one leader of the
 bucket, and exact counts turn these into components; the last walk leaves out all node pairs that lie in
 one component and meets the rest. Every link between different sets is either verified or joins two
-members of a component already, so components are exact. Equal sets are one class from the start.
+members of a component already, so components are exact. Equal sets are one class from the start. Before whole sets are
+shuffled to count what two of them share, bitmaps and then prefixes rule pairs out.
 
 Hot shingles: counts over all documents put those at the end of the order, so that they index a set only
 if little else is in it. The order decides the cost and never the result. Buckets larger than ``BLOCK`` are
@@ -22,18 +23,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
 from ._graph import components
 from ._groups import grouped
-from ._store import settle
+from ._store import discard, settle, small_batches
 
 #: Bits of a set's bitmap, as 64-bit words.
-WORDS = 16
+WORDS = 32
 #: Children of a node; members of a block of a bucket.
 FANOUT, BLOCK = 8, 4096
+#: Turns with other leaders before the last walks; more of them only leave less for those.
+ROUNDS = 1
+#: Rows of buckets with one lead in a task.
+LEAD_ROWS = 20_000
 #: Frequent shingles whose place in the order is looked up: their number bounds what is broadcast (1.6 MB).
 FREQUENT = 100_000
 #: Ids up to this number are broadcast (16 bytes each); more are joined by a shuffle.
@@ -194,38 +199,89 @@ def walk(sig: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: np.ndarray, num
 
 def _walks(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in grouped(batches, ["key", "left", "right"]):
+        told: set[tuple[int, int]] = set()
+        for t in grouped(batches, ["lead", "part", "is_row", "key", "left", "right"]):
+            sig, block = t.column("sig").to_numpy(), t.column("block").to_numpy()
+            if not t.column("is_row")[0].as_py():
+                members = np.argsort(sig)
+                member_bits = np.frombuffer(b"".join(t.column("bitmap").to_pylist()), np.uint64).reshape(-1, WORDS)[members]
+                members = sig[members]
+                continue
             if t.num_rows < 2:
                 continue
-            sig, block = t.column("sig").to_numpy(), t.column("block").to_numpy()
-            bits = np.frombuffer(b"".join(t.column("bitmap").to_pylist()), np.uint64).reshape(-1, WORDS)
+            bits = member_bits[np.searchsorted(members, sig)]
             cross = t.column("left")[0].as_py() != t.column("right")[0].as_py()
-            for i, j in walk(sig, t.column("n").to_numpy(), t.column("comp").to_numpy(), bits, num, den):
+            n = t.column("n").to_numpy()
+            left = n - t.column("pos").to_numpy()
+            for i, j in walk(sig, n, t.column("comp").to_numpy(), bits, num, den):
+                ok = np.minimum(left[i], left[j]) * (num + den) >= (n[i] + n[j]) * num
+                i, j = i[ok], j[ok]
                 if cross:
                     ok = block[i] != block[j]
                     i, j = i[ok], j[ok]
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sig[i], sig[j])), pa.array(np.maximum(sig[i], sig[j]))], ["a", "b"])
+                new = set(zip(np.minimum(sig[i], sig[j]).tolist(), np.maximum(sig[i], sig[j]).tolist(), strict=True)) - told
+                if new:
+                    if len(told) > 1_000_000:
+                        told.clear()
+                    told |= new
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*new, strict=True)], ["a", "b"])
+
+    return run
+
+
+def _bounded(num: int, den: int):
+    """Pairs that their bitmaps do not rule out: the walk's bound for two single sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            if not t.num_rows:
+                continue
+            bits = np.frombuffer(b"".join(t.column("xa").to_pylist() + t.column("xb").to_pylist()), np.uint64).reshape(-1, WORDS)
+            n, at = np.concatenate([t.column("na").to_numpy(), t.column("nb").to_numpy()]), np.arange(2 * t.num_rows)
+            x = _Level(bits, n, n, np.bitwise_count(bits).sum(1, dtype=np.int64), at, at)
+            yield t.select(["a", "b"]).filter(pa.array(_possible(x, at[: t.num_rows], at[t.num_rows :], num, den)))
 
     return run
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _verified(docs: DataFrame, told: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of signatures whose sets are alike, by exact counts."""
-    ids = settle(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct(), "ids")
-    sets = docs.select("text").mapInArrow(_shingles(k), "sig long, shingles array<long>")
-    few = ids.count() <= BROADCAST_IDS
-    sets = settle(sets.join(F.broadcast(ids) if few else ids, "sig", "left_semi").dropDuplicates(["sig"]), "sets")
-    left, right = sets.select(F.col("sig").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("sig").alias("b"), F.col("shingles").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb")).cast("long")
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", common.alias("x"), (F.size("sa") + F.size("sb")).cast("long").alias("n"))
-    return settle(met.where(F.col("x") * (num + den) >= F.col("n") * num).select("a", "b"), "links")
+    leaf = told.where("bitmap is not null").select("sig", "n", "bitmap").dropDuplicates(["sig"])
+    met = pairs.join(leaf.toDF("a", "na", "xa"), "a").join(leaf.toDF("b", "nb", "xb"), "b")
+    pairs = settle(met.mapInArrow(_bounded(num, den), "a long, b long"), "bounded")
+
+    def sides(values: DataFrame, pairs: DataFrame) -> DataFrame:
+        """(a, b, s): both values of each pair. A wanted value is shuffled once, then once for each pair that it is in."""
+        asked = pairs.select("a", "b", F.col("a").alias("sig")).union(pairs.select("a", "b", "b"))
+        ids = asked.select("sig").distinct()
+        few = ids.count() <= BROADCAST_IDS
+        wanted = values.join(F.broadcast(ids) if few else ids, "sig", "left_semi").groupBy("sig").agg(F.any_value("v").alias("v"))
+        return wanted.join(asked, "sig").groupBy("a", "b").agg(F.collect_list("v").alias("s"))
+
+    # Common shingles are in both prefixes, or behind the end of the one that ends first.
+    s, t = F.col("s")[0], F.col("s")[1]
+    common = F.size(F.array_intersect(s["prefix"], t["prefix"])) + F.greatest(s["n"] - F.size(s["prefix"]), t["n"] - F.size(t["prefix"]))
+    prefixes = told.where("prefix is not null").select("sig", F.struct("n", "prefix").alias("v"))
+    near = settle(sides(prefixes, pairs).where(common * (num + den) >= (s["n"] + t["n"]) * num).select("a", "b"), "near")
+
+    # Only the texts that are asked for are cut again: one document of each set.
+    ids = near.select(F.col("a").alias("sig")).union(near.select("b")).distinct()
+    names = told.where("bitmap is not null").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("one")).select("one").distinct()
+    few = names.count() <= BROADCAST_IDS
+    asked = docs.join(F.broadcast(names) if few else names, F.col("doc_id").eqNullSafe(F.col("one")), "left_semi")
+    sets = asked.select("text").mapInArrow(_shingles(k), "sig long, v array<long>")
+    common, n = F.size(F.array_intersect(s, t)).cast("long"), (F.size(s) + F.size(t)).cast("long")
+    links = settle(sides(sets, near).where(common * (num + den) >= n * num).select("a", "b"), "links")
+    discard(pairs, near)
+    return links
 
 
 def _unresolved(buckets: DataFrame, comps: DataFrame) -> DataFrame:
     """Rows of buckets with more than one component."""
     rows = buckets.join(comps.select(F.col("node").alias("sig"), F.col("component").alias("comp")), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo < hi").select("key", "members")
+    # Buckets with the same members are one.
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("sig")).alias("who"), F.min_by("sig", F.xxhash64("sig")).alias("lead"))
+    mixed = mixed.where("lo < hi").groupBy("members", "who").agg(F.min_by(F.struct("key", "lead"), "key").alias("m")).select("m.*", "members")
     return rows.join(mixed, "key")
 
 
@@ -242,44 +298,58 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
+    small_batches(spark)
     frequent = docs.select("text").mapInArrow(_count_frequent(k), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n >= 32").orderBy(F.desc("n"), "key").limit(FREQUENT)
     hot = [r["key"] for r in frequent.collect()][::-1]
     shared = spark.sparkContext.broadcast(np.array(hot, np.int64).tobytes())
     told = settle(docs.mapInArrow(_describe(k, num, den, shared), "doc_id long, n long, sig long, prefix array<long>, bitmap binary"), "sets")
 
-    entries = told.where("prefix is not null").select("sig", "n", F.explode("prefix").alias("key")).distinct()
+    entries = told.where("prefix is not null").select("sig", "n", F.posexplode("prefix").alias("pos", "key")).distinct()
     by_key = Window.partitionBy("key").orderBy("n", "sig")
-    leader = F.first(F.struct(F.col("sig").alias("a"), F.col("n").alias("an"))).over(by_key.rowsBetween(Window.unboundedPreceding, 0))
-    buckets = entries.select("key", "sig", "n", leader.alias("l"), F.row_number().over(by_key).alias("r"), F.lead("sig").over(by_key).alias("next"))
-    buckets = settle(buckets.where("r > 1 or next is not null").select("key", "sig", "n", "l.a", "l.an"), "buckets")
+    leader = F.first(F.struct(F.col("sig").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"))).over(by_key.rowsBetween(Window.unboundedPreceding, 0))
+    buckets = entries.select("key", "sig", "n", "pos", leader.alias("l"), F.row_number().over(by_key).alias("r"), F.lead("sig").over(by_key).alias("next"))
+    buckets = settle(buckets.where("r > 1 or next is not null").select("key", "sig", "n", "pos", "l.*"), "buckets")
 
-    def alike(a: str, b: str):
-        return (F.col(a) * num <= F.col(b) * den) & (F.col(b) * num <= F.col(a) * den)
+    def alike() -> Column:
+        """Sizes within reach, and enough left behind the places of a common shingle, if it is the pair's first: pairs meet at that one."""
+        sizes = (F.col("an") * num <= F.col("n") * den) & (F.col("n") * num <= F.col("an") * den)
+        return sizes & (F.least(F.col("n") - F.col("pos"), F.col("an") - F.col("ap")) * (num + den) >= (F.col("n") + F.col("an")) * num)
 
-    stars = settle(buckets.where((F.col("a") != F.col("sig")) & alike("n", "an")).select("a", F.col("sig").alias("b")).distinct(), "stars")
-    links = _verified(docs, stars, k, num, den)
+    stars = settle(buckets.where((F.col("a") != F.col("sig")) & alike()).select("a", F.col("sig").alias("b")).distinct(), "stars")
+    links = _verified(docs, told, stars, k, num, den)
     comps = components(links, "a", "b")
-
-    # A second leader, from another order, for what the first one left apart.
-    rest = settle(_unresolved(buckets.select("key", "sig", "n"), comps), "rest")
-    if rest.limit(1).count():
-        other = Window.partitionBy("key").orderBy(F.xxhash64("sig"), "sig")
-        second = F.first(F.struct(F.col("sig").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))).over(other.rowsBetween(Window.unboundedPreceding, 0))
-        stars = rest.select("sig", "n", "comp", second.alias("l")).select("sig", "n", "comp", "l.*").where(F.col("ac") != F.col("comp")).where(alike("n", "an"))
+    rest = settle(_unresolved(buckets.select("key", "sig", "n", "pos"), comps), "rest")
+    discard(buckets, stars)
+
+    # Other leaders, each time from another order, for what is still apart.
+    for turn in range(ROUNDS):
+        if not rest.limit(1).count():
+            break
+        other = Window.partitionBy("key").orderBy(F.xxhash64("sig", F.lit(turn)), "sig")
+        leader = F.first(F.struct(F.col("sig").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"), F.col("comp").alias("ac"))).over(other.rowsBetween(Window.unboundedPreceding, 0))
+        stars = rest.select("sig", "n", "pos", "comp", leader.alias("l")).select("sig", "n", "pos", "comp", "l.*").where((F.col("ac") != F.col("comp")) & alike())
         stars = settle(stars.select(F.least("a", "sig").alias("a"), F.greatest("a", "sig").alias("b")).distinct(), "stars")
-        links = links.unionByName(_verified(docs, stars, k, num, den))
-        comps = components(links, "a", "b")
-
-        rest = _unresolved(rest.select("key", "sig", "n"), comps)
-        bitmaps = told.where("bitmap is not null").select("sig", "bitmap").dropDuplicates(["sig"])
+        more = _verified(docs, told, stars, k, num, den)
+        links = links.unionByName(more)
+        before, comps = rest, components(links, "a", "b")
+        rest = settle(_unresolved(before.select("key", "sig", "n", "pos"), comps), "rest")
+        discard(before, stars)
+    if rest.limit(1).count():
         blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-        rest = rest.join(bitmaps, "sig").withColumn("block", F.pmod(F.xxhash64("sig"), blocks).cast("int"))
-        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        rest = rest.select("key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "sig", "n", "comp", "bitmap")
-        met = rest.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right").mapInArrow(_walks(num, den), "a long, b long")
+        rest = rest.withColumn("block", F.pmod(F.xxhash64("sig"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        # Buckets with the same lead share most of their pairs, and a task tells each pair once; a lead with many rows has several tasks.
+        heavy = rest.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / LEAD_ROWS).alias("parts")).where("parts > 1")
+        rest = rest.join(heavy, "lead", "left").withColumn("part", F.pmod(F.col("key"), F.coalesce("parts", F.lit(1))))
+        rest = rest.select("lead", "part", F.lit(True).alias("is_row"), "key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "sig", "n", "pos", "comp", F.lit(None).cast("binary").alias("bitmap"))
+        # Each bitmap goes to a task once, ahead of the rows.
+        bitmaps = told.where("bitmap is not null").select("sig", "bitmap").dropDuplicates(["sig"])
+        none = [F.lit(0).cast(rest.schema[c].dataType).alias(c) for c in ("key", "left", "right", "block")]
+        members = rest.select("lead", "part", "sig").distinct().join(bitmaps, "sig").select("lead", "part", F.lit(False).alias("is_row"), *none, "sig", *(F.lit(0).cast(rest.schema[c].dataType).alias(c) for c in ("n", "pos", "comp")), "bitmap")
+        order = ["lead", "part", "is_row", "key", "left", "right"]
+        met = members.unionByName(rest).repartition("lead", "part").sortWithinPartitions(*order).mapInArrow(_walks(num, den), "a long, b long")
         met = settle(met.distinct(), "pairs")
         if met.limit(1).count():
-            links = links.unionByName(_verified(docs, met, k, num, den))
+            links = links.unionByName(_verified(docs, told, met, k, num, den))
             comps = components(links, "a", "b")
 
     named = told.select("doc_id", F.col("n").alias("n_shingles"), "sig").join(comps.select(F.col("node").alias("sig"), "component"), "sig", "left")
