@@ -36,7 +36,7 @@ WORDS = 32
 #: Children of a node; members of a block of a bucket.
 FANOUT, BLOCK = 8, 4096
 #: Turns with other leaders before the last walks; more of them only leave less for those.
-ROUNDS = 1
+ROUNDS = 2
 #: Rows of buckets with one lead in a task.
 LEAD_ROWS = 20_000
 #: Frequent shingles whose place in the order is looked up: their number bounds what is broadcast (1.6 MB).
