@@ -279,9 +279,9 @@ def _verified(docs: DataFrame, told: DataFrame, pairs: DataFrame, k: int, num: i
 def _unresolved(buckets: DataFrame, comps: DataFrame) -> DataFrame:
     """Rows of buckets with more than one component."""
     rows = buckets.join(comps.select(F.col("node").alias("sig"), F.col("component").alias("comp")), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    # Buckets with the same members are one.
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("sig")).alias("who"), F.min_by("sig", F.xxhash64("sig")).alias("lead"))
-    mixed = mixed.where("lo < hi").groupBy("members", "who").agg(F.min_by(F.struct("key", "lead"), "key").alias("m")).select("m.*", "members")
+    # Buckets with the same members are one: that of the first shingle in the order, where each member's place is least.
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("sig")).alias("who"), F.min_by("sig", F.xxhash64("sig")).alias("lead"), F.min("pos").alias("first"))
+    mixed = mixed.where("lo < hi").groupBy("members", "who").agg(F.min_by(F.struct("key", "lead"), "first").alias("m")).select("m.*", "members")
     return rows.join(mixed, "key")
 
 

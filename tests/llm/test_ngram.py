@@ -41,6 +41,16 @@ def test_same_as_brute_force(spark, corpus, k, num, den):
     assert got == expected(corpus, k, num, den)
 
 
+def test_links_behind_many_equal_buckets(spark):
+    """Ten of forty copies are alike only to each other, and all of their early shingles lie in buckets of all forty."""
+    base, boiler = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("b", 101), ("p", 26)))
+    own = lambda k, n: " ".join(f"o{k}x{i}" for i in range(n))
+    rows = [(k, f"{base} {own(k, 3)}" + (f" {boiler}" if k >= 30 else "")) for k in range(40)]
+    rows += [(100 + k, f"{own(100 + k, 150)} {boiler}") for k in range(60)]
+    got = Counter(map(tuple, ngram_components(frame(spark, rows)).collect()))
+    assert got == expected(rows, 5, 4, 5)
+
+
 def test_empty_table(spark):
     assert ngram_components(frame(spark, [])).collect() == []
 
