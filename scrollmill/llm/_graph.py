@@ -26,6 +26,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("u > v").distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every larger end has one edge and is no other edge's smaller end."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return not ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").limit(1).count()
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node that has a link to another; component is the least node reachable.
 
@@ -33,13 +39,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """
     u, v = F.greatest(a, b), F.least(a, b)
     edges = settle(links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(u.alias("u"), v.alias("v")).distinct(), "edges")
-    seen = None
-    while True:
+    while not _stars(edges):
         before, edges = edges, settle(_star(_star(edges, True), False), "edges")
         discard(before)
-        # A forest of stars no longer changes: every node has one edge, and no centre is itself an end.
-        now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h")).first()
-        if seen == (now["n"], now["h"]):
-            break
-        seen = (now["n"], now["h"])
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -1,20 +1,24 @@
 """N-gram Jaccard join: documents whose sets of k-word shingles are alike, exactly, and their components.
 
-Signature trees hold the sets. A node has the OR of its members' bitmaps, their least bit count and
-the range of their sizes; two trees are walked together, and a pair of nodes goes as soon as no pair
-below it can overlap enough. One tree over a corpus would saturate near its root, so Spark first deals
-the sets to buckets: with all shingles in one fixed order, rare before frequent, two sets that link share
-one of their first ``n - ceil(t * n) + 1``. Each bucket has a tree of its own.
-
-Pairs are never written out for whole buckets. The first walks pair every member with one leader of the
-bucket, and exact counts turn these into components; the last walk leaves out all node pairs that lie in
-one component and meets the rest. Every link between different sets is either verified or joins two
-members of a component already, so components are exact. Equal sets are one class from the start. Before whole sets are
-shuffled to count what two of them share, bitmaps and then prefixes rule pairs out.
-
-Hot shingles: counts over all documents put those at the end of the order, so that they index a set only
-if little else is in it. The order decides the cost and never the result. Buckets larger than ``BLOCK`` are
-dealt to pairs of blocks.
+Signature trees find the pairs. A node has the OR of its members' bitmaps, their least bit count and the range of
+their sizes; two nodes are walked together, and a pair of nodes goes as soon as no pair below it can overlap enough.
+One tree over a corpus would have all bits set near its root, so Spark first deals the sets to groups: with all
+shingles in one fixed order, rare before frequent, two sets that link share one of their first ``n - ceil(t * n) + 1``.
+Of the sets that share such a shingle the least is their lead, and each lead has a tree of all sets that it leads:
+whatever may link stands in one tree at least.
+
+Trees are walked twice. The first time each set is in one tree, and only a forest of pairs is told, enough to join
+what may link. Their exact counts give components. The second time, trees that hold more than one component tell all
+pairs of different components that their bitmaps don't rule out. Every link between different sets is then either
+verified or joins two members of a component already, so components are exact, and no group is written out as pairs.
+Equal sets are one class from the start.
+
+Hot shingles: counts over all documents put those at the end of the order, so that they index a set only if little
+else is in it. Sets that one of them leads are found by a minimum that is combined before the shuffle and at most
+``FREQUENT`` rows long. The order decides the cost and never the result. Trees of more than ``BLOCK`` sets are dealt
+to blocks, and pairs of blocks that lie in one component are left out.
+
+Shingles are told apart by 64-bit hashes, within two sets that are compared; sets by 128 bits.
 """
 
 from __future__ import annotations
@@ -23,22 +27,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import _signature_tree as S
 from . import _text as T
 from ._graph import components
 from ._groups import grouped
 from ._store import discard, settle, small_batches
 
-#: Bits of a set's bitmap, as 64-bit words.
-WORDS = 32
-#: Children of a node; members of a block of a bucket.
-FANOUT, BLOCK = 8, 4096
-#: Turns with other leaders before the last walks; more of them only leave less for those.
-ROUNDS = 2
-#: Rows of buckets with one lead in a task.
-LEAD_ROWS = 20_000
+#: Members of a block of a tree.
+BLOCK = 8192
+#: Shingles of the sets that a task compares at once.
+UNIT = 500_000
 #: Frequent shingles whose place in the order is looked up: their number bounds what is broadcast (1.6 MB).
 FREQUENT = 100_000
 #: Ids up to this number are broadcast (16 bytes each); more are joined by a shuffle.
@@ -52,11 +53,13 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
             yield T.shingle_set(w.hash[a:b], k)
 
 
-def _signature(s: np.ndarray) -> int:
-    """Of a whole set: equal sets have equal signatures."""
+def _signature(s: np.ndarray) -> tuple[int, int]:
+    """Of a whole set, 128 bits: equal sets have equal signatures."""
     n = np.array([len(s)], np.uint64)
-    h = T.mix((s * T.mix(np.arange(1, len(s) + 1, dtype=np.uint64))).sum(dtype=np.uint64, keepdims=True) + n * np.uint64(T.STEP))
-    return int(h.view(np.int64)[0])
+    one = (s * T.mix(np.arange(1, len(s) + 1, dtype=np.uint64))).sum(dtype=np.uint64, keepdims=True) + n * np.uint64(T.STEP)
+    two = T.mix(s ^ np.uint64(T.STEP)).sum(dtype=np.uint64, keepdims=True) + n
+    a, b = T.mix(np.concatenate([one, two])).view(np.int64).tolist()
+    return a, b
 
 
 def _count_frequent(k: int):
@@ -95,43 +98,38 @@ def _count_frequent(k: int):
 
 
 def _describe(k: int, num: int, den: int, frequent):
-    """Size, signature, prefix and bitmap of each text; the last two only for the first text of a signature in the task."""
+    """Size, signature, prefix (its rare and its frequent shingles) and bitmap of each text; the last three only for the first text of a signature in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = np.frombuffer(frequent.value, np.int64).view(np.uint64)
         by_key = np.argsort(hot)
         hot_sorted = hot[by_key]
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            sizes, sigs, prefixes, bitmaps = [], [], [], []
+            sizes, one, two, rare, late, bitmaps = [], [], [], [], [], []
             for s in _sets(batch, k):
                 n = len(s)
-                sizes.append(n)
-                if not n:
-                    sigs.append(None), prefixes.append(None), bitmaps.append(None)
-                    continue
-                sigs.append(sig := _signature(s))
-                if sig in seen:
-                    prefixes.append(None), bitmaps.append(None)
+                sig = _signature(s) if n else (None, None)
+                sizes.append(n), one.append(sig[0]), two.append(sig[1])
+                if not n or sig in seen:
+                    rare.append(None), late.append(None), bitmaps.append(None)
                     continue
                 if len(seen) >= 1_000_000:
                     seen.clear()
                 seen.add(sig)
-                p, ordered = n - -(-num * n // den) + 1, s
+                p, first, last = n - -(-num * n // den) + 1, s, s[:0]
                 if len(hot):
                     at = np.searchsorted(hot_sorted, s)
                     at[at == len(hot)] = 0
                     is_hot = hot_sorted[at] == s
                     if is_hot.any():
-                        late = s[is_hot][np.argsort(by_key[at[is_hot]], kind="stable")]
-                        ordered = np.concatenate([s[~is_hot], late])
-                prefixes.append(ordered[:p].view(np.int64))
-                bits = np.zeros(WORDS * 64, np.uint8)
-                bits[(s >> np.uint64(40)) % np.uint64(WORDS * 64)] = 1
-                bitmaps.append(np.packbits(bits).tobytes())
+                        first, last = s[~is_hot], s[is_hot][np.argsort(by_key[at[is_hot]], kind="stable")]
+                rare.append(first[:p].view(np.int64)), late.append(last[: max(0, p - len(first))].view(np.int64))
+                bitmaps.append(S.bitmap(s))
+            keys = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bitmaps, pa.binary())],
-                ["doc_id", "n", "sig", "prefix", "bitmap"],
+                [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (sizes, one, two)), pa.array(rare, keys), pa.array(late, keys), pa.array(bitmaps, pa.binary())],
+                ["doc_id", "n", "s1", "s2", "rare", "late", "bitmap"],
             )
 
     return run
@@ -140,149 +138,117 @@ def _describe(k: int, num: int, den: int, frequent):
 def _shingles(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs, sets = [], []
+            one, two, sets = [], [], []
             for s in _sets(batch, k):
                 if len(s):
-                    sigs.append(_signature(s)), sets.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["sig", "shingles"])
+                    a, b = _signature(s)
+                    one.append(a), two.append(b), sets.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sets, pa.binary())], ["s1", "s2", "shingles"])
 
     return run
 
 
-class _Level:
-    """Nodes of one level of a tree, as columns."""
-
-    def __init__(self, bits, lo, hi, pop, c_lo, c_hi):
-        self.bits, self.lo, self.hi, self.pop, self.c_lo, self.c_hi = bits, lo, hi, pop, c_lo, c_hi
-
-    def parents(self) -> _Level:
-        at = np.arange(0, len(self.lo), FANOUT)
-        least, most = np.minimum.reduceat, np.maximum.reduceat
-        return _Level(np.bitwise_or.reduceat(self.bits, at), least(self.lo, at), most(self.hi, at), least(self.pop, at), least(self.c_lo, at), most(self.c_hi, at))
-
-
-def _possible(x: _Level, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which node pairs may hold two sets of different components that overlap enough."""
-    same = (x.c_lo[i] == x.c_hi[i]) & (x.c_lo[j] == x.c_hi[j]) & (x.c_lo[i] == x.c_lo[j])
-    sizes = (num * x.lo[j] <= den * x.hi[i]) & (num * x.lo[i] <= den * x.hi[j])
-    common = np.bitwise_count(x.bits[i] & x.bits[j]).sum(1, dtype=np.int64)
-    # Each bit of a set outside of the other node is at least one shingle that cannot be shared.
-    most = np.minimum(x.hi[i] - np.maximum(0, x.pop[i] - common), x.hi[j] - np.maximum(0, x.pop[j] - common))
-    return ~same & sizes & (most * (den + num) >= num * (x.lo[i] + x.lo[j]))
-
-
-def walk(sig: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of pairs that dual traversal of the members' signature tree with itself leaves over."""
-    order = np.lexsort((sig, n, comp))
-    sig, n, comp, bits = sig[order], n[order], comp[order], bits[order]
-    levels = [_Level(bits, n, n, np.bitwise_count(bits).sum(1, dtype=np.int64), comp, comp)]
-    while len(levels[-1].lo) > 1:
-        levels.append(levels[-1].parents())
-    stack = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
-    while stack:
-        k, i, j = stack.pop()
-        if k == 0:
-            yield order[i], order[j]
-            continue
-        below = levels[k - 1]
-        step = max(1, (1 << 16) // FANOUT**2)
-        for at in range(0, len(i), step):
-            a = (i[at : at + step, None, None] * FANOUT + np.arange(FANOUT)[None, :, None]).repeat(FANOUT, 2).ravel()
-            b = (j[at : at + step, None, None] * FANOUT + np.arange(FANOUT)[None, None, :]).repeat(FANOUT, 1).ravel()
-            ok = (a < len(below.lo)) & (b < len(below.lo)) & (a <= b if k > 1 else a < b)
-            a, b = a[ok], b[ok]
-            if len(a):
-                ok = _possible(below, a, b, num, den)
-                if ok.any():
-                    stack.append((k - 1, a[ok], b[ok]))
-
-
-def _walks(num: int, den: int):
+def _walks(forest: bool, num: int, den: int):
+    """(lead, part, a, b) from the trees of each (lead, one, two); the pairs of a part have ``UNIT`` shingles or little more."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: set[tuple[int, int]] = set()
-        for t in grouped(batches, ["lead", "part", "is_row", "key", "left", "right"]):
-            sig, block = t.column("sig").to_numpy(), t.column("block").to_numpy()
-            if not t.column("is_row")[0].as_py():
-                members = np.argsort(sig)
-                member_bits = np.frombuffer(b"".join(t.column("bitmap").to_pylist()), np.uint64).reshape(-1, WORDS)[members]
-                members = sig[members]
-                continue
+        for t in grouped(batches, ["lead", "one", "two"]):
             if t.num_rows < 2:
                 continue
-            bits = member_bits[np.searchsorted(members, sig)]
-            cross = t.column("left")[0].as_py() != t.column("right")[0].as_py()
-            n = t.column("n").to_numpy()
-            left = n - t.column("pos").to_numpy()
-            for i, j in walk(sig, n, t.column("comp").to_numpy(), bits, num, den):
-                ok = np.minimum(left[i], left[j]) * (num + den) >= (n[i] + n[j]) * num
-                i, j = i[ok], j[ok]
-                if cross:
+            sid, n, block = (t.column(c).to_numpy() for c in ("sid", "n", "block"))
+            label = None if forest else t.column("comp").to_numpy()
+            lead, one, two = (t.column(c)[0].as_py() for c in ("lead", "one", "two"))
+            size, part = 0, 0
+            for i, j in S.pairs(t.column("bitmap").to_pylist(), n, label, num, den):
+                if one != two:
                     ok = block[i] != block[j]
                     i, j = i[ok], j[ok]
-                new = set(zip(np.minimum(sig[i], sig[j]).tolist(), np.maximum(sig[i], sig[j]).tolist(), strict=True)) - told
-                if new:
-                    if len(told) > 1_000_000:
-                        told.clear()
-                    told |= new
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*new, strict=True)], ["a", "b"])
+                total = size + np.cumsum(n[i] + n[j])
+                parts = part + total // UNIT
+                if len(i):
+                    part, size = int(parts[-1]), int(total[-1] % UNIT)
+                    here = [pa.array(np.full(len(i), v), pa.int64()) for v in (lead, one, two)]
+                    yield pa.RecordBatch.from_arrays([*here, pa.array(parts), pa.array(np.minimum(sid[i], sid[j])), pa.array(np.maximum(sid[i], sid[j]))], ["lead", "one", "two", "part", "a", "b"])
 
     return run
 
 
-def _bounded(num: int, den: int):
-    """Pairs that their bitmaps do not rule out: the walk's bound for two single sets."""
+def _counted(num: int, den: int):
+    """The pairs of each unit whose sets are alike; the unit's sets come ahead of its pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            if not t.num_rows:
-                continue
-            bits = np.frombuffer(b"".join(t.column("xa").to_pylist() + t.column("xb").to_pylist()), np.uint64).reshape(-1, WORDS)
-            n, at = np.concatenate([t.column("na").to_numpy(), t.column("nb").to_numpy()]), np.arange(2 * t.num_rows)
-            x = _Level(bits, n, n, np.bitwise_count(bits).sum(1, dtype=np.int64), at, at)
-            yield t.select(["a", "b"]).filter(pa.array(_possible(x, at[: t.num_rows], at[t.num_rows :], num, den)))
+        for t in grouped(batches, ["unit"]):
+            shingles, a, b = t.column("shingles").to_pylist(), t.column("a").to_pylist(), t.column("b").to_pylist()
+            sets = {x: np.frombuffer(s, np.uint64) for x, s in zip(a, shingles, strict=True) if s is not None}
+            found = []
+            for x, y, s in zip(a, b, shingles, strict=True):
+                if s is None:
+                    few, many = sorted((sets[x], sets[y]), key=len)
+                    common = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
+                    if common * (num + den) >= (len(few) + len(many)) * num:
+                        found.append((x, y))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
     return run
 
 
+def _narrowed(df: DataFrame, ids: DataFrame, on: str | list[str], how: str) -> DataFrame:
+    """A join with distinct ids, without a shuffle of ``df`` while they are few."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
+
+
 def _verified(docs: DataFrame, told: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of signatures whose sets are alike, by exact counts."""
-    leaf = told.where("bitmap is not null").select("sig", "n", "bitmap").dropDuplicates(["sig"])
-    met = pairs.join(leaf.toDF("a", "na", "xa"), "a").join(leaf.toDF("b", "nb", "xb"), "b")
-    pairs = settle(met.mapInArrow(_bounded(num, den), "a long, b long"), "bounded")
-
-    def sides(values: DataFrame, pairs: DataFrame) -> DataFrame:
-        """(a, b, s): both values of each pair. A wanted value is shuffled once, then once for each pair that it is in."""
-        asked = pairs.select("a", "b", F.col("a").alias("sig")).union(pairs.select("a", "b", "b"))
-        ids = asked.select("sig").distinct()
-        few = ids.count() <= BROADCAST_IDS
-        wanted = values.join(F.broadcast(ids) if few else ids, "sig", "left_semi").groupBy("sig").agg(F.any_value("v").alias("v"))
-        return wanted.join(asked, "sig").groupBy("a", "b").agg(F.collect_list("v").alias("s"))
-
-    # Common shingles are in both prefixes, or behind the end of the one that ends first.
-    s, t = F.col("s")[0], F.col("s")[1]
-    common = F.size(F.array_intersect(s["prefix"], t["prefix"])) + F.greatest(s["n"] - F.size(s["prefix"]), t["n"] - F.size(t["prefix"]))
-    prefixes = told.where("prefix is not null").select("sig", F.struct("n", "prefix").alias("v"))
-    near = settle(sides(prefixes, pairs).where(common * (num + den) >= (s["n"] + t["n"]) * num).select("a", "b"), "near")
-
-    # Only the texts that are asked for are cut again: one document of each set.
-    ids = near.select(F.col("a").alias("sig")).union(near.select("b")).distinct()
-    names = told.where("bitmap is not null").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("one")).select("one").distinct()
-    few = names.count() <= BROADCAST_IDS
-    asked = docs.join(F.broadcast(names) if few else names, F.col("doc_id").eqNullSafe(F.col("one")), "left_semi")
-    sets = asked.select("text").mapInArrow(_shingles(k), "sig long, v array<long>")
-    common, n = F.size(F.array_intersect(s, t)).cast("long"), (F.size(s) + F.size(t)).cast("long")
-    links = settle(sides(sets, near).where(common * (num + den) >= n * num).select("a", "b"), "links")
-    discard(pairs, near)
+    """The pairs (a, b) of sets that are alike, by exact counts. Only the texts that are asked for are cut again, and a unit gets each set once."""
+    asked = pairs.select("unit", F.explode(F.array("a", "b")).alias("rid")).distinct()
+    ids = settle(asked.select("rid").distinct(), "ids")
+    names = settle(_narrowed(told.select("rid", "doc_id", "s1", "s2"), ids, "rid", "left_semi"), "names")
+    one = names.select(F.col("doc_id").alias("one")).distinct()
+    few = one.count() <= BROADCAST_IDS
+    texts = docs.join(F.broadcast(one) if few else one, F.col("doc_id").eqNullSafe(F.col("one")), "left_semi")
+    sets = texts.select("text").mapInArrow(_shingles(k), "s1 long, s2 long, shingles binary")
+    asked = settle(asked.join(names.drop("doc_id"), "rid").select("unit", "rid", "s1", "s2"), "asked")
+    met = _narrowed(sets, asked, ["s1", "s2"], "inner")
+    rows = met.select("unit", F.lit(0).alias("is_pair"), F.col("rid").alias("a"), F.lit(0).cast("long").alias("b"), "shingles")
+    rows = rows.unionByName(pairs.select("unit", F.lit(1).alias("is_pair"), "a", "b", F.lit(None).cast("binary").alias("shingles")))
+    links = settle(rows.repartition("unit").sortWithinPartitions("unit", "is_pair").mapInArrow(_counted(num, den), "a long, b long"), "links")
+    discard(ids, names, asked)
     return links
 
 
-def _unresolved(buckets: DataFrame, comps: DataFrame) -> DataFrame:
-    """Rows of buckets with more than one component."""
-    rows = buckets.join(comps.select(F.col("node").alias("sig"), F.col("component").alias("comp")), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    # Buckets with the same members are one: that of the first shingle in the order, where each member's place is least.
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("sig")).alias("who"), F.min_by("sig", F.xxhash64("sig")).alias("lead"), F.min("pos").alias("first"))
-    mixed = mixed.where("lo < hi").groupBy("members", "who").agg(F.min_by(F.struct("key", "lead"), "first").alias("m")).select("m.*", "members")
-    return rows.join(mixed, "key")
+def _told_pairs(rows: DataFrame, told: DataFrame, forest: bool, num: int, den: int) -> DataFrame:
+    """(unit, a, b) from the trees of ``rows(lead, one, two, block, sid, comp)``, one pair once."""
+    leaf = told.where("bitmap is not null").select(F.col("rid").alias("sid"), "n", "bitmap")
+    members = rows.join(leaf, "sid").repartition("lead", "one", "two").sortWithinPartitions("lead", "one", "two")
+    found = members.mapInArrow(_walks(forest, num, den), "lead long, one long, two long, part long, a long, b long")
+    unit = F.xxhash64("lead", "one", "two", "part")  # units that fall together are only compared at once
+    return found.select(unit.alias("unit"), "a", "b").dropDuplicates(["a", "b"])
+
+
+def _blocks(rows: DataFrame, apart: bool) -> DataFrame:
+    """``rows(lead, sid, comp)`` with the pairs (one, two) of blocks that a member is compared in.
+
+    ``apart``: all pairs of blocks but those within one component; otherwise each block by itself, with the lead in all.
+    A component of more members than a block has blocks of its own.
+    """
+    sizes = rows.groupBy("lead").agg(F.count(F.lit(1)).alias("members"))
+    large = sizes.where(F.col("members") > BLOCK)
+    small = rows.join(large.select("lead"), "lead", "left_anti").withColumns({"one": F.lit(0).cast("long"), "two": F.lit(0).cast("long"), "block": F.lit(0).cast("long")})
+    rows = rows.join(large, "lead")
+    own = rows.groupBy("lead", "comp").agg(F.count(F.lit(1)).alias("own")).where(F.col("own") > BLOCK)
+    rows = rows.join(own, ["lead", "comp"], "left")
+    number = lambda of, n: F.pmod(F.xxhash64(of), F.ceil(F.col(n) / BLOCK))
+    rows = rows.withColumn("block", F.when(F.col("own").isNull(), number("comp", "members")).otherwise(F.xxhash64("comp", number("sid", "own"))))
+    if apart:
+        there = rows.select("lead", "block", F.when(F.col("own").isNotNull(), F.col("comp")).alias("all")).distinct()
+        met = there.toDF("lead", "one", "x").join(there.toDF("lead", "two", "y"), "lead").where("one <= two and (x is null or y is null or x <> y)").select("lead", "one", "two")
+        sides = met.withColumn("block", F.col("one")).unionByName(met.where("one < two").withColumn("block", F.col("two")))
+        out = rows.join(sides, ["lead", "block"])
+    else:
+        rows = rows.where("sid <> lead")
+        heads = rows.select("lead", "block").distinct().withColumns({"sid": F.col("lead"), "comp": F.col("lead")})
+        out = rows.select("lead", "block", "sid", "comp").unionByName(heads).withColumns({"one": F.col("block"), "two": F.col("block")})
+    return small.unionByName(out.select(small.columns))
 
 
 def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -302,58 +268,48 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     frequent = docs.select("text").mapInArrow(_count_frequent(k), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n >= 32").orderBy(F.desc("n"), "key").limit(FREQUENT)
     hot = [r["key"] for r in frequent.collect()][::-1]
     shared = spark.sparkContext.broadcast(np.array(hot, np.int64).tobytes())
-    told = settle(docs.mapInArrow(_describe(k, num, den, shared), "doc_id long, n long, sig long, prefix array<long>, bitmap binary"), "sets")
-
-    entries = told.where("prefix is not null").select("sig", "n", F.posexplode("prefix").alias("pos", "key")).distinct()
-    by_key = Window.partitionBy("key").orderBy("n", "sig")
-    leader = F.first(F.struct(F.col("sig").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"))).over(by_key.rowsBetween(Window.unboundedPreceding, 0))
-    buckets = entries.select("key", "sig", "n", "pos", leader.alias("l"), F.row_number().over(by_key).alias("r"), F.lead("sig").over(by_key).alias("next"))
-    buckets = settle(buckets.where("r > 1 or next is not null").select("key", "sig", "n", "pos", "l.*"), "buckets")
-
-    def alike() -> Column:
-        """Sizes within reach, and enough left behind the places of a common shingle, if it is the pair's first: pairs meet at that one."""
-        sizes = (F.col("an") * num <= F.col("n") * den) & (F.col("n") * num <= F.col("an") * den)
-        return sizes & (F.least(F.col("n") - F.col("pos"), F.col("an") - F.col("ap")) * (num + den) >= (F.col("n") + F.col("an")) * num)
-
-    stars = settle(buckets.where((F.col("a") != F.col("sig")) & alike()).select("a", F.col("sig").alias("b")).distinct(), "stars")
-    links = _verified(docs, told, stars, k, num, den)
-    comps = components(links, "a", "b")
-    rest = settle(_unresolved(buckets.select("key", "sig", "n", "pos"), comps), "rest")
-    discard(buckets, stars)
-
-    # Other leaders, each time from another order, for what is still apart.
-    for turn in range(ROUNDS):
-        if not rest.limit(1).count():
-            break
-        other = Window.partitionBy("key").orderBy(F.xxhash64("sig", F.lit(turn)), "sig")
-        leader = F.first(F.struct(F.col("sig").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"), F.col("comp").alias("ac"))).over(other.rowsBetween(Window.unboundedPreceding, 0))
-        stars = rest.select("sig", "n", "pos", "comp", leader.alias("l")).select("sig", "n", "pos", "comp", "l.*").where((F.col("ac") != F.col("comp")) & alike())
-        stars = settle(stars.select(F.least("a", "sig").alias("a"), F.greatest("a", "sig").alias("b")).distinct(), "stars")
-        more = _verified(docs, told, stars, k, num, den)
-        links = links.unionByName(more)
-        before, comps = rest, components(links, "a", "b")
-        rest = settle(_unresolved(before.select("key", "sig", "n", "pos"), comps), "rest")
-        discard(before, stars)
+    told = docs.mapInArrow(_describe(k, num, den, shared), "doc_id long, n long, s1 long, s2 long, rare array<long>, late array<long>, bitmap binary")
+    told = settle(told.withColumn("rid", F.monotonically_increasing_id()), "sets")
+
+    # A set that several tasks have met is known by its least row.
+    held = told.where("bitmap is not null")
+    classes = settle(told.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.min(F.when(F.col("bitmap").isNotNull(), F.col("rid"))).alias("sid"), F.count("bitmap").alias("held")), "classes")
+    again = held.select("rid", "s1", "s2").join(classes.where("held > 1"), ["s1", "s2"]).where("rid <> sid").select("rid")
+    once = _narrowed(held.select("rid", "rare", "late"), settle(again, "again"), "rid", "left_anti")
+
+    rare = once.select(F.explode("rare").alias("key"), F.col("rid").alias("sid"))
+    by_key = Window.partitionBy("key")
+    led = rare.withColumn("lead", F.min("sid").over(by_key)).where("sid <> lead").select("lead", "sid")
+    late = once.select(F.explode("late").alias("key"), F.col("rid").alias("sid"))
+    leads = late.groupBy("key").agg(F.min("sid").alias("lead"), F.max("sid").alias("last")).where("lead < last").select("key", "lead")
+    led = led.unionByName(late.join(F.broadcast(leads), "key").where("sid <> lead").select("lead", "sid"))
+    groups = settle(led.distinct(), "groups")
+
+    home = groups.groupBy("sid").agg(F.min("lead").alias("lead")).select("lead", "sid")
+    home = home.unionByName(home.select("lead", F.col("lead").alias("sid")).distinct()).withColumn("comp", F.col("sid"))
+    first = settle(_told_pairs(_blocks(home, False), told, True, num, den), "pairs")
+    links = _verified(docs, told, first, k, num, den)
+    comps = settle(components(links, "a", "b"), "components")
+
+    label = comps.select(F.col("node").alias("sid"), F.col("component").alias("comp"))
+    rows = groups.join(label, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    leads = label.select(F.col("sid").alias("lead"), F.col("comp").alias("lead_comp"))
+    rows = settle(rows.join(leads, "lead", "left").withColumn("lead_comp", F.coalesce("lead_comp", "lead")), "rows")
+    mixed = rows.where("comp <> lead_comp").select("lead").distinct()
+    rest = rows.join(mixed, "lead", "left_semi")
+    rest = settle(rest.select("lead", "sid", "comp").unionByName(rest.select("lead", F.col("lead").alias("sid"), F.col("lead_comp").alias("comp")).distinct()), "rest")
     if rest.limit(1).count():
-        blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-        rest = rest.withColumn("block", F.pmod(F.xxhash64("sig"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        # Buckets with the same lead share most of their pairs, and a task tells each pair once; a lead with many rows has several tasks.
-        heavy = rest.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / LEAD_ROWS).alias("parts")).where("parts > 1")
-        rest = rest.join(heavy, "lead", "left").withColumn("part", F.pmod(F.col("key"), F.coalesce("parts", F.lit(1))))
-        rest = rest.select("lead", "part", F.lit(True).alias("is_row"), "key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "sig", "n", "pos", "comp", F.lit(None).cast("binary").alias("bitmap"))
-        # Each bitmap goes to a task once, ahead of the rows.
-        bitmaps = told.where("bitmap is not null").select("sig", "bitmap").dropDuplicates(["sig"])
-        none = [F.lit(0).cast(rest.schema[c].dataType).alias(c) for c in ("key", "left", "right", "block")]
-        members = rest.select("lead", "part", "sig").distinct().join(bitmaps, "sig").select("lead", "part", F.lit(False).alias("is_row"), *none, "sig", *(F.lit(0).cast(rest.schema[c].dataType).alias(c) for c in ("n", "pos", "comp")), "bitmap")
-        order = ["lead", "part", "is_row", "key", "left", "right"]
-        met = members.unionByName(rest).repartition("lead", "part").sortWithinPartitions(*order).mapInArrow(_walks(num, den), "a long, b long")
-        met = settle(met.distinct(), "pairs")
-        if met.limit(1).count():
-            links = links.unionByName(_verified(docs, told, met, k, num, den))
-            comps = components(links, "a", "b")
-
-    named = told.select("doc_id", F.col("n").alias("n_shingles"), "sig").join(comps.select(F.col("node").alias("sig"), "component"), "sig", "left")
-    named = settle(named.select("doc_id", "n_shingles", F.coalesce("component", "sig").alias("c")), "named")
-    least = named.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(least, "c", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        second = _told_pairs(_blocks(rest, True), told, False, num, den).join(first.select("a", "b"), ["a", "b"], "left_anti")
+        second = settle(second.select("unit", "a", "b"), "pairs")
+        if second.limit(1).count():
+            more = _verified(docs, told, second, k, num, den)
+            comps = settle(components(links.unionByName(more), "a", "b"), "components")
+        discard(second)
+    discard(groups, first, rows, rest)
+
+    reached = classes.join(comps.withColumnRenamed("node", "sid"), "sid")
+    least = reached.groupBy("component").agg(F.min("least").alias("component_id"))
+    reached = reached.join(least, "component").select("s1", "s2", "component_id")
+    names = classes.join(reached, ["s1", "s2"], "left").select("s1", "s2", F.coalesce("component_id", "least").alias("component_id"))
+    out = told.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2").join(names, ["s1", "s2"], "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -1,9 +1,11 @@
+import random
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from scrollmill.llm.ngram_join import WORDS, ngram_components, walk
+from scrollmill.llm import _signature_tree, ngram_join
+from scrollmill.llm.ngram_join import ngram_components
 
 from .conftest import frame, words
 
@@ -55,16 +57,39 @@ def test_empty_table(spark):
     assert ngram_components(frame(spark, [])).collect() == []
 
 
-def test_walk_finds_all_pairs_that_may_link():
+def test_links_of_mixed_blocks(spark):
+    """Random mixtures of shared blocks, edited a little: many groups that nearly link."""
+    rng = random.Random(8)
+    blocks = [" ".join(f"v{rng.randrange(900)}" for _ in range(rng.randrange(10, 60))) for _ in range(14)]
+    rows = []
+    for k in range(160):
+        w = " ".join(rng.sample(blocks, rng.randrange(1, 5))).split() if k % 3 or not rows else rows[rng.randrange(len(rows))][1].split()
+        for _ in range(rng.randrange(0, 4)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(50)}"
+        rows.append((k, " ".join(w)))
+    for k, num, den in ((4, 85, 100), (5, 4, 5), (2, 3, 5)):
+        assert Counter(map(tuple, ngram_components(frame(spark, rows), k, num, den).collect())) == expected(rows, k, num, den)
+
+
+def test_links_between_blocks_of_a_tree(spark, corpus, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "UNIT", 700)
+    got = Counter(map(tuple, ngram_components(frame(spark, corpus), 5, 4, 5).collect()))
+    assert got == expected(corpus, 5, 4, 5)
+
+
+@pytest.mark.parametrize("sizes", [(200, 200), (60, 70), (20, 900)])
+def test_trees_find_all_pairs_that_may_link(sizes):
     rng = np.random.default_rng(5)
-    base = [rng.choice(5000, 200, replace=False) for _ in range(12)]
-    members = [np.unique(np.concatenate([rng.choice(b, 190, replace=False), rng.choice(5000, 8)])) for b in base for _ in range(8)]
-    bits = np.zeros((len(members), WORDS * 64), np.uint8)
-    for i, m in enumerate(members):
-        bits[i, m % (WORDS * 64)] = 1
-    n = np.array([len(m) for m in members])
-    packed = np.frombuffer(np.packbits(bits, axis=1).tobytes(), np.uint64).reshape(len(members), WORDS)
-    ids = np.arange(len(members))
-    found = {(min(a, b), max(a, b)) for i, j in walk(ids, n, ids, packed, 4, 5) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+    base = [rng.integers(0, 1 << 63, rng.integers(sizes[0], sizes[1], endpoint=True), np.uint64) for _ in range(30)]
+    members = [np.unique(np.concatenate([rng.choice(b, len(b) * 95 // 100, replace=False), rng.integers(0, 1 << 63, len(b) // 30, np.uint64)])) for b in base for _ in range(rng.integers(1, 20))]
+    n, bitmaps = np.array([len(m) for m in members]), [_signature_tree.bitmap(m) for m in members]
     want = {(a, b) for a in range(len(members)) for b in range(a + 1, len(members)) if 5 * len(np.intersect1d(members[a], members[b])) >= 4 * len(np.union1d(members[a], members[b]))}
-    assert want <= found and len(found) < len(members) * (len(members) - 1) / 2
+    pairs = lambda label: {(min(a, b), max(a, b)) for i, j in _signature_tree.pairs(bitmaps, n, label, 4, 5) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+    found = pairs(np.arange(len(members)))
+    assert want <= found and len(found) < len(members) * (len(members) - 1) / 4
+    forest, joined = pairs(None), np.arange(len(members))
+    assert forest <= found
+    for a, b in forest:
+        joined[joined == joined[b]] = joined[a]
+    assert all(joined[a] == joined[b] for a, b in want)
