@@ -2,7 +2,7 @@
 
 The kernel of two strings counts the triples of letters that both have in the same order, each weighed by
 ``DECAY`` to the number of characters it skips, up to a span of ``SPAN``, and by how rare the triple is in clean
-text: letters with others between them, or with dots and blanks put in, still match. Training reads sentences of labelled documents. Only a few
+text: letters with others between them, or with dots and blanks put in, still match. Training reads the sentences of labelled documents. Only a few
 words of a toxic document are toxic, so its windows are not positive as such: those that begin at words
 which mark toxic sentences are at first, and then those that the machine itself picks.
 
@@ -13,8 +13,6 @@ scored by running sums over their characters. A text's score is that of its stro
 
 from __future__ import annotations
 
-import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,26 +22,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._store import free_name, small_batches
+from ._store import discard, free_name, settle, small_batches
 
 SPAN, DECAY = 7, 0.8
 #: Triples of a window begin at so many characters.
 WIDTH = 10
 LANDMARKS = 160
-#: Labelled documents of either class that are read for training at most, and sentences of each.
-TRAIN_DOCS, TRAIN_SENTENCES = 1500, 60
+#: Labelled documents of either class that are read for training at most, each whole.
+TRAIN_DOCS = 1500
+#: Windows that the machine is fitted on at most: without and with a mark of toxicity, and clean ones that it took for toxic.
+CLEAN, MARKED, HARD = 12_000, 6_000, 4_000
 THRESHOLD = 0.3
+#: Windows that are taken at once, to keep memory small.
+ROWS = 2048
 
 _CODE = np.zeros(256, np.int32)
 for _k in range(26):
     _CODE[97 + _k] = _CODE[65 + _k] = _k + 1
 _STEPS = [(a, b, DECAY ** (a + b - 2)) for a in range(1, SPAN - 1) for b in range(1, SPAN - a)]
 _PAD = SPAN + WIDTH
-_SENTENCE, _WORD = re.compile(r"[^.!?\n]+"), re.compile(r"[A-Za-z]+")
-
-
-def _codes(text: str) -> np.ndarray:
-    return np.concatenate([_CODE[np.frombuffer(text.encode(), np.uint8)], np.zeros(_PAD, np.int32)])
+_LETTER, _ENDS = _CODE > 0, np.isin(np.arange(256), list(b".!?\n"))
 
 
 @dataclass(frozen=True)
@@ -55,8 +53,8 @@ class Model:
     slope: float
     shift: float
 
-    def values(self, codes: np.ndarray) -> np.ndarray:
-        """The machine's value of the window at each position; a window that begins at no word is taken for one without letters."""
+    def sums(self, codes: np.ndarray) -> np.ndarray:
+        """The machine's value of the window at each position."""
         n = len(codes) - SPAN
         v = np.zeros(n + 1, np.float64)
         sums = np.zeros(n, np.float32)
@@ -65,9 +63,14 @@ class Model:
             for b in range(1, SPAN - a):
                 sums += self.table[pair + codes[a + b : a + b + n]] * np.float32(DECAY ** (a + b - 2))
         np.cumsum(sums, out=v[1:])
+        return v[WIDTH:] - v[:-WIDTH] + self.bias
+
+    def values(self, codes: np.ndarray) -> np.ndarray:
+        """As sums, but a window that begins at no word is taken for one without letters."""
+        n = len(codes) - SPAN
         opens = codes[: n - WIDTH + 1] > 0
         opens[1:] &= codes[: n - WIDTH] == 0
-        return np.where(opens, v[WIDTH:] - v[:-WIDTH], 0) + self.bias
+        return np.where(opens, self.sums(codes), self.bias)
 
     def best(self, chunk: T.Chunk) -> np.ndarray:
         """The strongest window of each text; of no window, a window without letters."""
@@ -92,22 +95,28 @@ def _triples(windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.float32]]:
 def _kernel(windows: np.ndarray, features: np.ndarray) -> np.ndarray:
     """K(windows, landmarks) from the landmarks' triple weights, places first."""
     out = np.zeros((len(windows), features.shape[1]), np.float32)
-    for place, weight in _triples(windows):
-        out += features[place] * weight
+    for a in range(0, len(windows), ROWS):
+        for place, weight in _triples(windows[a : a + ROWS]):
+            out[a : a + ROWS] += features[place] * weight
     return out
 
 
 def _machine(z: np.ndarray, y: np.ndarray, c: float = 10.0) -> np.ndarray:
     """Linear machine with squared hinge loss, both classes of equal weight, by Newton steps on the active rows."""
-    x = np.concatenate([z, np.ones((len(z), 1), np.float32)], 1).astype(np.float64)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y) * c
-    ridge = np.eye(x.shape[1])
+    size = z.shape[1] + 1
+    ridge = np.eye(size)
     ridge[-1, -1] = 1e-6
-    w = np.zeros(x.shape[1])
+    w = np.zeros(size)
     for _ in range(40):
-        active = y * (x @ w) < 1
-        xa, ya, wa = x[active], y[active], weight[active]
-        new = np.linalg.solve(ridge + xa.T @ (xa * wa[:, None]), xa.T @ (ya * wa))
+        left, right = ridge.copy(), np.zeros(size)
+        for a in range(0, len(z), ROWS):
+            x = np.concatenate([z[a : a + ROWS], np.ones((len(z[a : a + ROWS]), 1))], 1)
+            active = y[a : a + ROWS] * (x @ w) < 1
+            x, yw = x[active], (y * weight)[a : a + ROWS][active]
+            left += x.T @ (x * np.abs(yw)[:, None])
+            right += x.T @ yw
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-6):
             break
         w = 0.5 * w + 0.5 * new if _ > 10 else new
@@ -133,79 +142,131 @@ def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
+def _values(model: Model):
+    """(toxic, value of the strongest window) of each whole text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [model.best(chunk) for chunk in T.chunks(batch.column("text"), T.CHUNK // 4)]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())], ["toxic", "value"])
 
-    for batch in batches:
-        rows = []
-        for doc, toxic, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "text")), strict=True):
-            parts = {p for s in _SENTENCE.findall(text or "") for p in re.findall(r".{1,300}(?:\s|$)|.{1,300}", s.strip()) if p.strip()}
-            rows += [(doc, toxic, s) for s in sorted(parts, key=xxhash.xxh64_intdigest)[:TRAIN_SENTENCES]]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.string()), strict=True)], ["doc_id", "toxic", "sentence"])
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """From ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``, without held-out rows.
 
-    Reads up to ``TRAIN_DOCS`` documents a class, taken by a hash of doc_id, and up to ``TRAIN_SENTENCES`` sentences of each, by a
-    hash of the sentence: what the driver fits is bounded whatever the tables hold. Several labels of a document count as toxic
-    if one is. Null labels and ids are left out. Without documents of both classes every score is the share of toxic ones.
+    Reads up to ``TRAIN_DOCS`` documents a class, taken by a hash of doc_id, each whole: the one task that fits the machine is
+    bounded by that number of texts. Spark then scores the same whole texts, and their values calibrate the machine. Several labels of a
+    document count as toxic if one is. Null labels and ids are left out. Without documents of both classes every score is
+    the share of toxic ones.
     """
     small_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     share = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     sample = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS) for k in (0, 1)]
     chosen = F.broadcast(sample[0].unionByName(sample[1]))
-    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
-    rows = met.select("doc_id", "toxic", "text").mapInArrow(_sentences, "doc_id long, toxic int, sentence string").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["doc_id"], r["sentence"]))
-    return fit(rows, share)
-
-
-def fit(rows: list[dict], share: dict[int, int]) -> Model:
-    """rows: doc_id, toxic and sentence. share: documents of each class in all labels."""
-    total = sum(share.values())
-    prior = (share.get(1, 0) + 0.5) / (total + 1)
-    nothing = Model(np.zeros(1 << 15, np.float32), 0.0, 0.0, float(np.log(prior / (1 - prior))))
-    docs = {r["doc_id"]: r["toxic"] for r in rows}
-    if len(set(docs.values())) < 2:
-        return nothing
-    # Windows begin at words. Equal sentences, as copies have, are counted once.
-    texts: dict[str, int] = {}
-    for r in rows:
-        texts[r["sentence"]] = max(texts.get(r["sentence"], 0), r["toxic"])
-    in_class: tuple[Counter, Counter] = (Counter(), Counter())
-    number: dict[str, int] = {}
-    codes, at, word, toxic, length = [], [], [], [], 0
-    for s, y in sorted(texts.items()):
-        found = [(m[0].lower(), len(s[: m.start()].encode())) for m in _WORD.finditer(s)]
-        in_class[y].update({w for w, _ in found})
-        codes.append(_codes(s).astype(np.uint8))
-        at += [length + k for _, k in found]
-        word += [number.setdefault(w, len(number)) for w, _ in found]
-        toxic += [y] * len(found)
-        length += len(codes[-1])
-    if not at:
+    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(chosen, "doc_id")
+    met = settle(met, "labelled")
+    fitted = met.repartition(1).mapInArrow(_fitted(share), "table binary, bias double, slope double, shift double").collect()
+    model = Model(np.frombuffer(fitted[0]["table"], np.float32), *fitted[0][1:]) if fitted else _share_only(share)
+    if model.slope:
+        told = met.select("toxic", "text").mapInArrow(_values(model), "toxic int, value double").toArrow()
+        y, value = told.column("toxic").to_numpy(), told.column("value").to_numpy()
+        weight = np.array([share.get(int(k), 1) / max(1, int((y == k).sum())) for k in y])
+        order = np.lexsort((value, y))  # rows come in any order, and sums must not depend on it
+        slope, shift = _calibrate(value[order], y[order], (weight * len(y) / weight.sum())[order])
+        model = Model(model.table, model.bias, slope, shift)
+    discard(met)
+    return model
+
+
+@dataclass
+class _Windows:
+    """Windows that begin at words of different sentences: their characters, word number and the label of their sentence (1 if it stands in a toxic text)."""
+
+    codes: np.ndarray
+    start: np.ndarray
+    word: np.ndarray
+    toxic: np.ndarray
+
+    def __getitem__(self, k: np.ndarray) -> np.ndarray:
+        return np.lib.stride_tricks.sliding_window_view(self.codes, WIDTH + SPAN)[self.start[k]]
+
+
+def _cut(rows: pa.Table) -> tuple[_Windows, np.ndarray]:
+    """The windows of all texts, and for each word the numbers of clean and of toxic sentences that it is in. Equal sentences, as copies have, count once."""
+    kinds = rows.column("toxic").to_numpy()
+    parts, codes, base, sentences = [], [], 0, 0
+    for chunk in T.chunks(rows.column("text")):
+        w = T.words(chunk, _LETTER)
+        ends = _ENDS[chunk.data].astype(np.int64)
+        ends[chunk.at[1:-1][chunk.at[1:-1] < len(ends)]] += 1
+        number = np.cumsum(ends)
+        owner = np.searchsorted(w.at, np.arange(len(w.start)), "right") - 1
+        parts.append((w.start + base, w.hash, number[w.start] + sentences, kinds[chunk.first + owner]))
+        codes += [_CODE[chunk.data].astype(np.uint8), np.zeros(_PAD, np.uint8)]
+        base += len(chunk.data) + _PAD
+        sentences += int(number[-1]) + 1 if len(number) else 1
+    start, word, sentence, toxic = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 4
+    if len(start):
+        first = np.flatnonzero(np.concatenate([[True], sentence[1:] != sentence[:-1]]))
+        size = np.diff(np.concatenate([first, [len(sentence)]]))
+        place = np.arange(len(start)) - np.repeat(first, size)
+        name = np.add.reduceat(T.mix(word ^ T.mix(place.astype(np.uint64))), first)
+        _, one, same = np.unique(name, return_index=True, return_inverse=True)
+        label = np.zeros(len(one), np.int8)
+        np.maximum.at(label, same, toxic[first].astype(np.int8))
+        kept = np.zeros(len(first), bool)
+        kept[one] = True
+        here = np.repeat(kept, size)
+        start, word, sentence, toxic = start[here], word[here], np.repeat(same, size)[here], np.repeat(label[same], size)[here]
+    word = np.unique(word, return_inverse=True)[1]
+    words, size = (int(word.max()) + 1, len(label)) if len(word) else (0, 0)
+    there = np.unique(word * max(1, size) + sentence)
+    count = np.zeros((words + 1, 2), np.int64)
+    if size:
+        np.add.at(count, (there // size, label[there % size]), 1)
+        count[words] = [int((label == k).sum()) for k in (0, 1)]  # of all sentences
+    return _Windows(np.concatenate([*codes, np.zeros(_PAD, np.uint8)]), start, word.astype(np.int32), toxic.astype(np.int8)), count
+
+
+def _share_only(share: dict[int, int]) -> Model:
+    """Every score is the share of toxic documents."""
+    prior = (share.get(1, 0) + 0.5) / (sum(share.values()) + 1)
+    return Model(np.zeros(1 << 15, np.float32), 0.0, 0.0, float(np.log(prior / (1 - prior))))
+
+
+def _fitted(share: dict[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if rows := [b for b in batches if b.num_rows]:
+            m = fit(pa.Table.from_batches(rows).sort_by([("doc_id", "ascending"), ("text", "ascending")]), share)
+            yield pa.RecordBatch.from_pydict({"table": [m.table.tobytes()], "bias": [m.bias], "slope": [m.slope], "shift": [m.shift]})
+
+    return run
+
+
+def fit(rows: pa.Table, share: dict[int, int]) -> Model:
+    """rows: toxic and text, in a fixed order. share: documents of each class in all labels. The model is not calibrated; without both classes its slope is 0."""
+    nothing = _share_only(share)
+    if len(set(rows.column("toxic").to_pylist())) < 2:
         return nothing
-    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate(codes), WIDTH + SPAN)[np.array(at)]
-    word, toxic = np.array(word, np.int32), np.array(toxic, np.int8)
-    del codes, at
-    sizes = [max(1, sum(1 for y in texts.values() if y == k)) for k in (0, 1)]
-    marks = {w for w, n in in_class[1].items() if n >= max(3, 0.002 * sizes[1]) and (n + 0.5) / (sizes[1] + 1) >= 8 * (in_class[0][w] + 0.5) / (sizes[0] + 1)}
-    if not marks:
+    windows, count = _cut(rows)
+    toxic, word = windows.toxic, windows.word
+    count, (clean_size, toxic_size) = count[:-1], np.maximum(1, count[-1])
+    mark = (count[:, 1] >= max(3, 0.002 * toxic_size)) & ((count[:, 1] + 0.5) / (toxic_size + 1) >= 8 * (count[:, 0] + 0.5) / (clean_size + 1))
+    if not mark.any():
         return nothing
     rng = np.random.default_rng(11)
-    is_mark = np.isin(word, [number[w] for w in marks])
     negative = np.flatnonzero(toxic == 0)
-    negative = np.sort(rng.choice(negative, min(len(negative), 12_000), replace=False))
-    positive = np.flatnonzero((toxic == 1) & is_mark)
-    positive = np.sort(rng.choice(positive, min(len(positive), 6_000), replace=False))
+    negative = np.sort(rng.choice(negative, min(len(negative), CLEAN), replace=False))
+    positive = np.flatnonzero((toxic == 1) & mark[word])
+    positive = np.sort(rng.choice(positive, min(len(positive), MARKED), replace=False))
+    if not len(negative):
+        return nothing
 
     # Landmarks: half of them by turns from each marking word, half from clean windows.
-    by_word = defaultdict(list)
-    for k in positive:
-        by_word[int(word[k])].append(k)
+    by_word = {int(w): positive[word[positive] == w] for w in np.unique(word[positive])}
     turns = [ks[t] for t in range(LANDMARKS) for _, ks in sorted(by_word.items(), key=lambda x: (-len(x[1]), x[0])) if t < len(ks)][: LANDMARKS // 2]
     marked = windows[np.concatenate([turns, rng.choice(negative, min(len(negative), LANDMARKS // 2), replace=False)])]
     features = np.zeros((1 << 15, len(marked)), np.float32)
@@ -240,26 +301,20 @@ def fit(rows: list[dict], share: dict[int, int]) -> Model:
         table[:] = features @ (root @ w[:-1]).astype(np.float32)
         table[0] = 0
         model = Model(table, float(w[-1]), 1.0, 0.0)
-        value = np.full(len(windows), w[-1], np.float32)
-        for a in range(0, len(windows), 50_000):
-            value[a : a + 50_000] += sum(table[place] * weight for place, weight in _triples(windows[a : a + 50_000]))
+        if turn == 2:
+            break
+        value = np.empty(len(windows.start), np.float32)
+        step = 1 << 20  # of characters, with what the last windows reach beyond
+        for a in range(0, len(windows.codes), step):
+            here = slice(*np.searchsorted(windows.start, [a, a + step]))
+            value[here] = model.sums(windows.codes[a : a + step + _PAD].astype(np.int32))[windows.start[here] - a]
         picked = np.flatnonzero((toxic == 1) & (value > 0))
-        if turn == 2 or not len(picked):
+        if not len(picked):
             break
-        positive = picked[np.argsort(-value[picked], kind="stable")[:6_000]]
+        positive = picked[np.argsort(-value[picked], kind="stable")[:MARKED]]
         clean = np.flatnonzero(toxic == 0)
-        hard = clean[np.argsort(-value[clean], kind="stable")[:4_000]]
-        negative = np.union1d(negative, hard)
-
-    best = {d: -9.0 for d in docs}
-    strongest = np.concatenate([model.best(chunk) for chunk in T.chunks(pa.array([r["sentence"] for r in rows]))])
-    for r, v in zip(rows, strongest.tolist(), strict=True):
-        best[r["doc_id"]] = max(best[r["doc_id"]], v)
-    ids = sorted(docs)
-    y = np.array([docs[d] for d in ids])
-    weight = np.array([share.get(int(k), 1) / max(1, int((y == k).sum())) for k in y])
-    slope, shift = _calibrate(np.array([best[d] for d in ids]), y, weight * len(y) / weight.sum())
-    return Model(table, model.bias, slope, shift)
+        negative = np.union1d(negative, clean[np.argsort(-value[clean], kind="stable")[:HARD]])
+    return model
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
