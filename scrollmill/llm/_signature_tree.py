@@ -105,20 +105,26 @@ class _Tree:
                     stack.append((k - 1, a, b))
 
     def union(self, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Of leaf pairs those that join two labels, the likest first."""
+        if len(i) > 1:
+            leaf = self.levels[0]
+            differ = np.bitwise_count(leaf.bits[i] ^ leaf.bits[j]).sum(1, dtype=np.int64)
+            order = np.argsort(differ / (leaf.lo[i] + leaf.lo[j]), kind="stable")
+            i, j = i[order], j[order]
         for a, b in zip(i.tolist(), j.tolist(), strict=True):
             x, y = self.label[a], self.label[b]
             if x != y:
                 self.label[self.label == max(x, y)] = min(x, y)
                 yield a, b
 
-    def forest(self) -> Iterator[tuple[int, int]]:
-        """Enough pairs to join all that may link, taking it for granted that they do: from small nodes to large ones, one pair for two that are whole."""
+    def forest(self, quick: bool) -> Iterator[tuple[int, int]]:
+        """Enough pairs to join all that may link, taking it for granted that they do: from small nodes to large ones. ``quick``: of two nodes that are whole only the first members are tried before."""
         for k in range(1, len(self.levels)):
             nodes = np.arange(len(self.levels[k].lo))
             a, b = self.children(k, nodes, nodes)
             a, b = a[a < b], b[a < b]
             size = FANOUT ** (k - 1)
-            if k > 1:
+            if k > 1 and quick:
                 lo, hi = self.ranges(k - 1)
                 whole = (lo[a] == hi[a]) & (lo[b] == hi[b]) & (lo[a] != lo[b])
                 x, y = a[whole] * size, b[whole] * size
@@ -128,10 +134,10 @@ class _Tree:
                 yield from self.union(i, j)
 
 
-def pairs(bitmaps: list[bytes], n: np.ndarray, label: np.ndarray | None, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def pairs(bitmaps: list[bytes], n: np.ndarray, label: np.ndarray | None, forest: bool, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions of pairs of sets that may link, by a tree for each width of the bitmaps.
 
-    With labels: all pairs of different labels that are not ruled out. Without: a forest of them. Sets of other widths
+    All pairs of different labels (of any two, if None) that are not ruled out, or a forest of them. Sets of other widths
     that are near enough in size join a tree with their bitmaps folded.
     """
     widths = np.array([8 * len(b) for b in bitmaps])
@@ -142,8 +148,8 @@ def pairs(bitmaps: list[bytes], n: np.ndarray, label: np.ndarray | None, num: in
             continue
         tree = _Tree(_rows([bitmaps[k] for k in here], width // 8), n[here], np.arange(len(here)) if label is None else label[here], ~own[here], num, den)
         at = here[tree.order]
-        if label is None:
-            found = list(tree.forest())
+        if forest:
+            found = list(tree.forest(label is None))
             if found:
                 i, j = np.array(found, np.int64).T
                 yield at[i], at[j]

@@ -7,9 +7,10 @@ shingles in one fixed order, rare before frequent, two sets that link share one
 Of the sets that share such a shingle the least is their lead, and each lead has a tree of all sets that it leads:
 whatever may link stands in one tree at least.
 
-Trees are walked twice. The first time each set is in one tree, and only a forest of pairs is told, enough to join
-what may link. Their exact counts give components. The second time, trees that hold more than one component tell all
-pairs of different components that their bitmaps don't rule out. Every link between different sets is then either
+Trees are walked three times. The first time each set is in one tree, and only a forest of pairs is told, enough to
+join what may link. Their exact counts give components. The second time, trees that hold more than one component tell
+a forest that joins these, by the likest pairs; the third time, all pairs of components that are still different which
+their bitmaps don't rule out. Every link between different sets is then either
 verified or joins two members of a component already, so components are exact, and no group is written out as pairs.
 Equal sets are one class from the start.
 
@@ -148,7 +149,7 @@ def _shingles(k: int):
     return run
 
 
-def _walks(forest: bool, num: int, den: int):
+def _walks(labelled: bool, forest: bool, num: int, den: int):
     """(lead, part, a, b) from the trees of each (lead, one, two); the pairs of a part have ``UNIT`` shingles or little more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,10 +157,10 @@ def _walks(forest: bool, num: int, den: int):
             if t.num_rows < 2:
                 continue
             sid, n, block = (t.column(c).to_numpy() for c in ("sid", "n", "block"))
-            label = None if forest else t.column("comp").to_numpy()
+            label = t.column("comp").to_numpy() if labelled else None
             lead, one, two = (t.column(c)[0].as_py() for c in ("lead", "one", "two"))
             size, part = 0, 0
-            for i, j in S.pairs(t.column("bitmap").to_pylist(), n, label, num, den):
+            for i, j in S.pairs(t.column("bitmap").to_pylist(), n, label, forest, num, den):
                 if one != two:
                     ok = block[i] != block[j]
                     i, j = i[ok], j[ok]
@@ -216,11 +217,11 @@ def _verified(docs: DataFrame, told: DataFrame, pairs: DataFrame, k: int, num: i
     return links
 
 
-def _told_pairs(rows: DataFrame, told: DataFrame, forest: bool, num: int, den: int) -> DataFrame:
+def _told_pairs(rows: DataFrame, told: DataFrame, labelled: bool, forest: bool, num: int, den: int) -> DataFrame:
     """(unit, a, b) from the trees of ``rows(lead, one, two, block, sid, comp)``, one pair once."""
     leaf = told.where("bitmap is not null").select(F.col("rid").alias("sid"), "n", "bitmap")
     members = rows.join(leaf, "sid").repartition("lead", "one", "two").sortWithinPartitions("lead", "one", "two")
-    found = members.mapInArrow(_walks(forest, num, den), "lead long, one long, two long, part long, a long, b long")
+    found = members.mapInArrow(_walks(labelled, forest, num, den), "lead long, one long, two long, part long, a long, b long")
     unit = F.xxhash64("lead", "one", "two", "part")  # units that fall together are only compared at once
     return found.select(unit.alias("unit"), "a", "b").dropDuplicates(["a", "b"])
 
@@ -287,25 +288,25 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
 
     home = groups.groupBy("sid").agg(F.min("lead").alias("lead")).select("lead", "sid")
     home = home.unionByName(home.select("lead", F.col("lead").alias("sid")).distinct()).withColumn("comp", F.col("sid"))
-    first = settle(_told_pairs(_blocks(home, False), told, True, num, den), "pairs")
-    links = _verified(docs, told, first, k, num, den)
+    told_pairs = settle(_told_pairs(_blocks(home, False), told, False, True, num, den), "pairs")
+    links = _verified(docs, told, told_pairs, k, num, den)
     comps = settle(components(links, "a", "b"), "components")
-
-    label = comps.select(F.col("node").alias("sid"), F.col("component").alias("comp"))
-    rows = groups.join(label, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    leads = label.select(F.col("sid").alias("lead"), F.col("comp").alias("lead_comp"))
-    rows = settle(rows.join(leads, "lead", "left").withColumn("lead_comp", F.coalesce("lead_comp", "lead")), "rows")
-    mixed = rows.where("comp <> lead_comp").select("lead").distinct()
-    rest = rows.join(mixed, "lead", "left_semi")
-    rest = settle(rest.select("lead", "sid", "comp").unionByName(rest.select("lead", F.col("lead").alias("sid"), F.col("lead_comp").alias("comp")).distinct()), "rest")
-    if rest.limit(1).count():
-        second = _told_pairs(_blocks(rest, True), told, False, num, den).join(first.select("a", "b"), ["a", "b"], "left_anti")
-        second = settle(second.select("unit", "a", "b"), "pairs")
-        if second.limit(1).count():
-            more = _verified(docs, told, second, k, num, den)
-            comps = settle(components(links.unionByName(more), "a", "b"), "components")
-        discard(second)
-    discard(groups, first, rows, rest)
+    asked = told_pairs.select("a", "b")
+    for forest in (True, False):
+        label = comps.select(F.col("node").alias("sid"), F.col("component").alias("comp"))
+        rows = groups.join(label, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+        leads = label.select(F.col("sid").alias("lead"), F.col("comp").alias("lead_comp"))
+        rows = settle(rows.join(leads, "lead", "left").withColumn("lead_comp", F.coalesce("lead_comp", "lead")), "rows")
+        mixed = rows.where("comp <> lead_comp").select("lead").distinct()
+        rest = rows.join(mixed, "lead", "left_semi")
+        rest = settle(rest.select("lead", "sid", "comp").unionByName(rest.select("lead", F.col("lead").alias("sid"), F.col("lead_comp").alias("comp")).distinct()), "rest")
+        if not rest.limit(1).count():
+            break
+        told_pairs = settle(_told_pairs(_blocks(rest, True), told, True, forest, num, den).join(asked, ["a", "b"], "left_anti").select("unit", "a", "b"), "pairs")
+        if told_pairs.limit(1).count():
+            asked, links = asked.unionByName(told_pairs.select("a", "b")), links.unionByName(_verified(docs, told, told_pairs, k, num, den))
+            comps = settle(components(links, "a", "b"), "components")
+        discard(rows, rest)
 
     reached = classes.join(comps.withColumnRenamed("node", "sid"), "sid")
     least = reached.groupBy("component").agg(F.min("least").alias("component_id"))

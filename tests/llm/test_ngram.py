@@ -85,11 +85,13 @@ def test_trees_find_all_pairs_that_may_link(sizes):
     members = [np.unique(np.concatenate([rng.choice(b, len(b) * 95 // 100, replace=False), rng.integers(0, 1 << 63, len(b) // 30, np.uint64)])) for b in base for _ in range(rng.integers(1, 20))]
     n, bitmaps = np.array([len(m) for m in members]), [_signature_tree.bitmap(m) for m in members]
     want = {(a, b) for a in range(len(members)) for b in range(a + 1, len(members)) if 5 * len(np.intersect1d(members[a], members[b])) >= 4 * len(np.union1d(members[a], members[b]))}
-    pairs = lambda label: {(min(a, b), max(a, b)) for i, j in _signature_tree.pairs(bitmaps, n, label, 4, 5) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+    pairs = lambda label, forest=False: {(min(a, b), max(a, b)) for i, j in _signature_tree.pairs(bitmaps, n, label, forest, 4, 5) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
     found = pairs(np.arange(len(members)))
     assert want <= found and len(found) < len(members) * (len(members) - 1) / 4
-    forest, joined = pairs(None), np.arange(len(members))
-    assert forest <= found
-    for a, b in forest:
-        joined[joined == joined[b]] = joined[a]
-    assert all(joined[a] == joined[b] for a, b in want)
+    assert pairs(None) == found
+    for label in (None, np.arange(len(members))):
+        forest, joined = pairs(label, True), np.arange(len(members))
+        assert forest <= found and len(forest) < len(members)
+        for a, b in forest:
+            joined[joined == joined[b]] = joined[a]
+        assert all(joined[a] == joined[b] for a, b in want)
