@@ -15,9 +15,13 @@ import numpy as np
 
 #: Beyond these characters two libraries may split words by different Unicode tables.
 _BEYOND = re.compile("[^\x00-ɏ]")
-#: Runs that a splitting pattern may keep whole; longer ones go to the tree (bpe.py) or the library's own merge queue.
+#: Runs that a splitting pattern may keep whole; longer ones go to the library's own merge queue.
 LONG_RUN = 4096
-_LONG = re.compile(rf"[^ \t-\r]{{{LONG_RUN}}}|[ \t-\r]{{{LONG_RUN}}}")
+
+
+def _has_long_run(text: str) -> bool:
+    return len(text) >= LONG_RUN and (max(map(len, text.split()), default=0) >= LONG_RUN or any(c * LONG_RUN in text for c in " \n\t"))
+
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
 
@@ -83,7 +87,7 @@ class Encoder:
         quick = _tiktoken(ranks)
 
         def encode(text: str) -> np.ndarray:
-            if _BEYOND.search(text) or special.search(text) or _LONG.search(text):
+            if _BEYOND.search(text) or special.search(text) or _has_long_run(text):
                 return slow(text)
             return np.array(quick.encode_ordinary(text), np.uint32)
 

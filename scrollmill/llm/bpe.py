@@ -1,15 +1,17 @@
-"""Byte-pair encoding and decoding of whole texts.
-
-Most texts are encoded where they are read. A text with a run of ``LONG_RUN`` or more characters that spaces do
-not split goes another way: its words are split as the tokenizer splits them, a word longer than ``LEAF``
-characters is halved until its pieces are not, and the pieces are encoded in parallel by whichever tasks
-they hash to. Pieces of a word are then joined as a tree. At each join a window of tokens on both sides
-is encoded again and doubled until its outermost tokens agree with the two sides: a byte-pair encoding is
-right if and only if each pair of neighbouring tokens is, so what lies outside of the window stands.
+"""Byte-pair encoding and decoding of whole texts by tree concatenation.
+
+A text of more than ``LEAF`` characters is halved, and its halves are, until its pieces are not longer; the pieces are
+encoded in parallel by whichever tasks they hash to, and joined as a tree. At each join a window of tokens on both
+sides is encoded again and doubled until its outermost tokens agree with the two sides. A half is cut at the space
+nearest to the middle that the tokenizer splits at in any case. Where there is none, the text is cut into words as the
+tokenizer splits it, a longer word is halved anywhere, and merges alone are looked at again at its joins: a byte-pair
+encoding is right if and only if each pair of neighbouring tokens is, so what lies outside of the window stands.
+Shorter texts are one piece and are encoded where they are read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,14 +21,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._groups import grouped
-from ._store import small_batches
-from ._tokenizers import LONG_RUN, Encoder, encoder
+from ._store import small_batches, tidy
+from ._tokenizers import Encoder, encoder
 
-LEAF = 4096
+#: Characters of a piece at most.
+LEAF = 8192
 #: Bytes of encoded rows in one Arrow batch.
 BATCH = 16 << 20
 
 
+#: A space between two printable ASCII characters: a byte-level splitting pattern ends a word before it, and looks no further back.
+_SAFE = re.compile("(?<=[!-~]) (?=[!-~])")
+
+
+def safe_halves(text: str, leaf: int) -> list[str]:
+    """Pieces that end where any such text is split; one longer than ``leaf`` has no such place in its middle half."""
+    if len(text) <= leaf:
+        return [text]
+    middle, reach = len(text) // 2, len(text) // 4
+    after = _SAFE.search(text, middle, middle + reach)
+    before = None
+    for before in _SAFE.finditer(text, max(middle - 200, 0), middle):
+        pass
+    if before is None and after is None:
+        for before in _SAFE.finditer(text, middle - reach, middle):
+            pass
+    at = min((m.start() for m in (before, after) if m), key=lambda k: abs(k - middle), default=None)
+    return [text] if at is None else safe_halves(text[:at], leaf) + safe_halves(text[at:], leaf)
+
+
 def halves(text: str, leaf: int) -> list[str]:
     if len(text) <= leaf:
         return [text]
@@ -58,33 +81,40 @@ def tree(pieces: list[np.ndarray], tokens: list[bytes], merge: Callable[[str], n
     return join(tree(pieces[:middle], tokens, merge), tree(pieces[middle:], tokens, merge), tokens, merge)
 
 
+#: What a piece is: encoded as a text of its own and joined to others of its kind; words, each merged alone; an added token. Others are numbers of long words.
+TEXT, WORDS, ADDED = -3, -1, -2
+
+
 def pieces(text: str, e: Encoder, leaf: int = LEAF) -> Iterator[tuple[int, list[str]]]:
-    """(word, parts): word is -1 for parts that are encoded alone, -2 for an added token, else the number of the long word that a piece is of."""
-    held: list[str] = []
-    size = word = at = 0
+    """(kind, parts) of the pieces of a text, in order."""
+    word = at = 0
 
     def split(run: str) -> Iterator[tuple[int, list[str]]]:
-        nonlocal held, size, word
-        for _, (a, b) in e.split(run):
-            if b - a > leaf:
-                if held:
-                    yield -1, held
-                for piece in halves(run[a:b], leaf):
-                    yield word, [piece]
-                word, held, size = word + 1, [], 0
-            else:
-                held.append(run[a:b])
-                size += b - a
-                if size > 4 * leaf:
-                    yield -1, held
-                    held, size = [], 0
-        if held:
-            yield -1, held
-        held, size = [], 0
+        nonlocal word
+        for piece in safe_halves(run, leaf) if run else []:
+            if len(piece) <= leaf:
+                yield TEXT, [piece]
+                continue
+            held, size = [], 0
+            for _, (a, b) in e.split(piece):
+                if b - a > leaf:
+                    if held:
+                        yield WORDS, held
+                    for half in halves(piece[a:b], leaf):
+                        yield word, [half]
+                    word, held, size = word + 1, [], 0
+                else:
+                    held.append(piece[a:b])
+                    size += b - a
+                    if size > leaf:
+                        yield WORDS, held
+                        held, size = [], 0
+            if held:
+                yield WORDS, held
 
     for m in e.special.finditer(text):
         yield from split(text[at : m.start()])
-        yield -2, [m[0]]
+        yield ADDED, [m[0]]
         at = m.end()
     yield from split(text[at:])
 
@@ -98,7 +128,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    unsplit = (F.octet_length("text") >= LONG_RUN) & F.col("text").rlike(rf"[^ \t-\r]{{{LONG_RUN}}}|[ \t-\r]{{{LONG_RUN}}}")
+    long = F.length("text") > LEAF
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
@@ -127,28 +157,31 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             ids = []
             for word, parts in zip(batch.column("word").to_pylist(), batch.column("parts").to_pylist(), strict=True):
-                ids.append(np.array([e.added[parts[0]]], np.uint32).tobytes() if word == -2 else b"".join(e.merge(p).tobytes() for p in parts))
+                if word == ADDED:
+                    ids.append(np.array([e.added[parts[0]]], np.uint32).tobytes())
+                else:
+                    ids.append(b"".join((e.encode if word == TEXT else e.merge)(p).tobytes() for p in parts))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "piece", "word")), pa.array(ids, pa.binary())], ["row", "doc_id", "piece", "word", "ids"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for t in grouped(batches, ["row"]):
-            out, open_word, open_pieces = [], -1, []
-            for word, ids in [*zip(t.column("word").to_pylist(), t.column("ids").to_pylist(), strict=True), (-1, b"")]:
-                if open_pieces and word != open_word:
-                    out.append(tree(open_pieces, e.tokens, e.merge).tobytes())
-                    open_pieces = []
-                if word < 0:
+            out, kind, waiting = [], WORDS, []
+            for word, ids in [*zip(t.column("word").to_pylist(), t.column("ids").to_pylist(), strict=True), (WORDS, b"")]:
+                if waiting and word != kind:
+                    out.append(tree(waiting, e.tokens, e.encode if kind == TEXT else e.merge).tobytes())
+                    waiting = []
+                if word in (WORDS, ADDED):
                     out.append(ids)
                 else:
-                    open_pieces.append(np.frombuffer(ids, np.uint32))
-                open_word = word
+                    waiting.append(np.frombuffer(ids, np.uint32))
+                kind = word
             yield pa.RecordBatch.from_arrays([t.column("doc_id").slice(0, 1).combine_chunks(), pa.array([b"".join(out)], pa.binary())], ["doc_id", "ids"])
 
-    rest = docs.where(unsplit).withColumn("row", F.monotonically_increasing_id())
-    rest = rest.mapInArrow(spread, "row long, doc_id long, piece long, word long, parts array<string>").repartition("row", "piece")
-    rest = rest.mapInArrow(encoded, "row long, doc_id long, piece long, word long, ids binary").repartition("row").sortWithinPartitions("row", "piece")
-    return docs.where(~unsplit).mapInArrow(short, "doc_id long, ids binary").unionByName(rest.mapInArrow(joined, "doc_id long, ids binary"))
+    rest = docs.where(long).withColumn("row", F.monotonically_increasing_id())
+    rest = rest.mapInArrow(tidy(spread), "row long, doc_id long, piece long, word long, parts array<string>").repartition("row", "piece")
+    rest = rest.mapInArrow(tidy(encoded), "row long, doc_id long, piece long, word long, ids binary").repartition("row").sortWithinPartitions("row", "piece")
+    return docs.where(~long).mapInArrow(tidy(short), "doc_id long, ids binary").unionByName(rest.mapInArrow(tidy(joined), "doc_id long, ids binary"))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -162,7 +195,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     kept = encoded.drop("decoded")
     columns = kept.columns
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("decoded", T.StringType())]))
+    return kept.mapInArrow(tidy(run), T.StructType([*kept.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

@@ -35,7 +35,23 @@ def test_tree_is_exact(parts, leaf):
     assert bpe.tree([e.merge(p) for p in bpe.halves(text, leaf)], e.tokens, e.merge).tolist() == e.merge(text).tolist()
 
 
-LONG = [(1, "x" * 20_000), (2, "<|endoftext|>" + "ab'" * 5000 + " tail " + "  " * 4000 + "x"), (3, "中文字" * 3000 + "<|endoftext|>z"), (4, "abcdefghij" * 900), (5, None), (6, "")]
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([*PIECES, "x's y", " a", "b ", "?! "]), min_size=1, max_size=200), st.integers(4, 40))
+def test_tree_of_whole_texts_is_exact(parts, leaf):
+    text, e = "".join(parts), encoder(PATH)
+    for run in e.special.split(text):
+        cut = bpe.safe_halves(run, leaf)
+        assert "".join(cut) == run
+        assert bpe.tree([e.encode(p) for p in cut], e.tokens, e.encode).tolist() == WHOLE.encode(run, add_special_tokens=False).ids
+
+
+def test_long_texts_are_cut():
+    text, e = "some words, and a few more; " * 2000, encoder(PATH)
+    found = list(bpe.pieces(text, e))
+    assert {k for k, _ in found} == {bpe.TEXT} and len(found) >= 7 and all(len(p[0]) <= bpe.LEAF for _, p in found)
+
+
+LONG = [(7, "it's a long, plain text; " * 3000), (8, ("naïve 中文字 " * 3000) + "a b" * 9000), (1, "x" * 20_000), (2, "<|endoftext|>" + "ab'" * 5000 + " tail " + "  " * 4000 + "x"), (3, "中文字" * 3000 + "<|endoftext|>z"), (4, "abcdefghij" * 900), (5, None), (6, "")]
 
 
 def test_round_trip(spark, corpus):
