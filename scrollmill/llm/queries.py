@@ -7,6 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._store import new_path
 from .bpe import round_trip
@@ -28,8 +29,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFra
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With a cache of its own, so that every run encodes every distinct text."""
-    return count_tokens(_read(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), new_path(spark, "token-counts"))
+    """All documents in two deliveries to a cache of this run: the second joins the counts that the first has stored, and appends to them."""
+    docs, path, cache = _read(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), new_path(spark, "token-counts")
+    early = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    return count_tokens(docs.where(early), path, cache).unionByName(count_tokens(docs.where(~early), path, cache))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,17 +131,18 @@ OP10_OWN = "</s>[INST] ok [/INST]"
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-7, 0, "user", OP10_OWN), (-7, 1, "assistant", OP10_OWN)], "conv_id long, turn long, role string, text string")
-    return read_back(segments(turns.unionByName(own))).drop("in_order")
+    return read_back(segments(turns.unionByName(own)))
 
 
 OP10_SQL = rf"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '{OP10_OWN}' UNION ALL SELECT -7, 1, 'assistant', '{OP10_OWN}'
-), e AS (SELECT *, regexp_replace(regexp_replace(replace(role || text, '\', '\\'), '<(s>|/s>)', '\\l\1', 'g'), '\[(INST\]|/INST\])', '\\b\1', 'g') AS x FROM c)
+), e AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before, regexp_replace(regexp_replace(replace(role || text, '\', '\\'), '<(s>|/s>)', '\\l\1', 'g'), '\[(INST\]|/INST\])', '\\b\1', 'g') AS x FROM c)
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
-  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256, sum(length(x) + 20)::BIGINT AS formatted_chars
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256, sum(length(x) + 20)::BIGINT AS formatted_chars,
+  bool_and(CASE WHEN before IS NULL THEN role IN ('system', 'user') ELSE before || ' ' || role IN ('system user', 'user assistant', 'assistant user') END) AS in_order
 FROM e GROUP BY conv_id
 """
 

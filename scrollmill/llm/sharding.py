@@ -18,7 +18,8 @@ from ._store import free_name
 
 #: Default table: a prime about 64 times the default number of shards.
 SIZE, SHARDS = 65_537, 1024
-MOST = 1 << 24
+#: Slots at most: the table is broadcast, 16 bytes a slot.
+MOST = 1 << 20
 
 
 def _prime(n: int) -> bool:
@@ -69,7 +70,8 @@ def place(df: DataFrame, key: str, shards: list[str], size: int = SIZE) -> DataF
 def write_shards(placed: DataFrame, path: str, files: int = 1) -> None:
     """One folder a shard under ``path`` with up to ``files`` files, so a large shard is no single task's work."""
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(files))
-    placed.withColumn("_salt", salt).repartition("shard", "_salt").drop("_salt").write.partitionBy("shard").parquet(path)
+    name = free_name("_salt", placed.columns)
+    placed.withColumn(name, salt).repartition("shard", name).drop(name).write.partitionBy("shard").parquet(path)
 
 
 def document_shards(docs: DataFrame, shards: int = SHARDS, size: int = SIZE) -> DataFrame:

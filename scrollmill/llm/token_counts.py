@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import small_batches
+from ._store import settle, small_batches, tidy
 from ._tokenizers import encoder, fingerprint
 
 SCHEMA = "digest binary, n_tokens long"
@@ -44,7 +44,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 512)
     stored = _stored(spark, path)
     wanted = keyed
     if stored is not None:
-        missing = keyed.select("digest").distinct().join(stored, "digest", "left_anti")
+        missing = settle(keyed.select("digest").distinct().join(stored, "digest", "left_anti"), "missing")
         few = missing.count() <= BROADCAST_KEYS
         wanted = keyed.join(F.broadcast(missing) if few else missing, "digest", "left_semi")
 
@@ -56,7 +56,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 512)
 
     # Copies meet in their own task first, so a text that fills the table is shuffled once a task.
     misses = wanted.groupBy("digest").agg(F.any_value("text").alias("text"))
-    misses.mapInArrow(encode, SCHEMA).write.mode("append").parquet(path)
+    misses.mapInArrow(tidy(encode), SCHEMA).write.mode("append").parquet(path)
     counts = spark.read.schema(SCHEMA).parquet(path).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     out = keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")).join(counts, "digest")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

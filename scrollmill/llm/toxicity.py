@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._store import discard, free_name, settle, small_batches
+from ._store import discard, free_name, settle, small_batches, tidy
 
 SPAN, DECAY = 7, 0.8
 #: Triples of a window begin at so many characters.
@@ -168,10 +168,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = F.broadcast(sample[0].unionByName(sample[1]))
     met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(chosen, "doc_id")
     met = settle(met, "labelled")
-    fitted = met.repartition(1).mapInArrow(_fitted(share), "table binary, bias double, slope double, shift double").collect()
+    fitted = met.repartition(1).mapInArrow(tidy(_fitted(share)), "table binary, bias double, slope double, shift double").collect()
     model = Model(np.frombuffer(fitted[0]["table"], np.float32), *fitted[0][1:]) if fitted else _share_only(share)
     if model.slope:
-        told = met.select("toxic", "text").mapInArrow(_values(model), "toxic int, value double").toArrow()
+        told = met.select("toxic", "text").mapInArrow(tidy(_values(model)), "toxic int, value double").toArrow()
         y, value = told.column("toxic").to_numpy(), told.column("value").to_numpy()
         weight = np.array([share.get(int(k), 1) / max(1, int((y == k).sum())) for k in y])
         order = np.lexsort((value, y))  # rows come in any order, and sums must not depend on it
@@ -294,8 +294,9 @@ def fit(rows: pa.Table, share: dict[int, int]) -> Model:
 
     for turn in range(3):
         plus = windows[positive]
-        x = np.concatenate([plus, stretched(plus), windows[negative]])
-        y = np.concatenate([np.ones(3 * len(plus)), -np.ones(len(negative))])
+        none = np.zeros((len(negative) // 10 + 1, WIDTH + SPAN), np.uint8)  # windows without letters are clean
+        x = np.concatenate([plus, stretched(plus), windows[negative], none])
+        y = np.concatenate([np.ones(3 * len(plus)), -np.ones(len(negative) + len(none))])
         w = _machine(_kernel(x, features) @ root.astype(np.float32), y)
         table = np.zeros(1 << 15, np.float32)
         table[:] = features @ (root @ w[:-1]).astype(np.float32)
@@ -336,7 +337,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], [*names, "score", "predicted"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != said)
-    return rows.mapInArrow(run, f"{kinds}, score double, predicted int")
+    return rows.mapInArrow(tidy(run), f"{kinds}, score double, predicted int")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

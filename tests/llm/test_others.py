@@ -2,7 +2,9 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -25,6 +27,21 @@ def test_table_is_even_and_moves_little():
     assert (table[stayed] == fewer[stayed]).mean() > 0.9
 
 
+def test_shards_same_as_brute_force(spark, corpus):
+    """Slots by the permutations written out, shards taking turns; rows by Spark's own hash of a literal."""
+    names, size = [f"shard-{k:05d}" for k in range(7)], 101
+    wish = {s: [(xxhash.xxh64_intdigest(s, seed=1) + j * (xxhash.xxh64_intdigest(s, seed=2) % (size - 1) + 1)) % size for j in range(size)] for s in names}
+    owner = {}
+    while len(owner) < size:
+        for s in names:
+            if len(owner) < size:
+                owner[next(c for c in wish[s] if c not in owner)] = s
+    rows = [r for r in corpus if r[0] is None or r[0] < 20 or r[0] > 160]
+    got = Counter(map(tuple, sharding.document_shards(frame(spark, rows), 7, size).collect()))
+    slot = {d: spark.sql(f"select pmod(xxhash64(cast({'null' if d is None else d} as bigint)), {size}) as s").first()["s"] for d in {d for d, _ in rows}}
+    assert got == Counter((d, len((t or "").encode()), slot[d], owner[slot[d]]) for d, t in rows)
+
+
 @pytest.mark.parametrize(("shards", "size"), [([], 7), (["a", "a"], 7), (["a"], 8), (list("abc"), 2)])
 def test_bad_tables(shards, size):
     with pytest.raises(ValueError):
@@ -40,8 +57,9 @@ def test_place(spark, corpus, tmp_path):
     for r in placed.collect():
         assert r["shard"] == "abc"[table[r["slot"]]] and by_id.setdefault(r["doc_id"], r["slot"]) == r["slot"]
     assert sharding.document_shards(frame(spark, [])).collect() == []
-    sharding.write_shards(placed.select("doc_id", "text", "shard"), str(tmp_path / "out"), 2)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == len(corpus)
+    sharding.write_shards(placed.selectExpr("doc_id", "text", "shard", "n as _SALT"), str(tmp_path / "out"), 2)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == len(corpus) and {r["_SALT"] for r in out.collect()} == {"n"}
 
 
 # -- vectors
@@ -172,6 +190,6 @@ def test_toxicity(spark):
     assert np.mean([(got[k] >= 0.3) == (k % 4 == 0) for k in held]) > 0.97
     assert got[1000] == got[1001] < 0.3 and got[1002] > got[1001] and got[1003] > got[1001]
     assert score(frame(spark, []), model).collect() == []
-    nothing = fit([], {})
+    nothing = fit(pa.table({"toxic": pa.array([], pa.int32()), "text": pa.array([], pa.string())}), {})
     assert {r["predicted"] for r in score(d, nothing).collect()} <= {0, 1}
     assert score(d, train(d, y.limit(0))).count() == len(docs)
