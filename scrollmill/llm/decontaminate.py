@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._store import small_batches
+from ._store import small_batches, tidy
 
 SHARD_WORDS = 2_000_000
 BLOCK_BYTES = 32 << 20
@@ -289,4 +289,4 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13) -
         if shard.docs:
             yield from _rows(shard)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, OUT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), OUT)

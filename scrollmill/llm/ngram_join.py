@@ -35,7 +35,7 @@ from . import _signature_tree as S
 from . import _text as T
 from ._graph import components
 from ._groups import grouped
-from ._store import discard, settle, small_batches
+from ._store import discard, settle, small_batches, tidy
 
 #: Members of a block of a tree.
 BLOCK = 8192
@@ -207,12 +207,12 @@ def _verified(docs: DataFrame, told: DataFrame, pairs: DataFrame, k: int, num: i
     one = names.select(F.col("doc_id").alias("one")).distinct()
     few = one.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(one) if few else one, F.col("doc_id").eqNullSafe(F.col("one")), "left_semi")
-    sets = texts.select("text").mapInArrow(_shingles(k), "s1 long, s2 long, shingles binary")
+    sets = texts.select("text").mapInArrow(tidy(_shingles(k)), "s1 long, s2 long, shingles binary")
     asked = settle(asked.join(names.drop("doc_id"), "rid").select("unit", "rid", "s1", "s2"), "asked")
     met = _narrowed(sets, asked, ["s1", "s2"], "inner")
     rows = met.select("unit", F.lit(0).alias("is_pair"), F.col("rid").alias("a"), F.lit(0).cast("long").alias("b"), "shingles")
     rows = rows.unionByName(pairs.select("unit", F.lit(1).alias("is_pair"), "a", "b", F.lit(None).cast("binary").alias("shingles")))
-    links = settle(rows.repartition("unit").sortWithinPartitions("unit", "is_pair").mapInArrow(_counted(num, den), "a long, b long"), "links")
+    links = settle(rows.repartition("unit").sortWithinPartitions("unit", "is_pair").mapInArrow(tidy(_counted(num, den)), "a long, b long"), "links")
     discard(ids, names, asked)
     return links
 
@@ -221,7 +221,7 @@ def _told_pairs(rows: DataFrame, told: DataFrame, labelled: bool, forest: bool,
     """(unit, a, b) from the trees of ``rows(lead, one, two, block, sid, comp)``, one pair once."""
     leaf = told.where("bitmap is not null").select(F.col("rid").alias("sid"), "n", "bitmap")
     members = rows.join(leaf, "sid").repartition("lead", "one", "two").sortWithinPartitions("lead", "one", "two")
-    found = members.mapInArrow(_walks(labelled, forest, num, den), "lead long, one long, two long, part long, a long, b long")
+    found = members.mapInArrow(tidy(_walks(labelled, forest, num, den)), "lead long, one long, two long, part long, a long, b long")
     unit = F.xxhash64("lead", "one", "two", "part")  # units that fall together are only compared at once
     return found.select(unit.alias("unit"), "a", "b").dropDuplicates(["a", "b"])
 
@@ -266,10 +266,10 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
     small_batches(spark)
-    frequent = docs.select("text").mapInArrow(_count_frequent(k), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n >= 32").orderBy(F.desc("n"), "key").limit(FREQUENT)
+    frequent = docs.select("text").mapInArrow(tidy(_count_frequent(k)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n >= 32").orderBy(F.desc("n"), "key").limit(FREQUENT)
     hot = [r["key"] for r in frequent.collect()][::-1]
     shared = spark.sparkContext.broadcast(np.array(hot, np.int64).tobytes())
-    told = docs.mapInArrow(_describe(k, num, den, shared), "doc_id long, n long, s1 long, s2 long, rare array<long>, late array<long>, bitmap binary")
+    told = docs.mapInArrow(tidy(_describe(k, num, den, shared)), "doc_id long, n long, s1 long, s2 long, rare array<long>, late array<long>, bitmap binary")
     told = settle(told.withColumn("rid", F.monotonically_increasing_id()), "sets")
 
     # A set that several tasks have met is known by its least row.

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._store import free_name, settle, small_batches
+from ._store import free_name, settle, small_batches, tidy
 
 WIDTH, GRAM = 50, 10
 #: Ends of the blocks of words by which suffixes are sorted.
@@ -135,7 +135,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     keyed = _keyed(docs)
-    suffixes = keyed.select("row", "text").mapInArrow(_suffixes, "b0 long, b1 long, b2 long, row long, at int, reach int")
+    suffixes = keyed.select("row", "text").mapInArrow(tidy(_suffixes), "b0 long, b1 long, b2 long, row long, at int, reach int")
     order = Window.partitionBy("b0").orderBy("b1", "b2")
 
     def agrees(*names: str) -> Column:
@@ -152,7 +152,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     compared = suffixes.select("row", "at", "reach", within.alias("within")).where(F.col("reach") >= WIDTH - F.col("within"))
     anchors = settle(compared.groupBy("row").agg(F.collect_list(F.struct("at", "within")).alias("anchors")), "anchors")
     texts = _only(keyed, anchors.select("row")).dropDuplicates(["row"])
-    windows = texts.join(anchors, "row").select("doc_id", "row", "text", "anchors").mapInArrow(_windows, "window long, doc_id long, row long, start int")
+    windows = texts.join(anchors, "row").select("doc_id", "row", "text", "anchors").mapInArrow(tidy(_windows), "window long, doc_id long, row long, start int")
     first = Window.partitionBy("window").orderBy(F.col("doc_id").asc_nulls_last(), "row", "start")
     earliest = F.first(F.struct("doc_id", "row", "start")).over(first.rowsBetween(Window.unboundedPreceding, 0))
     repeats = windows.select("doc_id", "row", "start", earliest.alias("f")).where((F.col("f.row") != F.col("row")) | (F.col("f.start") != F.col("start")))
@@ -196,7 +196,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
             yield batch.filter(pa.array([t is not None for t in texts]))
 
     rest = keyed.join(ids, row, "left_anti").drop(row)
-    cut = cut.mapInArrow(run, cut.drop(held).schema)
+    cut = cut.mapInArrow(tidy(run), cut.drop(held).schema)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return rest.unionByName(cut)
