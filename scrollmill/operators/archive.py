@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def body_hashes(messages: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, body_hash): digest of source 'web', no model and the turns in order."""
+def body_hashes(messages: DataFrame, source: str = "web") -> DataFrame:
+    """(conv_id, n_turns, body_hash): digest of the source, no model and the turns in order."""
     told = messages.select("conv_id", "turn", T.canonical_turn(F.col("role"), F.col("body")).alias("x"))
     joined = told.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "x"))), lambda s: s["x"]), "").alias("x"))
-    return joined.select("conv_id", "n_turns", T.digest(F.concat(F.lit("web\x1f"), F.col("x"))).alias("body_hash"))
+    return joined.select("conv_id", "n_turns", T.digest(F.concat(F.lit(f"{source}\x1f"), F.col("x"))).alias("body_hash"))
 
 
 def duplicate_groups(rows: DataFrame, key: str, fingerprint: str) -> DataFrame:
-    """(fingerprint, n, first, members) of fingerprints that several rows have; empty ones never group.
+    """(fingerprint, n, first) of fingerprints that several rows have; empty ones never group.
 
     Equal rows are first counted, so only keys of real groups are brought together.
     """
@@ -43,6 +43,19 @@ def index_delta(known: DataFrame, seen: DataFrame, key: str = "path") -> DataFra
     return old.join(new, key, "full").select(key, status.alias("status"))
 
 
+def pass_report(delta: DataFrame, unreadable: DataFrame, key: str = "path") -> DataFrame:
+    """One row of counters of a pass: indexed, unchanged, removed, failed (added or changed, but unreadable) and total, which is indexed and unchanged."""
+    met = delta.join(unreadable.select(key, F.lit(True).alias("bad")), key, "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
+    new = F.col("status").isin("added", "changed")
+    g = met.agg(F.count_if(new & ~F.col("bad")).alias("indexed"), F.count_if(F.col("status") == "unchanged").alias("unchanged"), F.count_if(F.col("status") == "removed").alias("removed"), F.count_if(new & F.col("bad")).alias("failed"))
+    return g.withColumn("total", F.col("indexed") + F.col("unchanged"))
+
+
+def refreshed(old: DataFrame, seen: DataFrame, key: str = "path") -> DataFrame:
+    """The index after a pass over all that is there now: rows of paths that are gone go, those of paths that were seen are replaced."""
+    return replace_by_path(remove_paths(old, old.select(key).distinct().join(seen.select(key).distinct(), key, "left_anti"), key), seen, key)
+
+
 def replace_by_path(old: DataFrame, new: DataFrame, key: str = "path") -> DataFrame:
     """The next generation of a table: new rows, and the old ones of other paths."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)

@@ -50,6 +50,13 @@ def free_names(wanted: DataFrame, taken: DataFrame, order: str) -> DataFrame:
     return rows.withColumn("final", F.when(n == 1, F.col("name")).otherwise(F.concat("stem", F.lit(" ("), n.cast("string"), F.lit(")"), "ext"))).drop("stem", "ext", "highest")
 
 
+def fan_out(files: DataFrame, folders: list[str], taken: DataFrame, order: str) -> DataFrame:
+    """Each of files(name, ...) once for every folder, with final: the first folder keeps the name, the others give one that is free there."""
+    each = files.withColumn("folder", F.explode(F.array(*map(F.lit, folders))))
+    rest = free_names(each.where(F.col("folder") != folders[0]), taken, order)
+    return each.where(F.col("folder") == folders[0]).withColumn("final", F.col("name")).unionByName(rest.select(*each.columns, "final"))
+
+
 def append_log(logs: DataFrame, entries: DataFrame) -> DataFrame:
     """The next generation of logs(path, content) after entries(path, seq, body), in order of arrival; nothing is dropped as a repeat."""
     new = entries.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "body"))).alias("x")).select("path", F.array_join(F.transform("x", lambda e: e["body"]), "\n\n").alias("new"))

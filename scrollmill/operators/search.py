@@ -66,6 +66,11 @@ def top(hits: DataFrame, keys: list[str], limit: int = 50) -> DataFrame:
     return hits.orderBy("score", *keys).limit(limit)
 
 
+def with_documents(hits: DataFrame, documents: DataFrame, key: str) -> DataFrame:
+    """Hits with the columns of their document, of which there is one row a key. The hits, at most a search's limit, are the broadcast side."""
+    return documents.join(F.broadcast(hits), key)
+
+
 def snippet(query: str, width: int = 14):
     """A function of text: up to ``width`` words around the first match, in << >>, with … where it is cut."""
     wanted = {stem(w) for p in query_phrases(query) for w in p}
@@ -90,8 +95,11 @@ def snippet(query: str, width: int = 14):
     return run
 
 
-def report(hits: DataFrame, query: str, name: str, shown: int = 10) -> DataFrame:
-    """The hits (name, role, turn, snippet, score) as one Markdown text; their number is bounded by the search's limit."""
+def report(hits: DataFrame, query: str, name: str, shown: int = 10, counts: DataFrame | None = None, folder: str | None = None) -> DataFrame:
+    """The hits (name, role, turn, snippet, score) as one Markdown text; their number is bounded by the search's limit.
+
+    counts(documents, messages) is one row for the footer; folder is named where nothing matches.
+    """
     rows = hits.select(F.struct("score", name, "turn").alias("o"), "*")
     all_rows = F.array_sort(F.collect_list(F.struct("o", F.col(name), "role", "turn", "snippet")))
     g = rows.agg(all_rows.alias("h"))
@@ -99,5 +107,10 @@ def report(hits: DataFrame, query: str, name: str, shown: int = 10) -> DataFrame
     n = F.size("h")
     head = F.concat(F.lit("**"), n.cast("string"), F.lit("** match"), F.when(n == 1, "").otherwise("es"), F.lit(f" for *{query}*\n\n"))
     tail = F.when(n > shown, F.concat(F.lit("\n_"), (n - shown).cast("string"), F.lit(" more not shown._\n"))).otherwise("")
-    return g.select(F.when(n == 0, F.lit(f"No archived messages match **{query}**.")).otherwise(F.concat(head, F.array_join(lines, "\n"), F.lit("\n"), tail)).alias("report"))
+    none = f"No archived messages match **{query}**." + (f"\n\nIndexed folder: `{folder}`" if folder else "")
+    foot = F.lit("")
+    if counts is not None:
+        g = g.crossJoin(F.broadcast(counts.select("documents", "messages")))  # one row each
+        foot = F.concat(F.lit("\n"), F.col("messages").cast("string"), F.lit(" messages across "), F.col("documents").cast("string"), F.lit(" documents indexed."))
+    return g.select(F.when(n == 0, F.lit(none)).otherwise(F.concat(head, F.array_join(lines, "\n"), F.lit("\n"), tail, foot)).alias("report"))
 

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+import scrollmill.plans.library  # noqa: F401
 from scrollmill.plans.queries import ORACLES, QUERIES
 
 from .conftest import DATA
