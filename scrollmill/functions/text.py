@@ -13,6 +13,7 @@ PLATFORMS = {"claude": "Claude", "chatgpt": "ChatGPT", "gemini": "Gemini", "web"
 # Words that YAML reads as something else than text.
 YAML_WORDS = ["true", "false", "null", "yes", "no", "on", "off", "~"]
 
+# What counts as a fence, a table row or a block of Markdown; tags must agree, and neither engine's dialect is left.
 FENCE = r"(?m)^[ \t]{0,3}(`{3,}|~{3,})"
 FENCE_NAME = r"(?m)^[ \t]{0,3}(?:`{3,}|~{3,})[ \t]*([A-Za-z0-9+#_-]+)"
 TABLE_ROW = r"(?m)^[ \t]{0,3}\|.*\|.*\|"
@@ -32,8 +33,8 @@ MARKDOWN = "(?m)" + "|".join(
 
 def normalise(text: Column) -> Column:
     """Line ends to LF, blanks and tabs to one blank, no blank lines or ends; case and punctuation stay. Null stays null."""
-    lines = F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n", -1)
-    return F.array_join(F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " "))), lambda x: x != ""), "\n")
+    unix = F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"[ \t]+", " ")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(unix, " ?\n ?", "\n"), "\n\n+", "\n"), r"\A[ \n]+|[ \n]+\z", "")
 
 
 def canonical_turn(role: Column, body: Column, reasoning: Column | None = None, calls: Column | None = None) -> Column:

@@ -73,7 +73,6 @@ def missing_paths(known: DataFrame, seen: DataFrame, folder: str, key: str = "pa
 def prefix_hashes(messages: DataFrame, key: str = "conv_id") -> DataFrame:
     """(key, n, hash) for each number n of leading turns: role and normalised body alone, so heads can be met by equality."""
     told = messages.select(key, "turn", T.digest(T.canonical_turn(F.col("role"), F.col("body"))).alias("x"))
-    w = Window.partitionBy(key).orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     place = told.select(key, "x", F.row_number().over(Window.partitionBy(key).orderBy("turn")).alias("n"))
     w = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     # Sums of placed hashes grow with the head, one step a turn, and two of them name it.
@@ -103,7 +102,8 @@ def match_existing(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     existing(file, turn, role, body), incoming(conv_id, turn, role, body). Edited: as many turns, at least half of them equal in place.
     """
     e, i = prefix_hashes(existing, "file"), prefix_hashes(incoming)
-    last = e.groupBy("file").agg(F.max_by(F.struct("n", "hash"), "n").alias("e")).select("file", "e.n", "e.hash")
+    # Of files with the same turns the least is enough.
+    last = e.groupBy("file").agg(F.max_by(F.struct("n", "hash"), "n").alias("e")).groupBy("e.n", "e.hash").agg(F.min("file").alias("file"))
     size = i.groupBy("conv_id").agg(F.max("n").alias("m"))
     heads = i.join(last, ["n", "hash"]).join(size, "conv_id").select("conv_id", "file", F.when(F.col("n") == F.col("m"), 0).otherwise(1).alias("rank"))
     told = lambda d, k: d.select(k, F.count(F.lit(1)).over(Window.partitionBy(k)).alias("n"), "turn", T.digest(T.canonical_turn(F.col("role"), F.col("body"))).alias("x"))

@@ -52,14 +52,17 @@ def render(messages: DataFrame, platform: str, day: str) -> DataFrame:
     return g.select("conv_id", "title", F.concat(frontmatter(fields), F.lit("\n"), head, text).alias("document"))
 
 
+_HEADING = "^ *## (?:User|Assistant|Reasoning) *$"
+#: A role heading and what stands below it, up to the next.
+_SECTION = f"(?dms){_HEADING.replace('?:', '')}(.*?)(?={_HEADING}|\\z)"
+
+
 def split_turns(documents: DataFrame, key: str = "conv_id") -> DataFrame:
     """(key, turn, role, body) of the sections under role headings; what stands before the first is no turn."""
-    lines = documents.select(key, F.posexplode(F.split(strip_frontmatter(F.col("document")), "\n", -1)).alias("no", "line"))
-    role = F.when(F.trim("line") == "## User", "user").when(F.trim("line") == "## Assistant", "assistant").when(F.trim("line") == "## Reasoning", "reasoning")
-    seg = lines.withColumn("role", role).withColumn("seg", F.count("role").over(Window.partitionBy(key).orderBy("no"))).where("seg > 0")
-    g = seg.groupBy(key, "seg").agg(F.max("role").alias("role"), F.array_sort(F.collect_list(F.when(F.col("role").isNull(), F.struct("no", "line")))).alias("x"))
-    g = g.select(key, "seg", "role", F.regexp_replace(F.array_join(F.transform("x", lambda s: s["line"]), "\n"), r"^\s+|\s+$", "").alias("body")).where("body <> ''")
-    return g.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("seg")) - 1).alias("turn"), "role", "body")
+    text = strip_frontmatter(F.col("document"))
+    part = lambda k: F.regexp_extract_all(text, F.lit(_SECTION), F.lit(k))
+    turns = F.zip_with(part(1), part(2), lambda r, b: F.struct(F.lower(r).alias("role"), F.regexp_replace(b, r"^\s+|\s+$", "").alias("body")))
+    return documents.select(key, F.posexplode(F.filter(turns, lambda t: t["body"] != "")).alias("turn", "t")).select(key, "turn", "t.role", "t.body")
 
 
 def intact(documents: DataFrame, key: str = "conv_id") -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.porter import porter_stem, stem
 
 K1, B = 1.2, 0.75
+#: Words with a wanted stem that are looked up by a literal; more are joined.
+MOST_WORDS = 1000
 WORD = r"[\p{L}\p{N}\p{Co}]+"
 
 
@@ -30,6 +32,15 @@ def query_phrases(query: str) -> list[list[str]]:
 
 def postings(messages: DataFrame, keys: list[str], stemmed: bool = False, only: list[str] | None = None) -> DataFrame:
     """(keys, term, tf, positions, dl): one row for each word of each message, or for those in ``only``."""
+    if stemmed and only is not None:
+        # Words of the corpus that have a wanted stem: few, so the others go before anything is shuffled; a join otherwise.
+        vocabulary = messages.select(F.explode(F.regexp_extract_all(fold(F.col("body")), F.lit(WORD), 0)).alias("term")).distinct().withColumn("stem", porter_stem("term")).where(F.col("stem").isin(only))
+        found = vocabulary.limit(MOST_WORDS + 1).collect()
+        if len(found) <= MOST_WORDS:
+            stems = F.create_map(*(F.lit(x) for r in found for x in r)) if found else F.lit(None).cast("map<string,string>")
+            term = F.posexplode(F.regexp_extract_all(fold(F.col("body")), F.lit(WORD), 0)).alias("pos", "term")
+            words = messages.select(*keys, term, F.size(F.regexp_extract_all("body", F.lit(WORD), 0)).alias("dl")).where(F.col("term").isin([r["term"] for r in found])).withColumn("term", stems[F.col("term")])
+            return words.groupBy(*keys, "dl", "term").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
     words = messages.select(*keys, F.posexplode(F.regexp_extract_all(fold(F.col("body")), F.lit(WORD), 0)).alias("pos", "term"), F.size(F.regexp_extract_all("body", F.lit(WORD), 0)).alias("dl"))
     if stemmed:
         stems = words.select("term").distinct().withColumn("stem", porter_stem("term"))
