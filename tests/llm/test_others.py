@@ -166,6 +166,13 @@ def test_chat(spark):
     assert read_back(segments(df.limit(0))).collect() == []
 
 
+def test_long_conversation(spark):
+    rows = [(9, k, ("user", "assistant")[k % 2], f"turn {k} <s>") for k in range(3000)]
+    df = spark.createDataFrame([(*r, 1, True) for r in rows], "conv_id long, turn long, role string, text string, segment int, in_order boolean").repartition(7)
+    r = read_back(segments(df)).collect()
+    assert len(r) == 1 and r[0]["n_turns"] == 3000 and r[0]["in_order"] and r[0]["loss_sha256"] == hashlib.sha256("".join(t for _, k, _, t in rows if k % 2).encode()).hexdigest()
+
+
 # -- toxicity
 def test_toxicity(spark):
     rng = np.random.default_rng(1)

@@ -57,3 +57,24 @@ def con():
 def test_same_as_sql(spark, con, name):
     ours, theirs = QUERIES[name](spark, DATA).toPandas(), con.sql(ORACLES[name]).df()
     assert rows(ours) == rows(theirs)
+
+
+def test_stages_on_odd_rows(spark, corpus, tmp_path):
+    """Nulls, empty and very long texts, ties, repeated rows and clashing columns go through every stage; so does an empty table."""
+    from .conftest import frame
+
+    rows = corpus + [(500, "x" * 60_000), (501, "go on " * 40_000)]
+    labels = spark.createDataFrame([(k, 1, int(k == 3)) for k in range(40)] + [(None, 1, 1), (1, None, None)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    passage = " ".join(words(rows[52][1])[60:80])
+    spark.createDataFrame([("a", passage, 1), ("b", None, 2), (None, passage, 3), ("c", "", 4)], "item_id string, text string, doc_id int").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for table in (rows, []):
+        docs = frame(spark, table)
+        for name, stage in corpus_pipeline.STAGES:
+            before = docs.count()
+            docs = stage(spark, docs, str(tmp_path))
+            docs.write.mode("overwrite").parquet(str(tmp_path / f"{len(table)}-{name}"))
+            docs = spark.read.parquet(str(tmp_path / f"{len(table)}-{name}"))
+            assert docs.count() <= before
+            if name == "ngram_jaccard":
+                assert {r["doc_id"] for r in docs.collect()} >= ({160, 161, 162, 163, 500} if table else set())
