@@ -7,8 +7,10 @@ match. It is a suffix array's Burrows-Wheeler transform in a wavelet tree with r
 searched backwards at once; their occurrences are located by walking to sampled suffix positions and merged
 into removal spans.
 
-The benchmark is a set of queries: it goes to the executors in blocks of at most ``BLOCK_BYTES`` of text.
-No document leaves its task, so nothing is shuffled and a hot document or passage costs its own length.
+The benchmark is a set of queries: it goes to the executors in blocks of about ``BLOCK_BYTES`` of text, one block at a
+time. With one block no document leaves its task, so nothing is shuffled and a hot document or passage costs its own
+length. With more, each block is a pass over the documents that writes what it has found, and what several passes have
+found in one document is merged in the end.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._store import small_batches, tidy
+from ._store import discard, settle, small_batches, tidy
 
 SHARD_WORDS = 2_000_000
 BLOCK_BYTES = 32 << 20
@@ -172,9 +174,9 @@ class Phrases:
 
 
 class _Shard:
-    def __init__(self, phrases: list[Phrases]):
+    def __init__(self, phrases: Phrases):
         self.phrases, self.docs, self.size = phrases, [], 0
-        self.parts: list[list[tuple]] = [[] for _ in phrases]
+        self.parts: list[tuple] = []
 
     def add(self, chunk: T.Chunk, ids: pa.Array) -> None:
         w = T.words(chunk, T.ALNUM)
@@ -183,32 +185,21 @@ class _Shard:
         if not len(w.hash):
             return
         doc = np.repeat(np.arange(chunk.rows), np.diff(w.at))
-        for p, parts in zip(self.phrases, self.parts, strict=True):
-            symbols = p.symbols(w.hash)
-            kept = np.flatnonzero(p.long_enough(symbols, w.at))
-            if len(kept):
-                start = chunk.at[doc[kept]]
-                number = kept - w.at[doc[kept]]
-                parts.append((symbols[kept], doc[kept] + base, number, w.start[kept] - start, w.end[kept] - start))
-                self.size += len(kept)
+        symbols = self.phrases.symbols(w.hash)
+        kept = np.flatnonzero(self.phrases.long_enough(symbols, w.at))
+        if len(kept):
+            start = chunk.at[doc[kept]]
+            self.parts.append((symbols[kept], doc[kept] + base, kept - w.at[doc[kept]], w.start[kept] - start, w.end[kept] - start))
+            self.size += len(kept)
 
     def results(self) -> Iterator[tuple]:
-        """(doc_id, n_words, n_hit, item names, spans) of each document, in order."""
+        """(id, n_words, item names, spans) of each document, in order; a span is the numbers of its first word and of the one behind it, and its bytes."""
         hits: dict[int, dict[int, tuple[int, int]]] = {}
         items: dict[int, set[str]] = {}
-        for p, parts in zip(self.phrases, self.parts, strict=True):
-            if parts:
-                self._look(p, [np.concatenate(x) for x in zip(*parts, strict=True)], hits, items)
+        if self.parts:
+            self._look(self.phrases, [np.concatenate(x) for x in zip(*self.parts, strict=True)], hits, items)
         for k, (doc_id, n_words) in enumerate(self.docs):
-            spans: list[list[int]] = []
-            last = -2
-            for number, (a, b) in sorted(hits.get(k, {}).items()):
-                if number == last + 1:
-                    spans[-1][1] = b
-                else:
-                    spans.append([a, b])
-                last = number
-            yield doc_id, n_words, len(hits.get(k, {})), sorted(items.get(k, ())), spans
+            yield doc_id, n_words, items.get(k, set()), _joined([(number, number + 1, a, b) for number, (a, b) in hits.get(k, {}).items()])
 
     @staticmethod
     def _look(p: Phrases, parts: list[np.ndarray], hits: dict, items: dict) -> None:
@@ -239,28 +230,74 @@ class _Shard:
             hits.setdefault(d, {})[k] = (a, b)
 
 
+def _joined(spans: list[tuple[int, int, int, int]]) -> list[list[int]]:
+    """Spans (first, behind, start, end) that overlap or touch by words are one."""
+    out: list[list[int]] = []
+    for first, behind, a, b in sorted(spans):
+        if out and first <= out[-1][1]:
+            if behind > out[-1][1]:
+                out[-1][1], out[-1][3] = behind, b
+        else:
+            out.append([first, behind, a, b])
+    return out
+
+
 OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>"
 _ARROW = pa.schema(
     [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
 )
 
 
-def _rows(shard: _Shard) -> Iterator[pa.RecordBatch]:
-    rows = [
-        (d, n, h, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), h > 0 and 20 * h >= n, [{"start": a, "end": b} for a, b in spans])
-        for d, n, h, names, spans in shard.results()
-    ]
-    for a in range(0, len(rows), 20_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[a : a + 20_000], strict=True), _ARROW, strict=True)], schema=_ARROW)
+def _told(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``OUT`` from (doc_id, n_words, item names, spans)."""
+    for at in range(0, len(found), 20_000):
+        rows = []
+        for d, n, items, spans in found[at : at + 20_000]:
+            names, h = sorted(items), sum(s[1] - s[0] for s in spans)
+            rows.append((d, n, h, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), h > 0 and 20 * h >= n, [{"start": s[2], "end": s[3]} for s in spans]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
-def _blocks(benchmark: DataFrame) -> list:
-    """The items as broadcast tables of bounded size, in blocks by a hash of their ids."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("n")).first()["n"]
-    n = int(-(-total // BLOCK_BYTES)) or 1
-    context = benchmark.sparkSession.sparkContext
-    return [context.broadcast(items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).toArrow()) for k in range(n)]
+_PASS = "row long, n_words long, items array<string>, spans array<array<long>>"
+
+
+def _of_pass(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_PASS``: documents with hits."""
+    rows = [(d, n, sorted(items), spans) for d, n, items, spans in found if spans]
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64())))
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["row", "n_words", "items", "spans"])
+
+
+def _search(shared, width: int, key: str, tell):
+    """A pass over (key, text) for one block of the benchmark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = Phrases(shared.value, width)
+        shard = _Shard(phrases)
+        for batch in batches:
+            for chunk in T.chunks(batch.column("text")):
+                shard.add(chunk, batch.column(key))
+                if shard.size >= SHARD_WORDS or len(shard.docs) >= 200_000:
+                    yield from tell(list(shard.results()))
+                    shard = _Shard(phrases)
+        if shard.docs:
+            yield from tell(list(shard.results()))
+
+    return run
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        passes = batch.column("spans").to_pylist()
+        spans = [_joined([tuple(s) for one in p or () for s in one]) for p in passes]
+        yield from _told([(d, n, {x for one in i or () for x in one}, s) for d, n, i, s in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_words", "items")), spans, strict=True)])
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = [np.diff(T.words(chunk, T.ALNUM).at) for chunk in T.chunks(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(np.concatenate(n) if n else [], pa.int64())], ["row", "doc_id", "n_words"])
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFrame:
@@ -275,18 +312,25 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13) -
     give a row each. Other columns are left out. Empty tables: no rows, or no hits.
     """
     small_batches(docs.sparkSession)
-    blocks = _blocks(benchmark)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = [Phrases(b.value, width) for b in blocks]
-        shard = _Shard(phrases)
-        for batch in batches:
-            for chunk in T.chunks(batch.column("text")):
-                shard.add(chunk, batch.column("doc_id"))
-                if shard.size >= SHARD_WORDS or len(shard.docs) >= 200_000:
-                    yield from _rows(shard)
-                    shard = _Shard(phrases)
-        if shard.docs:
-            yield from _rows(shard)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), OUT)
+    context = docs.sparkSession.sparkContext
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("n")).first()["n"]
+    n = int(-(-total // BLOCK_BYTES)) or 1
+    if n == 1:
+        return docs.mapInArrow(tidy(_search(context.broadcast(items.toArrow()), width, "doc_id", _told)), OUT)
+
+    keyed = settle(docs.withColumn("row", F.monotonically_increasing_id()), "keyed")
+    passes = []
+    for k in range(n):
+        shared = context.broadcast(items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).toArrow())
+        passes.append(settle(keyed.select("row", "text").mapInArrow(tidy(_search(shared, width, "row", _of_pass)), _PASS), "pass"))
+        shared.destroy()
+    found = passes[0]
+    for p in passes[1:]:
+        found = found.unionByName(p)
+    found = found.groupBy("row").agg(F.collect_list("items").alias("items"), F.collect_list("spans").alias("spans"))
+    counts = keyed.mapInArrow(tidy(_word_counts), "row long, doc_id long, n_words long")
+    out = settle(counts.join(found, "row", "left").select("doc_id", "n_words", "items", "spans").mapInArrow(tidy(_merged), OUT), "merged")
+    discard(keyed, *passes)
+    return out

@@ -8,7 +8,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from scrollmill.llm import embedding_dedup, sharding
+from scrollmill.llm import decontaminate, embedding_dedup, sharding
 from scrollmill.llm.chat import DEFAULT, read_back, segments
 from scrollmill.llm.decontaminate import FMIndex, find_contamination
 from scrollmill.llm.toxicity import fit, score, train
@@ -112,7 +112,11 @@ def test_index_finds_every_occurrence(runs, phrase):
 ALNUM = "[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 
 
-def test_contamination_same_as_brute_force(spark, corpus):
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 60])
+def test_contamination_same_as_brute_force(spark, corpus, monkeypatch, block):
+    """In one pass, and in passes of a few items each."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    corpus = corpus + [(700, "padding words " * 60_000 + corpus[40][1])]  # longer than a chunk
     texts = {d: t for d, t in corpus if t}
     items = [(1, " ".join(texts[100].split()[20:50])), (2, " ".join(texts[169].split()[500:513])), (3, "one two THREE"), (10, None), (11, " .. "), (None, texts[100]), (2, "naïve, café élan naïve"), (12, "never seen anywhere at all")]
     docs = corpus + [(500, "... One-two/three! and " + items[0][1]), (501, "one two")]
