@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .saving import attachments, read_attachments, read_tool_calls, tool_call
 
 HEADINGS = {"user": "## User", "assistant": "## Assistant", "reasoning": "## Reasoning"}
 
@@ -74,6 +75,68 @@ def intact(documents: DataFrame, key: str = "conv_id") -> DataFrame:
     return told.join(read, key, "left").select(key, F.coalesce("n_turns", F.lit(0)).alias("n_turns"), F.coalesce(F.col("recorded") == F.col("body_hash"), F.lit(False)).alias("intact"))
 
 
+_REASONING = r"(?s)\A<!-- reasoning -->\n\n(.*?)\n\n<!-- /reasoning -->\s*"
+_CALLS = r"\A(?:\s*`{3,}tool\n[^\n]*\n`{3,}(?=\n|\z))*\s*"
+_ATTACHMENTS = r"\AAttachments:\n\n(?:- [^\n]*(?:\n|\z))*\s*"
+
+
+def render_turn(turn: Column) -> Column:
+    """Of a struct with role, body, reasoning, toolCalls and attachments: what decorates the turn, in this order before its body."""
+    reasoning = F.when(F.coalesce(turn["reasoning"], F.lit("")) != "", F.concat(F.lit("<!-- reasoning -->\n\n"), turn["reasoning"], F.lit("\n\n<!-- /reasoning -->")))
+    calls = F.when(F.size(F.coalesce(turn["toolCalls"], F.array())) > 0, F.array_join(F.transform(turn["toolCalls"], tool_call), "\n"))
+    files = F.nullif(attachments(F.coalesce(turn["attachments"], F.array().cast("array<struct<name:string,kind:string,byteSize:bigint,url:string>>"))), F.lit(""))
+    return F.concat_ws("\n\n", reasoning, calls, files, turn["body"])
+
+
+def decode_turn(text: Column) -> Column:
+    """Inverts ``render_turn``: (reasoning, toolCalls, attachments, body). Only what leads a turn is decoration; a fence further on is the speaker's own."""
+    reasoning, rest = F.nullif(F.regexp_extract(text, _REASONING, 1), F.lit("")), F.regexp_replace(text, _REASONING, "")
+    calls, rest = read_tool_calls(rest), F.regexp_replace(rest, _CALLS, "")
+    files, rest = read_attachments(F.regexp_extract(rest, _ATTACHMENTS, 0)), F.regexp_replace(rest, _ATTACHMENTS, "")
+    return F.struct(reasoning.alias("reasoning"), calls.alias("toolCalls"), files.alias("attachments"), F.regexp_replace(rest, r"^\s+|\s+$", "").alias("body"))
+
+
+_END = "<!-- /section -->"
+
+
+def section(key: Column, title: Column, body: Column) -> Column:
+    return F.concat(F.lit("<!-- section:"), key.cast("string"), F.lit(" -->\n## "), title, F.lit("\n\n"), body, F.lit("\n" + _END))
+
+
+def _comparable(text: Column) -> Column:
+    """Without lines of time stamps, which are no change."""
+    return T.normalise(F.regexp_replace(text, r"(?m)^<sub>[^\n]*$", ""))
+
+
+def upsert_sections(notes: DataFrame, sections: DataFrame, path: str = "path") -> DataFrame:
+    """(path, action, note) of ``notes(path, note)``, which hold others' text as well, with a section each from ``sections(path, key, title, body)``.
+
+    A section lies between its marker and the first end marker behind it. Marked with the key: unchanged if only time stamps
+    differ, else replaced in place. Under the heading, with another key, and its body the beginning of the new one: the
+    section has grown and is replaced; if not, both stay. Otherwise it is inserted at the end, after a blank line; an empty
+    or missing note gets a heading with its path. A section without an end is left as it is.
+    """
+    met = sections.join(notes, path, "left").withColumn("note", F.coalesce("note", F.lit("")))
+    new = section(F.col("key"), F.col("title"), F.col("body"))
+    note = F.col("note")
+    met = met.withColumn("__start", F.expr("locate(concat('<!-- section:', cast(key as string), ' -->'), note)"))
+    met = met.withColumn("__end", F.expr(f"if(__start > 0, locate('{_END}', note, __start), 0)"))
+    met = met.withColumn("__heading", F.expr("locate(concat('\n## ', title, '\n'), note)"))
+    before = F.expr("substring(note, 1, __heading)")
+    met = met.withColumn("__open", F.when(F.col("__heading") > 0, F.length(before) - F.length(F.substring_index(before, "<!-- section:", -1)) - len("<!-- section:") + 1).otherwise(0))
+    met = met.withColumn("__open", F.when(F.col("__open") > 0, F.col("__open")).otherwise(0)).withColumn("__close", F.expr(f"if(__open > 0, locate('{_END}', note, __heading), 0)"))
+    own = (F.col("__start") > 0) & (F.col("__end") > 0)
+    grown = ~own & (F.col("__open") > 0) & (F.col("__close") > 0)
+    old_body = T.normalise(F.expr("substring(note, __heading + length(title) + 5, __close - __heading - length(title) - 5)"))
+    held = F.expr(f"substring(note, __start, __end - __start + {len(_END)})")
+    action = F.when(own & (_comparable(held) == _comparable(new)), "unchanged").when(own, "replace").when(grown & F.startswith(T.normalise(F.col("body")), old_body), "replace").otherwise("insert")
+    at, upto = F.when(own, F.col("__start")).otherwise(F.col("__open")), F.when(own, F.col("__end")).otherwise(F.col("__close")) + len(_END)
+    swapped = F.concat(F.substring(note, F.lit(1), at - 1), new, F.substring(note, upto, F.length(note)))
+    gap = F.when(note == "", F.concat(F.lit("# "), F.col(path).cast("string"), F.lit("\n\n"))).when(note.endswith("\n\n"), "").when(note.endswith("\n"), "\n").otherwise("\n\n")
+    added = F.concat(F.when(note == "", gap).otherwise(F.concat(note, gap)), new, F.lit("\n"))
+    return met.withColumn("action", action).select(path, "action", F.when(F.col("action") == "unchanged", note).when(F.col("action") == "replace", swapped).otherwise(added).alias("note"))
+
+
 def daily_notes(sections: DataFrame) -> DataFrame:
     """(day, note) from sections(day, key, seq, title, body): of each key the last section, at the place of its first.
 

@@ -84,6 +84,14 @@ def attachments(items: Column) -> Column:
     return F.when(F.size(items) > 0, F.concat(F.lit("Attachments:\n\n"), F.array_join(F.transform(items, line), "\n"))).otherwise("")
 
 
+def read_attachments(block: Column) -> Column:
+    """The attachments of such a list, in order."""
+    line = r"- (`+) ?(.*?) ?\1 \(([^,)]*)(?:, ([0-9]+) bytes)?\)(?: <([^>\n]*)>)?"
+    group = lambda x, k: F.nullif(F.regexp_extract(x, line, k), F.lit(""))
+    lines = F.filter(F.split(block, "\n"), lambda x: x.startswith("- "))
+    return F.transform(lines, lambda x: F.struct(group(x, 2).alias("name"), group(x, 3).alias("kind"), group(x, 4).cast("long").alias("byteSize"), group(x, 5).alias("url")))
+
+
 def describe(action: Column) -> Column:
     """What a save did, in words."""
     return F.when(action == "write_new", "Saved").when(action == "append", "Appended new messages").when(action == "unchanged", "Already up to date").otherwise("Saved beside the existing file")

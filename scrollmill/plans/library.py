@@ -8,6 +8,7 @@ from ..functions import markdown as M
 from ..functions import text as T
 from ..operators import archive as A
 from ..operators import harvest as H
+from ..operators import render as R
 from ..operators import saving as V
 from ..operators import search as S
 from ..sources import tables as src
@@ -223,3 +224,52 @@ def fanned_out(spark, d):
     docs = src.documents(spark, d)
     taken = docs.where(F.col("doc_id") % 2 == 0).select(F.lit("third").alias("folder"), F.concat("lang", F.lit(".md")).alias("name")).distinct()
     return V.fan_out(docs.select("doc_id", F.concat("lang", F.lit(".md")).alias("name")), ["first", "second", "third"], taken, "doc_id").select("doc_id", "folder", "final")
+
+
+_TURN = f"""r AS (SELECT *, {_NORM.replace('{0}', 'body')} AS b FROM m), k AS (SELECT *, CASE WHEN role = 'assistant' AND conv_id % 2 = 0 THEN {_NORM.replace('{0}', 'substr(b, 1, 30)')} ELSE '' END AS why,
+  CASE WHEN role = 'user' AND conv_id % 3 = 0 THEN 'q' || turn END AS asked, CASE WHEN conv_id % 5 = 0 THEN 'file ' || turn || '.pdf' END AS file FROM r WHERE regexp_replace(body, '\\s+', '', 'g') <> '')"""
+
+
+@query(
+    "decorated_round_trip",
+    f"""WITH {_M}, {_TURN} SELECT conv_id, count(*)::BIGINT AS n_turns, sha256('web' || chr(31) || string_agg(chr(30) || role || chr(31) || b || CASE WHEN why <> '' THEN chr(31) || 'reasoning:' || why ELSE '' END || CASE WHEN asked IS NOT NULL THEN chr(31) || 'tool:search:' || asked ELSE '' END, '' ORDER BY turn)) AS digest,
+  coalesce(string_agg(file || ' ' || (100 * turn + 7), ', ' ORDER BY turn), '') AS files FROM k GROUP BY conv_id""",
+)
+def decorated_round_trip(spark, d):
+    """Turns with reasoning, tool calls and attachments, written as documents and read back from these alone."""
+    m = src.messages(spark, d).withColumn("body", F.regexp_replace("body", r"^\s+|\s+$", "")).where("body <> ''")
+    k, none = F.col("conv_id"), F.array()
+    why = F.when((F.col("role") == "assistant") & (k % 2 == 0), T.normalise(F.substring(T.normalise(F.col("body")), 1, 30)))
+    call = F.struct(F.lit("search").alias("name"), F.concat(F.lit("q"), F.col("turn").cast("string")).alias("input"), F.substring("body", 1, 10).alias("output"))
+    calls = F.when((F.col("role") == "user") & (k % 3 == 0), F.array(call)).otherwise(none.cast("array<struct<name:string,input:string,output:string>>"))
+    file = F.struct(F.concat(F.lit("file "), F.col("turn").cast("string"), F.lit(".pdf")).alias("name"), F.lit("document").alias("kind"), (F.col("turn") * 100 + 7).cast("long").alias("byteSize"), F.lit(None).cast("string").alias("url"))
+    files = F.when(k % 5 == 0, F.array(file)).otherwise(none.cast("array<struct<name:string,kind:string,byteSize:bigint,url:string>>"))
+    turn = F.struct("role", "body", why.alias("reasoning"), calls.alias("toolCalls"), files.alias("attachments"))
+    heading = F.create_map(*(F.lit(x) for kv in R.HEADINGS.items() for x in kv))
+    written = m.select("conv_id", "turn", F.concat(heading[F.col("role")], F.lit("\n\n"), R.render_turn(turn)).alias("x"))
+    written = written.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "x"))), lambda t: t["x"]), "\n\n").alias("document"))
+    read = R.split_turns(written).withColumn("t", R.decode_turn(F.col("body"))).select("conv_id", "turn", "role", "t.*")
+    told = read.withColumn("x", T.canonical_turn(F.col("role"), F.col("body"), F.col("reasoning"), F.col("toolCalls")))
+    told = told.withColumn("f", F.array_join(F.transform("attachments", lambda a: F.concat(a["name"], F.lit(" "), a["byteSize"].cast("string"))), ", "))
+    g = told.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.array_sort(F.collect_list(F.struct("turn", "x", "f"))).alias("t"))
+    digest = T.digest(F.concat(F.lit("web\x1f"), F.array_join(F.transform("t", lambda t: t["x"]), "")))
+    return g.select("conv_id", "n_turns", digest.alias("digest"), F.array_join(F.filter(F.transform("t", lambda t: t["f"]), lambda f: f != ""), ", ").alias("files"))
+
+
+@query(
+    "note_upserts",
+    """WITH u AS (SELECT user_id, max(event_type) AS title, max(value)::VARCHAR AS v FROM events GROUP BY user_id
+), n AS (SELECT user_id, title, 'read ' || v || chr(10) || 'and more' AS body, CASE user_id % 5 WHEN 0 THEN NULL WHEN 1 THEN user_id WHEN 2 THEN user_id ELSE user_id + 1000000 END AS old_key, CASE user_id % 5 WHEN 1 THEN 'something else' WHEN 4 THEN 'unlike' ELSE 'read ' || v END AS old FROM u
+), s AS (SELECT *, '<!-- section:' || user_id || ' -->' || chr(10) || '## ' || title || chr(10) || chr(10) || body || chr(10) || '<!-- /section -->' AS new, 'Mine.' || chr(10) || chr(10) AS head,
+  '<!-- section:' || old_key || ' -->' || chr(10) || '## ' || title || chr(10) || chr(10) || CASE WHEN user_id % 5 = 2 THEN '<sub>noon</sub>' || chr(10) || chr(10) || body ELSE old END || chr(10) || '<!-- /section -->' AS held, chr(10) || 'My own end.' AS tail FROM n)
+SELECT user_id, CASE user_id % 5 WHEN 1 THEN 'replace' WHEN 2 THEN 'unchanged' WHEN 3 THEN 'replace' ELSE 'insert' END AS action,
+  CASE user_id % 5 WHEN 0 THEN '# ' || user_id || chr(10) || chr(10) || new || chr(10) WHEN 1 THEN head || new || tail WHEN 2 THEN head || held || tail WHEN 3 THEN head || new || tail ELSE head || held || tail || chr(10) || chr(10) || new || chr(10) END AS note FROM s""",
+)
+def note_upserts(spark, d):
+    """A note of each user with text of their own: none yet, a section to change, one that differs by its time, one that has grown, one that only has the same heading."""
+    u = src.events(spark, d).groupBy("user_id").agg(F.max("event_type").alias("title"), F.max("value").cast("string").alias("v"))
+    k, body = F.col("user_id") % 5, F.concat(F.lit("read "), "v", F.lit("\nand more"))
+    old = F.when(k == 1, "something else").when(k == 2, F.concat(F.lit("<sub>noon</sub>\n\n"), body)).when(k == 4, "unlike").otherwise(F.concat(F.lit("read "), "v"))
+    key = F.when(k.isin(1, 2), F.col("user_id")).otherwise(F.col("user_id") + 1_000_000)
+    notes = u.where(k != 0).select("user_id", F.concat(F.lit("Mine.\n\n"), R.section(key, F.col("title"), old), F.lit("\nMy own end.")).alias("note"))
+    return R.upsert_sections(notes, u.select("user_id", F.col("user_id").alias("key"), "title", body.alias("body")), "user_id")
