@@ -32,8 +32,27 @@ def duplicate_members(rows: DataFrame, key: str, fingerprint: str) -> DataFrame:
 
 def collision_names(names: DataFrame, by: str, order: str) -> DataFrame:
     """``names`` with final: the name, or ``name (n)`` from the second holder on, n from 2 in the given order."""
-    n = F.row_number().over(Window.partitionBy(by).orderBy(order))
-    return names.withColumn("final", F.when(n == 1, F.col(by)).otherwise(F.concat(F.col(by), F.lit(" ("), n.cast("string"), F.lit(")"))))
+    n = _numbered(names, by, order)
+    n = n.withColumn("final", F.when(F.col("__n") == 1, F.col(by)).otherwise(F.concat(F.col(by), F.lit(" ("), F.col("__n").cast("string"), F.lit(")"))))
+    return n.drop("__n")
+
+
+#: Ranges of the order into which the holders of one name are dealt.
+RANGES = 64
+
+
+def _numbered(rows: DataFrame, by: str, order: str) -> DataFrame:
+    """``rows`` with __n, the place in ``order`` among equal ``by``. A numeric order is cut into ranges, so that no key is one task's work."""
+    if not dict(rows.dtypes)[order].startswith(("bigint", "int", "smallint", "tinyint", "double", "float", "decimal")):
+        return rows.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(order)))
+    cuts = rows.agg(F.percentile_approx(order, [k / RANGES for k in range(1, RANGES)]).alias("c")).first()["c"] or []
+    cut = rows.withColumn("__r", F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c <= F.col(order))) if cuts else F.lit(0))
+    upto = Window.partitionBy(by).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    before = cut.groupBy(by, "__r").agg(F.count(F.lit(1)).alias("k")).withColumn("__before", F.coalesce(F.sum("k").over(upto), F.lit(0))).drop("k")
+    inside = cut.withColumn("__i", F.row_number().over(Window.partitionBy(by, "__r").orderBy(order)))
+    key = before.select(F.col(by).alias("__by"), F.col("__r").alias("__range"), "__before")
+    met = inside.join(key, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__r") == F.col("__range")))
+    return met.withColumn("__n", F.col("__i") + F.col("__before")).drop("__by", "__range", "__r", "__i", "__before")
 
 
 def index_delta(known: DataFrame, seen: DataFrame, key: str = "path") -> DataFrame:
@@ -106,8 +125,19 @@ def match_existing(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     last = e.groupBy("file").agg(F.max_by(F.struct("n", "hash"), "n").alias("e")).groupBy("e.n", "e.hash").agg(F.min("file").alias("file"))
     size = i.groupBy("conv_id").agg(F.max("n").alias("m"))
     heads = i.join(last, ["n", "hash"]).join(size, "conv_id").select("conv_id", "file", F.when(F.col("n") == F.col("m"), 0).otherwise(1).alias("rank"))
+    # Edited: one conversation for each content on either side. Of n turns half must be equal, so one of any n // 2 + 1 of them is:
+    # pairs meet at the rarest of those, and only then is every place compared.
+    whole = i.join(size, "conv_id").where("n = m").select("conv_id", "n", "hash")
+    ours = whole.groupBy("n", "hash").agg(F.min("conv_id").alias("conv_id"))
     told = lambda d, k: d.select(k, F.count(F.lit(1)).over(Window.partitionBy(k)).alias("n"), "turn", T.digest(T.canonical_turn(F.col("role"), F.col("body"))).alias("x"))
-    same = told(existing, "file").join(told(incoming, "conv_id"), ["n", "turn", "x"]).groupBy("conv_id", "file", "n").agg(F.count(F.lit(1)).alias("same")).where("2 * same >= n").select("conv_id", "file", F.lit(2).alias("rank"))
+    old = told(existing.join(last.select("file"), "file", "left_semi"), "file")
+    new = told(incoming.join(ours.select("conv_id"), "conv_id", "left_semi"), "conv_id")
+    place = ["n", "turn", "x"]
+    rare = F.row_number().over(Window.partitionBy("conv_id").orderBy("often", "turn"))
+    few = new.join(old.groupBy(place).agg(F.count(F.lit(1)).alias("often")), place, "left").withColumn("often", F.coalesce("often", F.lit(0)))
+    pairs = few.withColumn("r", rare).where("r <= floor(n / 2) + 1").join(old, place).select("conv_id", "file").distinct()
+    same = pairs.join(new, "conv_id").join(old, [*place, "file"]).groupBy("conv_id", "file", "n").agg(F.count(F.lit(1)).alias("same")).where("2 * same >= n")
+    same = same.join(ours.select("conv_id", "hash"), "conv_id").select("n", "hash", "file").join(whole, ["n", "hash"]).select("conv_id", "file", F.lit(2).alias("rank"))
     best = heads.unionByName(same).groupBy("conv_id").agg(F.min(F.struct("rank", "file")).alias("b"))
     return best.select("conv_id", "b.file", F.element_at(F.array(F.lit("exact"), F.lit("prefix"), F.lit("edited")), F.col("b.rank") + 1).alias("how"))
 
