@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -89,9 +89,15 @@ def missing_paths(known: DataFrame, seen: DataFrame, folder: str, key: str = "pa
     return known.where(F.col(key).startswith(folder.rstrip("/") + "/")).join(seen.select(key), key, "left_anti").select(key)
 
 
+def _turn_digest(messages: DataFrame) -> Column:
+    """Of role and normalised body, and of source and model where the table has them: only conversations of one source and model are alike."""
+    of = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("source", "model") if c in messages.columns]
+    return T.digest(F.concat_ws("\x1f", *of, T.canonical_turn(F.col("role"), F.col("body"))))
+
+
 def prefix_hashes(messages: DataFrame, key: str = "conv_id") -> DataFrame:
-    """(key, n, hash) for each number n of leading turns: role and normalised body alone, so heads can be met by equality."""
-    told = messages.select(key, "turn", T.digest(T.canonical_turn(F.col("role"), F.col("body"))).alias("x"))
+    """(key, n, hash) for each number n of leading turns, so heads can be met by equality."""
+    told = messages.select(key, "turn", _turn_digest(messages).alias("x"))
     place = told.select(key, "x", F.row_number().over(Window.partitionBy(key).orderBy("turn")).alias("n"))
     w = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     # Sums of placed hashes grow with the head, one step a turn, and two of them name it.
@@ -129,7 +135,7 @@ def match_existing(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     # pairs meet at the rarest of those, and only then is every place compared.
     whole = i.join(size, "conv_id").where("n = m").select("conv_id", "n", "hash")
     ours = whole.groupBy("n", "hash").agg(F.min("conv_id").alias("conv_id"))
-    told = lambda d, k: d.select(k, F.count(F.lit(1)).over(Window.partitionBy(k)).alias("n"), "turn", T.digest(T.canonical_turn(F.col("role"), F.col("body"))).alias("x"))
+    told = lambda d, k: d.select(k, F.count(F.lit(1)).over(Window.partitionBy(k)).alias("n"), "turn", _turn_digest(d).alias("x"))
     old = told(existing.join(last.select("file"), "file", "left_semi"), "file")
     new = told(incoming.join(ours.select("conv_id"), "conv_id", "left_semi"), "conv_id")
     place = ["n", "turn", "x"]

@@ -17,6 +17,21 @@ def frontmatter(fields: list[tuple[str, Column]]) -> Column:
     return F.concat(F.lit("---\n"), F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n"), F.lit("\n---\n"))
 
 
+def all_fields(title: Column, day: str, platform: Column, turns: Column, model: Column, url: Column, score: Column, complete: Column, warnings: Column, most: int = 16) -> list[tuple[str, Column]]:
+    """Every field of a document, in order; a null value is left out. Up to ``most`` warnings have a field each, the last of them holding what is beyond."""
+    shown = F.when(F.size(warnings) > most, F.concat(F.slice(warnings, 1, most - 1), F.array(F.array_join(F.slice(warnings, most, 1_000_000), "; ")))).otherwise(warnings)
+    fields = [("title", F.nullif(title, F.lit(""))), ("date", F.lit(day)), ("platform", platform), ("turns", turns.cast("string")), ("model", model), ("url", T.encode_url(url)), ("extraction", F.format_string("%.2f", score)), ("incomplete", F.when(~complete, "true"))]
+    return fields + [("warning", F.get(shown, F.lit(k))) for k in range(most)]
+
+
+def metadata(documents: DataFrame, key: str = "path") -> DataFrame:
+    """What the index keeps of a document's frontmatter: (key, title, platform, model, url, day, turns, extraction, incomplete, warnings)."""
+    f = parse_frontmatter(F.col("document"))
+    named = [f[c].alias(a) for c, a in (("title", "title"), ("platform", "platform"), ("model", "model"), ("url", "url"), ("date", "day"))]
+    warnings = F.coalesce(F.split(f["warning"], "\x01", -1), F.array().cast("array<string>"))
+    return documents.select(key, *named, f["turns"].cast("int").alias("turns"), f["extraction"].cast("double").alias("extraction"), F.coalesce(f["incomplete"] == "true", F.lit(False)).alias("incomplete"), warnings.alias("warnings"))
+
+
 def parse_frontmatter(text: Column) -> Column:
     """Map of the block's fields, or null without a closed block at the start. Repeated keys keep all values, joined by U+0001."""
     unix = F.replace(text, F.lit("\r\n"), F.lit("\n"))

@@ -273,3 +273,39 @@ def note_upserts(spark, d):
     key = F.when(k.isin(1, 2), F.col("user_id")).otherwise(F.col("user_id") + 1_000_000)
     notes = u.where(k != 0).select("user_id", F.concat(F.lit("Mine.\n\n"), R.section(key, F.col("title"), old), F.lit("\nMy own end.")).alias("note"))
     return R.upsert_sections(notes, u.select("user_id", F.col("user_id").alias("key"), "title", body.alias("body")), "user_id")
+
+
+@query("fts_prefix", _bm25_sql(["@"]).replace("list_filter(ws, lambda x: x = '@')", "list_filter(ws, lambda x: starts_with(x, 'ti'))"))
+def fts_prefix(spark, d):
+    return _hits(spark, d, "ti*", prefix=True).withColumn("score", F.round("score", 9))
+
+
+@query(
+    "document_metadata",
+    _TITLE + """, g AS (SELECT conv_id, count(*) AS n, list_sort(list_distinct(list('unknown role: ' || role) FILTER (role NOT IN ('user', 'assistant')))) AS w, bool_and(coalesce(text, '') <> '') AS ok FROM conversations GROUP BY conv_id)
+SELECT g.conv_id, nullif(t.title, '') AS title, 'ChatGPT' AS platform, CASE WHEN conv_id % 2 = 0 THEN 'm: ' || conv_id END AS model, 'https://example.org/a%20b/' || conv_id AS url, '2024-01-01' AS day, n::INTEGER AS turns,
+  CASE WHEN ok THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END AS extraction, NOT ok AS incomplete, array_to_string(coalesce(w, []), '; ') AS warnings FROM g LEFT JOIN t USING (conv_id)""",
+)
+def document_metadata(spark, d):
+    """Frontmatter of every field, written and read back."""
+    g = _turns(spark, d).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.when(~F.col("role").isin("user", "assistant"), F.concat(F.lit("unknown role: "), "role")))).alias("w"), F.min(F.col("body") != "").alias("ok"))
+    g = g.join(_titles(spark, d), "conv_id", "left").withColumn("title", F.coalesce("title", F.lit("")))
+    c = F.col("conv_id").cast("string")
+    fields = R.all_fields(F.col("title"), "2024-01-01", F.lit("ChatGPT"), F.col("n"), F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("m: "), c)), F.concat(F.lit("https://example.org/a b/"), c), F.when(F.col("ok"), 1.0).otherwise(0.7), F.col("ok"), F.col("w"))
+    told = R.metadata(g.select("conv_id", R.frontmatter(fields).alias("document")), "conv_id")
+    return told.withColumn("warnings", F.array_join("warnings", "; "))
+
+
+@query(
+    "saved_files",
+    _TITLE + ", n AS (SELECT conv_id, CASE WHEN length(x) <= 80 THEN x WHEN regexp_matches(substr(x, 1, 80), '^.+ ') THEN regexp_replace(substr(x, 1, 80), ' [^ ]*$', '') ELSE substr(x, 1, 80) END AS s FROM (SELECT conv_id, " + _SAFE_SQL.replace("{0}", "title") + """ AS x FROM t)
+), b AS (SELECT conv_id, count(*)::BIGINT AS n_turns FROM m WHERE regexp_replace(body, '\\s+', '', 'g') <> '' GROUP BY conv_id
+), f AS (SELECT conv_id, n_turns, CASE WHEN coalesce(s, '') = '' THEN '2024-01-01' ELSE s END AS s FROM b LEFT JOIN n USING (conv_id)
+), r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY conv_id) AS k FROM f) SELECT conv_id, s || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END || '.md' AS final, n_turns, true AS intact FROM r""",
+)
+def saved_files(spark, d):
+    """One Markdown file for each conversation: its free name, and what is read back from its content."""
+    documents = R.render(src.messages(spark, d), "Claude", "2024-01-01").withColumn("folder", F.lit("archive"))
+    named = documents.withColumn("name", V.file_name(F.col("title"), F.lit("2024-01-01"), F.lit("separate")))
+    taken = named.select("folder", "name").limit(0)
+    return V.free_names(named, taken, "conv_id").select("conv_id", "final").join(R.intact(documents), "conv_id")

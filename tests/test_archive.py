@@ -193,3 +193,13 @@ def test_stream_keeps_latest(spark, tmp_path):
     batch = spark.createDataFrame(rows, schema)
     state = upsert_latest(batch, upsert_latest(batch, None))
     assert {r["key"]: r["body"] for r in state.collect()} == {k: v[1] for k, v in want.items()}
+
+
+def test_other_models_do_not_match(spark):
+    from scrollmill.operators.archive import decide, match_existing
+
+    rows = lambda key, model: spark.createDataFrame([(key, k, "user", f"turn {k}", "web", model, True) for k in range(4)], "conv_id long, turn long, role string, body string, source string, model string, intact boolean")
+    file = lambda model: rows(7, model).withColumnRenamed("conv_id", "file")
+    assert [tuple(r) for r in match_existing(file("a"), rows(1, "a")).collect()] == [(1, 7, "exact")]
+    assert match_existing(file("a"), rows(1, "b")).collect() == []
+    assert {r["action"] for r in decide(rows(1, "a"), rows(1, "b").drop("intact")).collect()} == {"write_alongside"}
