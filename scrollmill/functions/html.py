@@ -9,8 +9,6 @@ import pandas as pd
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-PAGE = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("markdown", T.StringType()), T.StructField("title", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("warnings", T.ArrayType(T.StringType()))])
-
 # Elements without content of interest, without an end, and those that a new one closes.
 IGNORED = {"script", "style", "noscript", "template", "head", "iframe", "object", "svg", "select", "textarea", "button"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "source", "area", "base", "col", "embed"}
@@ -202,35 +200,40 @@ def strip(n: Node) -> Node:
     return copy
 
 
-def score(n: Node) -> float | None:
-    """How much a region looks like an article, 0 to 1; null without text."""
-    import math
+NODES = T.StructType(
+    [
+        T.StructField("nodes", T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("id", T.IntegerType()), ("last", T.IntegerType()), ("tag", T.StringType()), ("hints", T.IntegerType()), ("chrome", T.IntegerType()), ("from", T.IntegerType()), ("pieces", T.IntegerType()))]))),
+        T.StructField("pieces", T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("chrome", T.IntegerType())]))),
+    ]
+)
+
+
+def numbered(root: Node) -> tuple[list[list], list[tuple[str, int]]]:
+    """Nodes in document order (id, last node below, tag, hints of chrome in class and id, chrome elements at or above, first piece, pieces) and pieces of text."""
+    nodes: list[list] = []
+    pieces: list[tuple[str, int]] = []
+    stack: list[tuple] = [(root, 0, False)]
+    while stack:
+        n, chrome, done = stack.pop()
+        if isinstance(n, str):
+            pieces.append((n, chrome))
+        elif done:
+            row = nodes[chrome]
+            row[1], row[6] = len(nodes) - 1, len(pieces) - row[5]
+        else:
+            here = chrome + is_chrome(n)
+            hints = sum(any(h in n.attrs.get(a, "").lower() for h in CHROME_HINTS) for a in ("class", "id"))
+            stack.append((n, len(nodes), True))
+            nodes.append([len(nodes), 0, n.tag, hints, here, len(pieces), 0])
+            stack.extend((k, here, False) for k in reversed(n.kids))
+    return nodes, pieces
 
-    text = len(_squeezed(n.text()))
-    if not text:
-        return None
-    nodes = [k for k in n.walk() if isinstance(k, Node)]
-    links = sum(len(_squeezed(k.text())) for k in nodes if k.tag == "a")
-    prose = sum(1 for k in nodes if k.tag == "p" and k.text().strip())
-    value = (1 - links / text) * 50 + min(prose, 6) / 6 * 30 + min(math.log10(text + 1) / 5, 1) * 20
-    value -= 40 * sum(any(h in n.attrs.get(a, "").lower() for h in CHROME_HINTS) for a in ("class", "id"))
-    return max(0.0, min(1.0, value / 100))
-
-
-def region(root: Node) -> tuple[Node, float] | None:
-    """The first article or main that scores 0.5 once stripped, else the best other region that holds none of them."""
-    nodes = [k for k in root.walk() if isinstance(k, Node)]
-    for tag in ("article", "main"):
-        for n in nodes:
-            if n.tag == tag and (s := score(strip(n))) is not None and s >= 0.5:
-                return n, s
-    best = None
-    for n in nodes:
-        if n.tag in ("div", "section", "td") and not any(isinstance(k, Node) and k.tag in ("article", "main") for k in n.walk()):
-            s = score(n)
-            if s is not None and (best is None or s > best[1]):
-                best = n, s
-    return best
+
+@pandas_udf(NODES)
+def page_nodes(html: pd.Series) -> pd.DataFrame:
+    """What ``operators.pages`` measures: the elements of a page and its text between them."""
+    found = [numbered(parse(text or "")) for text in html]
+    return pd.DataFrame({"nodes": [[tuple(n) for n in nodes] for nodes, _ in found], "pieces": [pieces for _, pieces in found]})
 
 
 @pandas_udf(T.StringType())
@@ -238,20 +241,12 @@ def html_to_markdown(html: pd.Series) -> pd.Series:
     return html.map(to_markdown)
 
 
-@pandas_udf(PAGE)
-def extract_page(html: pd.Series) -> pd.DataFrame:
-    out = []
-    for text in html:
-        root = parse(text or "")
-        found = region(root)
-        if found is None:
-            out.append((False, None, None, 0.0, []))
-            continue
-        node, value = found
-        heading = next((k for k in root.walk() if isinstance(k, Node) and k.tag == "h1"), None) or next((k for k in root.walk() if isinstance(k, Node) and k.tag == "title"), None)
-        title = re.split(r"\s+[—–|]\s+", _squeezed(heading.text()))[0] if heading else ""
-        warnings = [f"The main content region scored {value:.2f}, below 0.6."] if value < 0.6 else []
-        if len(_squeezed(node.text())) < 400:
-            warnings.append("The extracted region is very short.")
-        out.append((True, "\n\n".join(_blocks(strip(node))) or None, title, value, warnings))
-    return pd.DataFrame(out, columns=["ok", "markdown", "title", "score", "warnings"])
+def region_markdown(html: str | None, node: int | None) -> str | None:
+    """Markdown of one element, by its number, without page parts that are never content."""
+    if node is None:
+        return None
+    at = strip(next(n for k, n in enumerate(n for n in parse(html or "").walk() if isinstance(n, Node)) if k == node))
+    try:
+        return "\n\n".join(_blocks(at)) or None
+    except RecursionError:
+        return _squeezed(at.text()) or None

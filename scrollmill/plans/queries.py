@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.html import extract_page, html_to_markdown
+from ..functions.html import html_to_markdown
 from ..operators import archive as A
+from ..operators import pages as P
 from ..operators import render as R
 from ..operators import search as S
 from ..sources import tables as src
@@ -221,7 +222,8 @@ def html_to_markdown_pages(spark, d):
 
 @query("extract_page")
 def extract_page_regions(spark, d):
-    return src.spread(src.pages(spark, d)).select("page_id", extract_page("html").alias("p")).select("page_id", "p.ok", "p.title", "p.score", F.array_join("p.warnings", "; ").alias("warnings"), "p.markdown")
+    found = P.extract_pages(src.spread(src.pages(spark, d)).select("page_id", "html"))
+    return found.select("page_id", "ok", "title", "score", F.array_join("warnings", "; ").alias("warnings"), "markdown")
 
 
 # -- merge and index ----------------------------------------------------------------------------------------------

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from scrollmill.functions import text as T
-from scrollmill.functions.html import region, parse, to_markdown
+from scrollmill.functions.html import to_markdown
+from scrollmill.operators.pages import extract_pages, find_content
 from scrollmill.functions.porter import stem
 from scrollmill.operators import archive as A
 from scrollmill.operators import render as R
@@ -96,11 +97,18 @@ def test_hostile_html():
     assert to_markdown("<div></div>" * 3000) is None
 
 
-def test_region():
+def test_region(spark):
     page = "<nav><a>x</a></nav><article><p>" + "words and more " * 40 + "</p><p>b</p></article>"
-    node, score = region(parse(page))
-    assert node.tag == "article" and score > 0.5
-    assert region(parse("<p></p>")) is None
+    inside = "<aside><article><p>in aside " + "word " * 100 + "</p><button>b</button></article></aside>"
+    links = "<div id=a><p>some text here</p></div><div><a href=x>only a link</a></div><td class=sidebar>text</td>"
+    rows = [(1, page), (2, "<p></p>"), (3, None), (4, inside), (5, links), (6, "<title>T — Site</title><main>" + "x " * 300 + "</main>"), (7, "<div>" * 300 + "deep")]
+    found = {r["page_id"]: r for r in find_content(spark.createDataFrame(rows, "page_id long, html string")).collect()}
+    told = {r["page_id"]: r for r in extract_pages(spark.createDataFrame(rows, "page_id long, html string")).collect()}
+    assert found[1]["score"] > 0.5 and found[1]["region"] == 3 and told[1]["markdown"].startswith("words and more")
+    assert found[2]["region"] is None and found[3]["region"] is None and not told[2]["ok"] and told[3]["markdown"] is None
+    assert found[4]["region"] == 2 and told[4]["markdown"].endswith("word")
+    assert told[5]["markdown"] == "some text here" and told[5]["warnings"] == ["The main content region scored 0.60, below 0.6.", "The extracted region is very short."][told[5]["score"] >= 0.6 :]
+    assert told[6]["title"] == "T" and told[7]["markdown"] == "deep"
 
 
 def test_stemmer_and_search_agree_with_fts5(spark):
