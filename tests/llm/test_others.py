@@ -8,7 +8,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from scrollmill.llm import decontaminate, embedding_dedup, sharding
+from scrollmill.llm import decontaminate, embedding_dedup, sharding, toxicity
 from scrollmill.llm.chat import DEFAULT, read_back, segments
 from scrollmill.llm.decontaminate import FMIndex, find_contamination
 from scrollmill.llm.toxicity import fit, score, train
@@ -178,6 +178,35 @@ def test_long_conversation(spark):
 
 
 # -- toxicity
+def test_kernel_same_as_brute_force():
+    """Weighted triples of letters in order, one by one; and the table of a machine gives the same values as its kernel expansion."""
+    rng = np.random.default_rng(3)
+    width = toxicity.WIDTH + toxicity.SPAN
+    windows = rng.integers(0, 4, (12, width)).astype(np.uint8)
+
+    def triples(w):
+        out = Counter()
+        for i in range(toxicity.WIDTH):
+            for a in range(1, toxicity.SPAN - 1):
+                for b in range(1, toxicity.SPAN - a):
+                    x, y, z = (int(w[k]) for k in (i, i + a, i + a + b))
+                    if x and y and z:
+                        out[x << 10 | y << 5 | z] += toxicity.DECAY ** (a + b - 2)
+        return out
+
+    counts = [triples(w) for w in windows]
+    features = np.zeros((1 << 15, 5), np.float32)
+    for k in range(5):
+        for place, weight in counts[k].items():
+            features[place, k] = weight
+    want = [[sum(v * counts[k][p] for p, v in c.items()) for k in range(5)] for c in counts]
+    assert np.allclose(toxicity._kernel(windows, features), want, rtol=1e-4)
+    alpha = rng.normal(size=5)
+    model = toxicity.Model((features @ alpha).astype(np.float32), 0.5, 1.0, 0.0)
+    got = [model.sums(np.concatenate([w, np.zeros(width)]).astype(np.int32))[0] for w in windows]
+    assert np.allclose(got, np.array(want) @ alpha + 0.5, rtol=1e-3, atol=1e-3)
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(1)
     plain = [f"{a}{b}" for a in ("the", "ond", "er", "in", "sha", "tion") for b in ("re", "and", "ly", "ou", "es", "at")]
