@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import new_path
+from ._store import new_path, settle
 from .bpe import round_trip
 from .chat import read_back, segments
 from .decontaminate import find_contamination
@@ -32,7 +32,9 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in two deliveries to a cache of this run: the second joins the counts that the first has stored, and appends to them."""
     docs, path, cache = _read(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), new_path(spark, "token-counts")
     early = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
-    return count_tokens(docs.where(early), path, cache).unionByName(count_tokens(docs.where(~early), path, cache))
+    # Written at once: in one plan, Spark would take the cache before and after the second delivery for the same table.
+    first = settle(count_tokens(docs.where(early), path, cache), "counted")
+    return first.unionByName(count_tokens(docs.where(~early), path, cache))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

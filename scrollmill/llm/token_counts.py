@@ -33,6 +33,8 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 512) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row of ``docs(doc_id, text, ...)``; ``cache`` is updated on the way.
 
+    The result reads the cache when it is used: write it before the cache is given more, if both are to meet in one plan.
+
     Counts are of whole texts, without special tokens, truncation or padding. A null text counts as empty.
     Repeated rows and null doc_ids give a row each; other columns are left out. An empty table gives no rows.
     """

@@ -75,3 +75,14 @@ def test_counts_and_cache(spark, corpus, tmp_path, name):
     stored = spark.read.parquet(f"{cache}/tokenizer={fingerprint(path)}")
     assert stored.count() == len({t or "" for _, t in corpus})  # each text was encoded once
     assert count_tokens(frame(spark, []), path, cache).collect() == []
+
+
+def test_query_of_two_deliveries(spark):
+    from scrollmill.llm.queries import op1_token_counts
+
+    from ..conftest import DATA
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+    want = {r["doc_id"]: len(WHOLE.encode(r["text"] or "", add_special_tokens=False).ids) for r in docs}
+    got = op1_token_counts(spark, DATA).collect()
+    assert len(got) == len(docs) and {r["doc_id"]: r["n_tokens"] for r in got} == want
