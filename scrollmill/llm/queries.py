@@ -15,7 +15,10 @@ from .chat import read_back, segments
 from .decontaminate import find_contamination
 from .embedding_dedup import near_vectors
 from .ngram_join import ngram_components
+from .license_scan import APART, BASE, DENSE, DRIFT, FEW, HELD, MANY, OWN, SHORT, scan_licenses
 from .sharding import document_shards
+from .source_divergence import divergence
+from .spelling_variants import spelling_variants
 from .substring_dedup import near_passages
 from .suffix_dedup import repeated_spans
 from .token_counts import count_tokens
@@ -148,6 +151,70 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM e GROUP BY conv_id
 """
 
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_read(spark, sf_dir))
+
+
+# crc32 by its table of 256 values; words that are near by what is left when one code point is deleted.
+OP11_SQL = r"""
+WITH RECURSIVE z AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS tab FROM range(256) r(i)
+), r AS (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all({LOWER}, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) GROUP BY ALL
+), x AS (SELECT run, k, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS hx FROM r
+), h AS (SELECT run, k, xor(list_reduce(list_transform(range(1, len(hx) // 2 + 1), lambda j: ('0x' || substr(hx, 2 * j - 1, 2))::BIGINT), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h FROM x, z
+), w AS (SELECT word, sum(k)::BIGINT AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM h) WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5
+), d AS (SELECT word, k, left(word, k) || substr(word, k + 2) AS x FROM (SELECT word, unnest(range(length(word))) AS k FROM w)
+), p AS (SELECT a.word AS a, b.word AS b FROM d a JOIN d b ON a.k = b.k AND a.x = b.x AND a.word <> b.word UNION SELECT d.word, w.word FROM d JOIN w ON d.x = w.word UNION SELECT w.word, d.word FROM d JOIN w ON d.x = w.word
+), f AS (SELECT a AS word, count(*) AS n_near, max(w.n) AS best FROM p JOIN w ON w.word = b GROUP BY a
+), g AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best >= 5 * w.n THEN best END AS form_n FROM w LEFT JOIN f ON f.word = w.word
+), e AS (SELECT g.word, g.n, g.n_near, g.form_n, min(o.word) AS form FROM g LEFT JOIN p ON p.a = g.word LEFT JOIN w o ON o.word = p.b AND o.n = g.form_n GROUP BY ALL
+), t(word, root) AS (SELECT word, word FROM e UNION ALL SELECT t.word, e.form FROM t JOIN e ON e.word = t.root WHERE e.form IS NOT NULL
+), u AS (SELECT t.word, t.root FROM t JOIN e ON e.word = t.root WHERE e.form IS NULL)
+SELECT e.word, e.form, u.root, e.n, e.n_near, e.form_n FROM e JOIN u ON u.word = e.word
+""".replace("{LOWER}", LOWER_SQL)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(_read(spark, sf_dir))
+
+
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({LOWER_SQL}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents
+), o AS (SELECT r, lang, source, unnest(ws) AS t FROM d
+), k AS (SELECT lang, t, count(*)::HUGEINT AS c FROM o GROUP BY lang, t HAVING count(DISTINCT r) >= 30
+), v AS (SELECT lang, count(*)::HUGEINT AS v, sum(c) AS n FROM k GROUP BY lang
+), g AS (SELECT DISTINCT lang, source FROM d
+), c AS (SELECT lang, source, t, count(*)::HUGEINT AS n FROM o SEMI JOIN k USING (lang, t) GROUP BY ALL
+), a AS (SELECT lang, source, t, k.c, coalesce(c.n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, t)
+), s AS (SELECT lang, source, sum(n) AS total FROM a GROUP BY lang, source
+), p AS (SELECT lang, source, t, a.n, 1 + (1000000000 * (a.n + 5)) // (total + 5 * v) AS p, 1 + (1000000000 * (c + 5)) // (v.n + 5 * v) AS q FROM a JOIN s USING (lang, source) JOIN v USING (lang)
+), f AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.t = y.t AND x.source <> y.source GROUP BY ALL
+), m AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source
+  UNION ALL SELECT lang, source, 'term', t, p - q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM m) WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_read(spark, sf_dir))
+
+
+OP13_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), l AS (SELECT *, len(w) AS size, CASE WHEN len(w) < {SHORT} THEN {FEW} ELSE {MANY} END AS k FROM (SELECT n, label, base, string_split(x, ' ') AS w FROM (VALUES {", ".join(f"({n}, '{x.label}', {x.base}, '{x.text}')" for n, x in enumerate(BASE + OWN))}) v(n, label, base, x))
+), i AS (SELECT n, label, base, size, k, t - 1 AS t, array_to_string(w[t:t + k - 1], ' ') AS x FROM (SELECT *, unnest(range(1, size - k + 2)) AS t FROM l)
+), v AS (SELECT r, p - 1 AS p, k, array_to_string(ws[p:p + k - 1], ' ') AS x FROM (SELECT r, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM d, (VALUES ({FEW}), ({MANY})) s(k))
+), h AS (SELECT r, n, label, base, size, i.k, p - t AS diagonal, list_sort(list_distinct(list(t))) AS places FROM v JOIN i ON i.k = v.k AND i.x = v.x GROUP BY ALL
+), b AS (SELECT r, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM h WHERE base AND len(places) = size - k + 1 GROUP BY r
+), c AS (SELECT *, sum(new) OVER (PARTITION BY r, n ORDER BY diagonal) AS span FROM (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, n ORDER BY diagonal) <= least(size // {APART}, {DRIFT}) THEN 0 ELSE 1 END AS new FROM h)
+), e AS (SELECT r, n, label, size, span, len(list_distinct(flatten(list(list_transform(places, lambda t: range(t, t + k)).flatten())))) AS held, sum(len(list_distinct(list_transform(places, lambda t: range(t, t + k)).flatten()))) AS words,
+  max(diagonal + places[-1] + k) - min(diagonal + places[1]) AS width FROM c GROUP BY ALL
+), o AS (SELECT r, max(held / size) AS score, list(label) FILTER (CASE WHEN size < {SHORT} THEN held = size ELSE held / size >= {HELD} AND least(words / width, 1) >= {DENSE} END) AS own FROM e GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(string_split(coalesce(base_labels, ''), ','), coalesce(own, [])).list_filter(lambda y: y <> ''))), ',') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN b ON b.r = d.r LEFT JOIN o ON o.r = d.r
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op1_token_counts": op1_token_counts,
@@ -160,5 +227,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_chat_format": op10_chat_format,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_license_scan": op13_license_scan,
 }
-ORACLES: dict[str, str] = {"op3_ngram_jaccard": OP3_SQL, "op4_embedding_dedup": OP4_SQL, "op7_suffix_dedup": OP7_SQL, "op9_decontamination": OP9_SQL, "op10_chat_format": OP10_SQL}
+ORACLES: dict[str, str] = {"op3_ngram_jaccard": OP3_SQL, "op4_embedding_dedup": OP4_SQL, "op7_suffix_dedup": OP7_SQL, "op9_decontamination": OP9_SQL, "op10_chat_format": OP10_SQL, "op11_spelling_variants": OP11_SQL, "op12_source_divergence": OP12_SQL, "op13_license_scan": OP13_SQL}
