@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,17 +15,36 @@ K1, B = 1.2, 0.75
 #: Words with a wanted stem that are looked up by a literal; more are joined.
 MOST_WORDS = 1000
 WORD = r"[\p{L}\p{N}\p{Co}]+"
+_TOKEN = r"[^\W_]+"
+
+
+def _accented() -> dict[str, str]:
+    """Small Latin letters that Unicode takes apart into a letter and marks, and that letter."""
+    found = {}
+    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
+        first, *marks = unicodedata.normalize("NFD", c)
+        if marks and c == c.lower() and all(unicodedata.combining(m) for m in marks):
+            found[c] = first
+    return found
+
+
+_ACCENTED = _accented()
 
 
 def fold(text: Column) -> Column:
-    """Case-folded and without the accents of Latin letters."""
-    plain = F.translate(F.lower(text), "àáâãäåèéêëìíîïòóôõöùúûüýÿñç", "aaaaaaeeeeiiiiooooouuuuyync")
+    """Case-folded and without the accents of Latin letters, whether they are part of the letter or marks behind it."""
+    plain = F.translate(F.lower(text), "".join(_ACCENTED), "".join(_ACCENTED.values()))
     return F.regexp_replace(plain, r"\p{M}", "")
 
 
+def folded(text: str) -> str:
+    """The same of one text."""
+    return "".join(_ACCENTED.get(c, c) for c in text.lower() if not unicodedata.category(c).startswith("M"))
+
+
 def query_phrases(query: str) -> list[list[str]]:
     """Pieces between blanks, quotes dropped; each is a phrase of its words, and all must match. A star has no effect."""
-    pieces = [re.findall(r"[^\W_]+", p.lower()) for p in query.replace('"', " ").split()]
+    pieces = [re.findall(r"[^\W_]+", folded(p)) for p in query.replace('"', " ").split()]
     if not pieces:
         raise ValueError("Enter something to search for.")
     return [p for p in pieces if p]
@@ -55,12 +75,19 @@ def bm25(messages: DataFrame, query: str, keys: list[str], stemmed: bool = False
     phrases = query_phrases(query)
     index = postings(messages, keys, stemmed, None if prefix or not stemmed else sorted({stem(w) for p in phrases for w in p}))
     size = messages.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(F.regexp_extract_all("body", F.lit(WORD), 0))).alias("avgdl"))
+    return score_phrases(index, size, query, keys, stemmed, prefix)
+
+
+def score_phrases(index: DataFrame, size: DataFrame, query: str, keys: list[str], stemmed: bool = False, prefix: bool = False) -> DataFrame:
+    """(keys, score) from postings index(keys, dl, term, positions) of all words of the query and one row size(n, avgdl)."""
+    pieces = [p for p in query.replace('"', " ").split() if re.search(r"[^\W_]", p)]
+    phrases = query_phrases(query)
     out: DataFrame | None = None
     for k, phrase in enumerate(phrases):
         words = [stem(w) if stemmed else w for w in phrase]
         met: DataFrame | None = None
         for j, w in enumerate(words):
-            last = prefix and j + 1 == len(words) and query.split()[k].endswith("*")
+            last = prefix and j + 1 == len(words) and pieces[k].endswith("*")
             here = index.where(F.col("term").startswith(w) if last else F.col("term") == w)
             here = here.groupBy(*keys, "dl").agg(F.flatten(F.collect_list(F.transform("positions", lambda p: p - j))).alias("at"))
             met = here if met is None else met.join(here.select(*keys, F.col("at").alias("and")), keys).withColumn("at", F.array_intersect("at", "and")).drop("and")
@@ -70,7 +97,7 @@ def bm25(messages: DataFrame, query: str, keys: list[str], stemmed: bool = False
         gain = F.when(idf > 0, idf).otherwise(1e-6) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
         part = hits.crossJoin(F.broadcast(df.crossJoin(size))).select(*keys, (-gain).alias("score"))  # one row of statistics
         out = part if out is None else out.join(part.withColumnRenamed("score", "more"), keys).select(*keys, (F.col("score") + F.col("more")).alias("score"))
-    return messages.select(*keys, F.lit(0.0).alias("score")).limit(0) if out is None else out
+    return index.select(*keys, F.lit(0.0).alias("score")).limit(0) if out is None else out
 
 
 def top(hits: DataFrame, keys: list[str], limit: int = 50) -> DataFrame:
@@ -89,7 +116,7 @@ def snippet(query: str, width: int = 14):
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         def one(text: str | None) -> str | None:
-            found = [(m.start(), m.end(), stem(m[0].lower()) in wanted) for m in re.finditer(r"[^\W_]+", text or "")]
+            found = [(m.start(), m.end(), stem(folded(m[0])) in wanted) for m in re.finditer(_TOKEN, text or "")]
             if not found:
                 return text
             hit = next((k for k, f in enumerate(found) if f[2]), 0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import markdown as M
@@ -11,6 +13,8 @@ from ..operators import harvest as H
 from ..operators import render as R
 from ..operators import saving as V
 from ..operators import search as S
+from ..operators.stored_index import StoredIndex
+from ..sources import store
 from ..sources import tables as src
 from .queries import _FP, _KEYS, _M, _NORM, _TAGS, _TITLE, _bm25_sql, _fingerprinted, _formed, _hits, _titles, query
 
@@ -39,9 +43,13 @@ def _archive(spark, d):
 
 @query("refreshed_search", _bm25_sql(["the", "that"]).replace("FROM conversations)", "FROM conversations WHERE conv_id % 10 <> 2)", 1))
 def refreshed_search(spark, d):
+    """A stored index of the old messages, refreshed with the conversations that differ now, and searched."""
     old, seen = _archive(spark, d)
-    index = A.refreshed(old, seen, "path")
-    return S.bm25(index, "the that", _KEYS).withColumn("score", F.round("score", 9))
+    index = StoredIndex(spark, f"{store.shared_dir(spark)}/refreshed-{uuid.uuid4().hex}", "path", "long")
+    index.refresh(old)
+    changed = A.body_hashes(seen).join(A.body_hashes(old), ["conv_id", "body_hash"], "left_anti").select(F.col("conv_id").alias("path"))
+    index.refresh(seen.join(changed, "path", "left_semi"), old.select("path").distinct().join(seen.select("path"), "path", "left_anti"))
+    return index.search("the that").select(F.col("path").alias("conv_id"), "turn", F.round("score", 9).alias("score"))
 
 
 _STATES = """o AS (SELECT doc_id, doc_id::DOUBLE AS t, coalesce(octet_length(encode(text)), 0)::BIGINT AS s FROM documents WHERE doc_id % 10 <> 1

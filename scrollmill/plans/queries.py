@@ -13,6 +13,8 @@ from ..operators import archive as A
 from ..operators import pages as P
 from ..operators import render as R
 from ..operators import search as S
+from ..operators.stored_index import StoredIndex
+from ..sources import store
 from ..sources import tables as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,8 +162,16 @@ def _bm25_sql(words: list[str], tail: str = "") -> str:
 _KEYS = ["conv_id", "turn"]
 
 
+def _index(spark, d) -> StoredIndex:
+    """The stored index of the messages as they are now: made by the first search of a table, read by all later ones."""
+    index = StoredIndex(spark, f"{store.shared_dir(spark)}/fts-{store.version_of(spark, f'{d}/conversations.parquet')}", "conv_id", "long")
+    if index.latest() is None:
+        index.refresh(src.messages(spark, d))
+    return index
+
+
 def _hits(spark, d, q, **options):
-    return S.bm25(src.messages(spark, d), q, _KEYS, **options)
+    return _index(spark, d).search(q, **options)
 
 
 @query("fts_term", _bm25_sql(["the"]))
@@ -200,7 +210,21 @@ def fts_snippet(spark, d):
 
 @query("search_report")
 def search_report(spark, d):
-    return S.report(_top_with_text(spark, d, "the"), "the", "conv_id")
+    return S.report(_top_with_text(spark, d, "the"), "the", "conv_id", counts=archive_counts(spark, d), folder="archive")
+
+
+@query("index_terms", f"WITH {_W} SELECT t AS term, count(*)::BIGINT AS df FROM (SELECT unnest(list_distinct(ws)) AS t FROM w) GROUP BY t")
+def index_terms(spark, d):
+    """The index's own dictionary: each word and the messages that hold it."""
+    return _index(spark, d).read("terms").select("term", "df")
+
+
+@query("index_statistics", f"WITH {_W} SELECT count(*)::BIGINT AS messages, sum(len(ws))::BIGINT AS words, count(DISTINCT conv_id)::BIGINT AS documents FROM w")
+def index_statistics(spark, d):
+    """Kept counts of the index, beside its documents."""
+    index = _index(spark, d)
+    now = index.latest()
+    return index.read("documents").agg(F.lit(now.messages).cast("long").alias("messages"), F.lit(now.words).cast("long").alias("words"), F.count(F.lit(1)).alias("documents"))
 
 
 # -- pages --------------------------------------------------------------------------------------------------------
