@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from ._store import settle
 
-#: Words of text without A-Z lower-cased yet.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words, where A-Z are not lower-cased yet; cutting at it takes a quarter of the time of finding words.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of a gram: of templates with fewer than ``SHORT`` words, and of others.
 FEW, MANY, SHORT = 2, 4, 6
@@ -96,7 +96,7 @@ def _lower(text: Column) -> Column:
 
 def find_votes(docs: DataFrame, templates: list[Template]) -> DataFrame:
     """(row, doc_id, n_words, p, template, label, base, size, k, t), written once: for each row of docs one with p = -1 and the rest null, and one for each vote, p its word."""
-    words = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD), 0).alias("w"))
+    words = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.array_remove(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), BETWEEN), "").alias("w"))
     # The gram at each word, of fewer words at the end; the shorter gram is its beginning. In front stands the text itself.
     long = F.transform("w", lambda x, i: F.concat_ws(" ", x, *(F.get("w", i + j) for j in range(1, MANY))))
     cut = words.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.concat(F.array(F.lit(None).cast("string")), long).alias("g"))
