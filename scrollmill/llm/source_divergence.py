@@ -24,7 +24,7 @@ IN_DOCUMENTS, RANKS = 30, 50
 #: Parts per unit of a share, and what is added to each count.
 UNIT, ADDED = 1_000_000_000, 5
 #: Terms that a task counts before it hands them on, and bytes of a text that it cuts into terms at once.
-HELD, PIECE = 200_000, 1 << 20
+HELD, PIECE = 400_000, 1 << 20
 #: UTF-8: a-z and all bytes of further letters stay, A-Z become a-z, all else a blank.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 0x80 else 32 for c in range(256))
 
@@ -108,6 +108,7 @@ def divergence(docs: DataFrame) -> DataFrame:
     groups = names.join(held, group, "left").join(vocabulary, "lang", "left").select(*group, *map(zero, ("total", "held", "terms", "all")))
     groups = settle(groups.withColumn("lacking", F.coalesce(share(0, F.col("total"), F.col("terms")), F.lit(0).cast("long"))), "groups")
 
+    # Parts that are used twice are written: a row for each two sources, and one for each cell.
     pairs = _pairs(kept, groups, group)
     terms = _top_terms(kept, groups, group)
     return pairs.unionByName(terms)
@@ -120,13 +121,13 @@ def _pairs(kept: DataFrame, groups: DataFrame, group: list[str]) -> DataFrame:
     both = of.join(other, "lang").where("source <> o_source")
     # All terms of the one as if the other lacked them.
     alone = kept.groupBy(*group, "n").agg(number).join(both, group).withColumn("f", F.abs(share(F.col("n"), F.col("total"), F.col("terms")) - F.col("o_lacking")))
-    alone = alone.groupBy(*group, "o_source").agg(F.sum(F.col("f") * F.col("k")).alias("alone"))
+    alone = settle(alone.groupBy(*group, "o_source").agg(F.sum(F.col("f") * F.col("k")).alias("alone")), "alone")
     # Cells of two counts of one term, once for each two sources; what the parts before said of such terms is taken back.
     a, b = kept.select("lang", "term", "source", "n"), kept.select("lang", "term", F.col("source").alias("o_source"), F.col("n").alias("o_n"))
     cells = a.join(b, ["lang", "term"]).where("source < o_source").groupBy(*group, "o_source", "n", "o_n").agg(number).join(both, [*group, "o_source"])
     p, q = share(F.col("n"), F.col("total"), F.col("terms")), share(F.col("o_n"), F.col("o_total"), F.col("terms"))
     more = F.abs(p - q) - F.abs(p - F.col("o_lacking")) - F.abs(q - F.col("lacking")) + F.abs(F.col("lacking") - F.col("o_lacking"))
-    met = cells.groupBy(*group, "o_source").agg(F.sum(more * F.col("k")).alias("met"))
+    met = settle(cells.groupBy(*group, "o_source").agg(F.sum(more * F.col("k")).alias("met")), "met")
     met = met.unionByName(met.select("lang", F.col("o_source").alias("source"), F.col("source").alias("o_source"), "met"))
     back = alone.select("lang", F.col("o_source").alias("source"), F.col("source").alias("o_source"), F.col("alone").alias("back"))
     key = [*group, "o_source"]
@@ -140,7 +141,7 @@ def _pairs(kept: DataFrame, groups: DataFrame, group: list[str]) -> DataFrame:
 def _top_terms(kept: DataFrame, groups: DataFrame, group: list[str]) -> DataFrame:
     cells = kept.groupBy(*group, "n", "c").agg(F.count(F.lit(1)).alias("k")).join(groups, group)
     f = share(F.col("n"), F.col("total"), F.col("terms")) - share(F.col("c"), F.col("all"), F.col("terms"))
-    cells = cells.withColumn("f", f).where("f > 0").select(*group, "n", "c", "k", "f")
+    cells = settle(cells.withColumn("f", f).where("f > 0").select(*group, "n", "c", "k", "f"), "cells")
     # Cells of one value are one step; the first ``RANKS`` steps hold as many terms at least, and those above a step fill the ranks before it.
     steps = cells.groupBy(*group, "f").agg(F.sum("k").alias("k"))
     falling = Window.partitionBy(*group).orderBy(F.desc("f"))
