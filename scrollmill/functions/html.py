@@ -71,11 +71,40 @@ def parse(html: str) -> Node:
     return tree.root
 
 
+# What holds a formula's source, what holds a drawn formula, and what marks one that stands alone.
+MATH_SOURCES, MATH_TAGS, MATH_CLASSES, MATH_ALONE, MATH_MOST = ("x-tex", "math/tex"), ("math", "mjx-container"), ("katex", "mjx-container"), ("katex-display", "math-display", "displaymath"), 1000
+
+
+def _is_source(n: Node) -> bool:
+    told = n.attrs.get("encoding"), n.attrs.get("type")
+    return MATH_SOURCES[0] in (told[0] or "").lower() or MATH_SOURCES[1] in (told[1] or "").lower() or n.tag == "annotation" or n.tag == "math" and told != (None, None)
+
+
+def _math(n: Node) -> str | None:
+    """The source of a formula between dollar signs, "" for one that is only drawn, null for what is none."""
+    name = n.attrs.get("class", "").lower()
+    drawn = any(c in name for c in MATH_CLASSES) or n.tag in MATH_TAGS or n.attrs.get("display", "").lower() == "block"
+    if not drawn and not _is_source(n):
+        return None
+    sources = ("".join(t for t in k.kids if isinstance(t, str)) for k in n.walk() if isinstance(k, Node) and _is_source(k))
+    source = next((x for x in sources if x), None)
+    if source is None:
+        return "" if drawn and not _is_source(n) else None
+    source = source.strip()
+    if not source or len(source) > MATH_MOST or "\n\n" in source:
+        return None
+    if any(c in name for c in MATH_ALONE) or n.tag == "math":
+        return f"$$ {source} $$"
+    return None if "$" in source else f"${source}$"
+
+
 def _inline(node: Node) -> str:
     out = []
     for k in node.kids:
         if isinstance(k, str):
             out.append(re.sub(r"[ \t\r\n\xa0]+", " ", k))
+        elif (formula := _math(k)) is not None:
+            out.append(formula)
         elif k.tag == "br":
             out.append("  \n")
         elif k.tag in IGNORED:
@@ -120,7 +149,7 @@ def _blocks(node: Node, depth: int = 0) -> list[str]:
         run.kids = []
 
     for k in node.kids:
-        if isinstance(k, str) or (k.tag not in BLOCKS and not any(isinstance(n, Node) and n.tag in BLOCKS for n in k.walk())):
+        if isinstance(k, str) or (k.tag not in BLOCKS and not any(isinstance(n, Node) and n.tag in BLOCKS for n in k.walk())) or _math(k) is not None:
             run.kids.append(k)
             continue
         flush()
@@ -200,6 +229,23 @@ def strip(n: Node) -> Node:
     return copy
 
 
+def flat_nodes(html: str) -> list[tuple[int, int, str, list[tuple[str, str]], str | None]]:
+    """(number, last number below, tag, attributes, text) of all nodes of a page in document order; texts have the tag #text."""
+    out: list[list] = []
+    stack: list[tuple] = [(parse(html), -1)]
+    while stack:
+        n, done = stack.pop()
+        if done >= 0:
+            out[done][1] = len(out) - 1
+        elif isinstance(n, str):
+            out.append([len(out), len(out), "#text", [], n])
+        else:
+            stack.append((n, len(out)))
+            out.append([len(out), 0, n.tag, list(n.attrs.items()), None])
+            stack.extend((k, -1) for k in reversed(n.kids))
+    return [tuple(n) for n in out]
+
+
 NODES = T.StructType(
     [
         T.StructField("nodes", T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("id", T.IntegerType()), ("last", T.IntegerType()), ("tag", T.StringType()), ("hints", T.IntegerType()), ("chrome", T.IntegerType()), ("from", T.IntegerType()), ("pieces", T.IntegerType()))]))),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import markdown as M
 from ..functions import text as T
 from ..operators import archive as A
+from ..operators import elements as E
 from ..operators import harvest as H
 from ..operators import render as R
 from ..operators import saving as V
@@ -107,6 +108,56 @@ def page_adapters(spark, d):
     return src.pages(spark, d).select("page_id", H.adapter_for(host, [("one", ["blog.tionsh.example.net"]), ("two", ["example.net", "thther.example.org"])]).alias("adapter"))
 
 
+# Heading and paragraphs of an article as turns. A paragraph whose bold text is never closed holds all that follows in the article.
+ARTICLE = E.Adapter("article", [], [E.Selector("h1"), E.Selector("p")], {"h1": "user", "p": "assistant"}, container=[E.Selector("article")], by_tag=True)
+_PLAIN = r"""replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]*>', '', 'g'), '&quot;', chr(34)), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"""
+_PAGE_TURNS = r"""a AS (SELECT page_id, string_split(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>') AS parts FROM pages
+), t AS (SELECT page_id, parts, unnest(range(0, len(parts))) AS turn FROM a WHERE regexp_matches(parts[1], '<h1>')
+), b AS (SELECT page_id, turn, CASE WHEN turn = 0 THEN regexp_extract(parts[1], '(?s)<h1>(.*)</h1>', 1) WHEN starts_with(parts[turn + 1], '<b>') THEN array_to_string(parts[turn + 1:], '') ELSE string_split(parts[turn + 1], '</p>')[1] END AS x FROM t
+), page_turns AS (SELECT page_id, turn::INTEGER AS turn, CASE WHEN turn = 0 THEN 'user' ELSE 'assistant' END AS role, regexp_replace(regexp_replace(""" + _PLAIN.replace("{0}", "x") + r""", '[ \t]+\n', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS body FROM b)"""
+
+
+def _nodes(spark, d):
+    """The elements of the pages as they are now: parsed once, by the first query of them."""
+    return store.kept(spark, f"elements-{store.version_of(spark, f'{d}/pages.parquet')}", lambda: E.elements(src.spread(src.pages(spark, d))))
+
+
+@query("page_elements", "SELECT page_id, tag, count(*)::BIGINT AS n FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?s)<script>.*?</script>', '<script>'), '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY page_id, tag")
+def page_elements(spark, d):
+    return _nodes(spark, d).where("tag <> '#text' and id > 0").groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("page_turns", "WITH " + _PAGE_TURNS + " SELECT * FROM page_turns")
+def page_turns(spark, d):
+    return E.known_turns(E.read_turns(_nodes(spark, d), ARTICLE)).select("page_id", "turn", "role", "body")
+
+
+@query("page_turn_confidence", "WITH " + _PAGE_TURNS + ", g AS (SELECT page_id, count(*) AS n FROM page_turns GROUP BY page_id) SELECT pages.page_id, n IS NOT NULL AS ok, CASE WHEN n IS NULL THEN 0.0::DOUBLE ELSE 0.7::DOUBLE END AS score, CASE WHEN n IS NULL THEN 'No messages matched. The site layout has probably changed.' ELSE 'Messages carry no stable identifier, so a long conversation may be captured with duplicates.' END AS warnings FROM pages LEFT JOIN g ON g.page_id = pages.page_id")
+def page_turn_confidence(spark, d):
+    told = E.turn_confidence(src.pages(spark, d), E.read_turns(_nodes(spark, d), ARTICLE))
+    return told.select("page_id", "ok", "score", F.array_join("warnings", "; ").alias("warnings"))
+
+
+@query("recovered_math", "WITH " + _PAGE_TURNS + " SELECT page_id, CASE page_id % 3 WHEN 0 THEN '$x_{' || page_id || '}$ ' WHEN 1 THEN '$$ x_{' || page_id || '} $$ ' ELSE '' END || body AS body FROM page_turns WHERE turn = 0")
+def recovered_math(spark, d):
+    """A formula before each heading: drawn beside its source, the same standing alone, and only drawn."""
+    source = F.concat(F.lit('<math><mi>x</mi><annotation encoding="application/x-tex">x_{'), F.col("page_id").cast("string"), F.lit("}</annotation></math>"))
+    k = F.col("page_id") % 3
+    drawn = F.concat(F.lit('<span class="katex'), F.when(k == 1, "-display").otherwise(""), F.lit('"><span>'), F.when(k < 2, source).otherwise(""), F.lit('</span><span class="katex-html">x</span></span> '))
+    pages = src.pages(spark, d).withColumn("html", F.replace("html", F.lit("<h1>"), F.concat(F.lit("<h1>"), drawn)))
+    turns = E.known_turns(E.read_turns(store.settle(E.recover_math(store.settle(E.elements(src.spread(pages)), "elements")), "recovered"), ARTICLE))
+    return turns.where("turn = 0").select("page_id", "body")
+
+
+@query("link_texts", r"SELECT page_id, regexp_extract(x, '^<a href=\"([^\"]*)\"', 1) AS href, regexp_extract(x, '>(.*)</a>$', 1) AS said, count(*)::BIGINT AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=[^>]*>[^<]*</a>')) AS x FROM pages) GROUP BY ALL")
+def link_texts(spark, d):
+    """Every text below a link, by the closest link."""
+    nodes = _nodes(spark, d)
+    links = nodes.where("tag = 'a'")
+    said = E.enclosing(nodes.where("tag = '#text'"), links).where("outer is not null").groupBy("page_id", F.col("outer").alias("id")).agg(E._said().alias("said"))
+    return links.select("page_id", "id", F.col("attrs")["href"].alias("href")).join(said, ["page_id", "id"]).groupBy("page_id", "href", "said").agg(F.count(F.lit(1)).alias("n"))
+
+
 _SELECTED = f"""WITH {_M}, p AS (SELECT *, sum(length(body)) OVER (PARTITION BY conv_id ORDER BY turn) AS e FROM m), r AS (SELECT conv_id, sum(length(body)) // 3 AS a, sum(length(body)) // 2 AS b FROM m GROUP BY conv_id
 ), s AS (SELECT p.conv_id, turn, role, body FROM p JOIN r ON p.conv_id = r.conv_id AND a < b AND e - length(body) <= b AND e >= a)"""
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,3 +48,20 @@ def version_of(spark: SparkSession, path: str) -> str:
         f = files.next()
         told.append(f"{f.getPath().getName()} {f.getLen()} {f.getModificationTime()}")
     return hashlib.md5("\n".join([told[0], *sorted(told[1:])]).encode()).hexdigest()
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once and read again: what uses it more than once neither works it out anew nor depends on lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def kept(spark: SparkSession, name: str, make) -> DataFrame:
+    """The table of that name in the shared folder; ``make()`` is written to it if it is not there, or was never completed."""
+    path = f"{shared_dir(spark)}/{name}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        df = make()
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    return spark.read.parquet(path)
