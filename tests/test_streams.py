@@ -74,3 +74,83 @@ def test_verdicts_of_a_stream_equal_the_batch(spark, tmp_path, seed):
     run(spark, source, schema, make, "verdicts", cp, out)
     got = sorted(map(tuple, spark.read.parquet(out).where("key <> 'late'").select("key", "passes", "found", "reason", "complete").collect()))
     assert got == want
+
+
+def version(conv, seq, said):
+    return [(conv, seq, k, "user" if k % 2 == 0 else "assistant", t) for k, t in enumerate(said)]
+
+
+BATCH = "conv_id long, seq long, turn long, role string, body string"
+
+
+def kept(archive):
+    files = {r["file"]: r["sightings"] for r in archive.read("files").collect()}
+    turns = {}
+    for r in archive.read("turns").orderBy("file", "turn").collect():
+        turns.setdefault(r["file"], []).append(r["body"])
+    assert files.keys() == turns.keys()
+    return {f: (files[f], turns[f]) for f in files}
+
+
+def test_saved_once_however_often_delivered(spark, tmp_path, monkeypatch):
+    from scrollmill.streaming.saving import SavedArchive
+
+    archive = SavedArchive(spark, f"file://{tmp_path}/saved")
+    batches = [
+        version(1, 0, ["a", "b"]) + version(2, 0, ["x"]),
+        version(1, 0, ["a ", "b", "c"]) + version(1, 1, ["a", "b"]) + version(3, 5, ["n"]),
+        version(1, 0, ["a", "other"]) + version(2, 0, ["x"]),
+        version(1, 0, ["a", "other", "more"]) + version(1, 1, ["a", "other", "more"]),
+    ]
+    send = lambda n: archive.save(spark.createDataFrame(batches[n], BATCH), n)
+    assert archive.latest() is None and send(0) is not None
+    assert kept(archive) == {"1.md": (1, ["a", "b"]), "2.md": (1, ["x"])}
+    assert send(0) is None
+    first = archive.latest()
+    send(1)
+    # Grown in place; the shorter version beside it; and again what is there.
+    assert kept(archive) == {"1.md": (2, ["a ", "b", "c"]), "1 (2).md": (1, ["a", "b"]), "2.md": (1, ["x"]), "3.md": (1, ["n"])}
+    assert any(g == first.name for g in archive.latest().held.values())
+    send(2), send(3)
+    want = {"1.md": (2, ["a ", "b", "c"]), "1 (2).md": (1, ["a", "b"]), "1 (3).md": (3, ["a", "other", "more"]), "2.md": (2, ["x"]), "3.md": (1, ["n"])}
+    assert kept(archive) == want
+    for n in (3, 1, 0, 2):
+        assert send(n) is None
+    assert kept(archive) == want and archive.latest().upto == {"": 4} and not archive.latest().others
+    # A batch that dies before its manifest, then once more; and batches that come before their turn.
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, schema=None, f=type(spark).createDataFrame: (_ for _ in ()).throw(OSError("lost")) if "kind" in str(schema) else f(self, data, schema))
+    with pytest.raises(OSError):
+        archive.save(spark.createDataFrame(version(2, 0, ["x", "y"]), BATCH), 4)
+    monkeypatch.undo()
+    assert kept(archive) == want
+    archive.save(spark.createDataFrame(version(2, 0, ["x", "y"]), BATCH), 6)
+    assert archive.save(spark.createDataFrame(version(2, 0, ["x", "y"]), BATCH), 6) is None
+    assert archive.latest().others == {("", 6)} and kept(archive)["2.md"] == (3, ["x", "y"])
+    archive.save(spark.createDataFrame([], BATCH), 4), archive.save(spark.createDataFrame([], BATCH), 5)
+    assert archive.latest().upto == {"": 7}
+
+
+def test_saved_from_a_stream_with_a_restart(spark, tmp_path):
+    from scrollmill.streaming.saving import SavedArchive
+
+    archive, calls = SavedArchive(spark, f"file://{tmp_path}/saved"), []
+
+    def save(batch, n):
+        calls.append(n)
+        archive.save(batch, n)
+        archive.save(batch, n)
+        if calls == [0, 1]:
+            raise OSError("the driver dies after it has saved")
+
+    def go():
+        stream = spark.readStream.schema(BATCH).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+        q = stream.writeStream.foreachBatch(save).option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
+        try:
+            q.awaitTermination(120)
+        except Exception:  # noqa: BLE001  the query's own failure
+            pass
+
+    for n in range(3):
+        spark.createDataFrame(version(1, 0, ["a", "b", "c"][: n + 1]), BATCH).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    go(), go()
+    assert calls == [0, 1, 1, 2] and kept(archive) == {"1.md": (3, ["a", "b", "c"])}
