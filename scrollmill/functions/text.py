@@ -34,7 +34,7 @@ MARKDOWN = "(?m)" + "|".join(
 def normalise(text: Column) -> Column:
     """Line ends to LF, blanks and tabs to one blank, no blank lines or ends; case and punctuation stay. Null stays null."""
     unix = F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"[ \t]+", " ")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(unix, " ?\n ?", "\n"), "\n\n+", "\n"), r"\A[ \n]+|[ \n]+\z", "")
+    return F.btrim(F.regexp_replace(unix, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def canonical_turn(role: Column, body: Column, reasoning: Column | None = None, calls: Column | None = None) -> Column:
@@ -62,7 +62,7 @@ def short(canonical_text: Column, n: int = 12) -> Column:
 
 
 def is_populated(text: Column) -> Column:
-    return F.coalesce(F.regexp_replace(text, r"\s+", "") != "", F.lit(False))
+    return F.coalesce(text.rlike(r"\S"), F.lit(False))
 
 
 def looks_like_markdown(text: Column) -> Column:

@@ -11,17 +11,17 @@ from .saving import attachments, read_attachments, read_tool_calls, tool_call
 HEADINGS = {"user": "## User", "assistant": "## Assistant", "reasoning": "## Reasoning"}
 
 
-def frontmatter(fields: list[tuple[str, Column]]) -> Column:
-    """A block of ``key: value`` lines; null values are left out."""
+def frontmatter(fields: list[tuple[str, Column]], warnings: Column | None = None) -> Column:
+    """A block of ``key: value`` lines; null values are left out, and each of an array of warnings has a line."""
     lines = F.array(*(F.when(v.isNotNull(), F.concat(F.lit(k + ": "), T.quote_if_needed(v))) for k, v in fields))
+    if warnings is not None:
+        lines = F.concat(lines, F.transform(F.coalesce(warnings, F.array().cast("array<string>")), lambda w: F.concat(F.lit("warning: "), T.quote_if_needed(w))))
     return F.concat(F.lit("---\n"), F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n"), F.lit("\n---\n"))
 
 
-def all_fields(title: Column, day: str, platform: Column, turns: Column, model: Column, url: Column, score: Column, complete: Column, warnings: Column, most: int = 16) -> list[tuple[str, Column]]:
-    """Every field of a document, in order; a null value is left out. Up to ``most`` warnings have a field each, the last of them holding what is beyond."""
-    shown = F.when(F.size(warnings) > most, F.concat(F.slice(warnings, 1, most - 1), F.array(F.array_join(F.slice(warnings, most, 1_000_000), "; ")))).otherwise(warnings)
-    fields = [("title", F.nullif(title, F.lit(""))), ("date", F.lit(day)), ("platform", platform), ("turns", turns.cast("string")), ("model", model), ("url", T.encode_url(url)), ("extraction", F.format_string("%.2f", score)), ("incomplete", F.when(~complete, "true"))]
-    return fields + [("warning", F.get(shown, F.lit(k))) for k in range(most)]
+def all_fields(title: Column, day: str, platform: Column, turns: Column, model: Column, url: Column, score: Column, complete: Column) -> list[tuple[str, Column]]:
+    """Every field of a document but its warnings, in order; a null value is left out."""
+    return [("title", F.nullif(title, F.lit(""))), ("date", F.lit(day)), ("platform", platform), ("turns", turns.cast("string")), ("model", model), ("url", T.encode_url(url)), ("extraction", F.format_string("%.2f", score)), ("incomplete", F.when(~complete, "true"))]
 
 
 def metadata(documents: DataFrame, key: str = "path") -> DataFrame:
@@ -54,10 +54,10 @@ def render(messages: DataFrame, platform: str, day: str) -> DataFrame:
     Turns that hold nothing are not written, and the hash is of those that are.
     """
     body = F.regexp_replace(F.col("body"), r"^\s+|\s+$", "")
-    kept = messages.withColumn("body", body).where("body <> ''")
-    order = F.array_sort(F.collect_list(F.struct("turn", "role", "body")))
+    kept = messages.where(T.is_populated(F.col("body"))).withColumn("body", body).withColumn("told", T.canonical_turn(F.col("role"), F.col("body")))
+    order = F.array_sort(F.collect_list(F.struct("turn", "role", "body", "told")))
     g = kept.groupBy("conv_id").agg(order.alias("turns"))
-    told = lambda source, turns: F.concat(F.lit(source + "\x1f"), F.array_join(F.transform(turns, lambda t: T.canonical_turn(t["role"], t["body"])), ""))
+    told = lambda source, turns: F.concat(F.lit(source + "\x1f"), F.array_join(F.transform(turns, lambda t: t["told"]), ""))
     title = T.first_line(F.coalesce(F.get(F.filter("turns", lambda t: t["role"] == "user"), F.lit(0))["body"], F.lit("")))
     g = g.withColumn("title", title)
     heading = F.create_map(*(F.lit(x) for kv in HEADINGS.items() for x in kv))
@@ -68,47 +68,63 @@ def render(messages: DataFrame, platform: str, day: str) -> DataFrame:
     return g.select("conv_id", "title", F.concat(frontmatter(fields), F.lit("\n"), head, text).alias("document"))
 
 
-_HEADING = "^ *## (?:User|Assistant|Reasoning) *$"
-#: A role heading and what stands below it, up to the next.
-_SECTION = f"(?dms){_HEADING.replace('?:', '')}(.*?)(?={_HEADING}|\\z)"
+def applied(existing: DataFrame, incoming: DataFrame, platform: str, day: str) -> DataFrame:
+    """(conv_id, action, document) of ``archive.decide``: the whole document anew; null where nothing is to be written, or nothing has been said."""
+    from .archive import decide
+
+    return decide(existing, incoming).join(render(incoming, platform, day).select("conv_id", "document"), "conv_id", "left").withColumn("document", F.when(F.col("action") != "unchanged", F.col("document")))
+
+
+#: A role heading alone in its line; a document is cut in front of each.
+_HEADING = r"(?m)(?=^ *## (?:User|Assistant|Reasoning) *$)"
 
 
 def split_turns(documents: DataFrame, key: str = "conv_id") -> DataFrame:
     """(key, turn, role, body) of the sections under role headings; what stands before the first is no turn."""
-    text = strip_frontmatter(F.col("document"))
-    part = lambda k: F.regexp_extract_all(text, F.lit(_SECTION), F.lit(k))
-    turns = F.zip_with(part(1), part(2), lambda r, b: F.struct(F.lower(r).alias("role"), F.regexp_replace(b, r"^\s+|\s+$", "").alias("body")))
+    parts = F.filter(F.split(strip_frontmatter(F.col("document")), _HEADING), lambda p: p.rlike(r"\A *## (?:User|Assistant|Reasoning) *(?:\n|\z)"))
+    turns = F.transform(parts, lambda p: F.struct(F.lower(F.regexp_extract(p, r"\A *## (\w+)", 1)).alias("role"), F.regexp_replace(F.regexp_replace(p, r"\A[^\n]*", ""), r"\A\s+|\s+\z", "").alias("body")))
     return documents.select(key, F.posexplode(F.filter(turns, lambda t: t["body"] != "")).alias("turn", "t")).select(key, "turn", "t.role", "t.body")
 
 
 def intact(documents: DataFrame, key: str = "conv_id") -> DataFrame:
-    """(key, n_turns, intact): whether the recorded body hash is that of the turns read back."""
+    """(key, n_turns, body_hash, intact): the hash of the turns read back, and whether it is the recorded one; null without turns."""
     from .archive import body_hashes
 
     read = body_hashes(split_turns(documents, key).withColumnRenamed(key, "conv_id")).withColumnRenamed("conv_id", key)
     told = documents.select(key, parse_frontmatter(F.col("document"))["body-hash"].alias("recorded"))
-    return told.join(read, key, "left").select(key, F.coalesce("n_turns", F.lit(0)).alias("n_turns"), F.coalesce(F.col("recorded") == F.col("body_hash"), F.lit(False)).alias("intact"))
+    return told.join(read, key, "left").select(key, F.coalesce("n_turns", F.lit(0)).alias("n_turns"), "body_hash", F.coalesce(F.col("recorded") == F.col("body_hash"), F.lit(False)).alias("intact"))
 
 
 _REASONING = r"(?s)\A<!-- reasoning -->\n\n(.*?)\n\n<!-- /reasoning -->\s*"
 _CALLS = r"\A(?:\s*`{3,}tool\n[^\n]*\n`{3,}(?=\n|\z))*\s*"
 _ATTACHMENTS = r"\AAttachments:\n\n(?:- [^\n]*(?:\n|\z))*\s*"
+_BODY = "<!-- body -->\n\n"
+#: What a body must not begin with unless ``_BODY`` stands before it.
+_LIKE_DECORATION = r"\A\s*(?:<!-- reasoning -->|<!-- body -->|`{3,}tool\n|Attachments:)"
 
 
 def render_turn(turn: Column) -> Column:
     """Of a struct with role, body, reasoning, toolCalls and attachments: what decorates the turn, in this order before its body."""
-    reasoning = F.when(F.coalesce(turn["reasoning"], F.lit("")) != "", F.concat(F.lit("<!-- reasoning -->\n\n"), turn["reasoning"], F.lit("\n\n<!-- /reasoning -->")))
+    # One slash more in what could end the block.
+    why = F.regexp_replace(turn["reasoning"], "<!-- (/+)", "<!-- /$1")
+    reasoning = F.when(F.coalesce(turn["reasoning"], F.lit("")) != "", F.concat(F.lit("<!-- reasoning -->\n\n"), why, F.lit("\n\n<!-- /reasoning -->")))
     calls = F.when(F.size(F.coalesce(turn["toolCalls"], F.array())) > 0, F.array_join(F.transform(turn["toolCalls"], tool_call), "\n"))
     files = F.nullif(attachments(F.coalesce(turn["attachments"], F.array().cast("array<struct<name:string,kind:string,byteSize:bigint,url:string>>"))), F.lit(""))
-    return F.concat_ws("\n\n", reasoning, calls, files, turn["body"])
+    body = F.when(turn["body"].rlike(_LIKE_DECORATION), F.concat(F.lit(_BODY), turn["body"])).otherwise(turn["body"])
+    return F.concat_ws("\n\n", reasoning, calls, files, body)
 
 
 def decode_turn(text: Column) -> Column:
-    """Inverts ``render_turn``: (reasoning, toolCalls, attachments, body). Only what leads a turn is decoration; a fence further on is the speaker's own."""
-    reasoning, rest = F.nullif(F.regexp_extract(text, _REASONING, 1), F.lit("")), F.regexp_replace(text, _REASONING, "")
+    """Inverts ``render_turn``, but for blanks around the body: (reasoning, toolCalls, attachments, body).
+
+    Only what leads a turn is decoration; a fence further on is the speaker's own, and so is what stands behind the body's mark.
+    """
+    why, rest = F.regexp_replace(F.regexp_extract(text, _REASONING, 1), "<!-- /(/+)", "<!-- $1"), F.regexp_replace(text, _REASONING, "")
+    reasoning = F.nullif(why, F.lit(""))
     calls, rest = read_tool_calls(rest), F.regexp_replace(rest, _CALLS, "")
     files, rest = read_attachments(F.regexp_extract(rest, _ATTACHMENTS, 0)), F.regexp_replace(rest, _ATTACHMENTS, "")
-    return F.struct(reasoning.alias("reasoning"), calls.alias("toolCalls"), files.alias("attachments"), F.regexp_replace(rest, r"^\s+|\s+$", "").alias("body"))
+    body = F.regexp_replace(F.regexp_replace(rest, r"\A\s*" + _BODY.strip() + r"\n\n", ""), r"\A\s+|\s+\z", "")
+    return F.struct(reasoning.alias("reasoning"), calls.alias("toolCalls"), files.alias("attachments"), body.alias("body"))
 
 
 _END = "<!-- /section -->"
@@ -123,33 +139,53 @@ def _comparable(text: Column) -> Column:
     return T.normalise(F.regexp_replace(text, r"(?m)^<sub>[^\n]*$", ""))
 
 
-def upsert_sections(notes: DataFrame, sections: DataFrame, path: str = "path") -> DataFrame:
-    """(path, action, note) of ``notes(path, note)``, which hold others' text as well, with a section each from ``sections(path, key, title, body)``.
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _upserted(path: Column, note: Column, s: Column) -> Column:
+    """(action, note) of one section put into a note."""
+    key, title, body = (s[c] for c in ("key", "title", "body"))
+    size = len(_END)
+
+    def placed(at: Column) -> Column:
+        own = (at["start"] > 0) & (at["end"] > 0)
+        grown = ~own & (at["open"] > 0) & (at["close"] > 0)
+        new = section(key, title, body)
+        skip = F.length(title) + 5
+        old = T.normalise(F.substring(note, at["heading"] + skip, at["close"] - at["heading"] - skip))
+        held = F.substring(note, at["start"], at["end"] - at["start"] + size)
+        action = F.when(own & (_comparable(held) == _comparable(new)), "unchanged").when(own, "replace").when(grown & F.startswith(T.normalise(body), old), "replace").otherwise("insert")
+        first, upto = F.when(own, at["start"]).otherwise(at["open"]), F.when(own, at["end"]).otherwise(at["close"]) + size
+        gap = F.when(note.endswith("\n\n"), "").when(note.endswith("\n"), "\n").otherwise("\n\n")
+        front = F.when(note == "", F.concat(F.lit("# "), path, F.lit("\n\n"))).otherwise(F.concat(note, gap))
+        swapped = F.concat(F.substring(note, F.lit(1), first - 1), new, F.substring(note, upto, F.length(note)))
+        return _let(action, lambda a: F.struct(a.alias("action"), F.when(a == "unchanged", note).when(a == "replace", swapped).otherwise(F.concat(front, new, F.lit("\n"))).alias("note")))
+
+    start = F.position(F.concat(F.lit("<!-- section:"), key.cast("string"), F.lit(" -->")), note)
+    heading = F.position(F.concat(F.lit("\n## "), title, F.lit("\n")), note)
+    before = F.substring(note, F.lit(1), heading)
+    mark = F.length(before) - F.length(F.substring_index(before, "<!-- section:", -1)) - len("<!-- section:") + 1
+    first = F.struct(start.alias("start"), heading.alias("heading"), F.when((heading > 0) & (mark > 0), mark).otherwise(0).alias("open"))
+    end = lambda begin, after: F.when(begin > 0, F.position(F.lit(_END), note, after)).otherwise(0)
+    return _let(first, lambda f: _let(F.struct(f["start"].alias("start"), end(f["start"], f["start"]).alias("end"), f["heading"].alias("heading"), f["open"].alias("open"), end(f["open"], f["heading"]).alias("close")), placed))
+
+
+def upsert_sections(notes: DataFrame, sections: DataFrame, path: str = "path", order: str = "key") -> DataFrame:
+    """(path, actions, note) of ``notes(path, note)``, which hold others' text as well, with ``sections(path, key, title, body)`` in the given order; one row a note.
 
     A section lies between its marker and the first end marker behind it. Marked with the key: unchanged if only time stamps
     differ, else replaced in place. Under the heading, with another key, and its body the beginning of the new one: the
     section has grown and is replaced; if not, both stay. Otherwise it is inserted at the end, after a blank line; an empty
-    or missing note gets a heading with its path. A section without an end is left as it is.
+    or missing note gets a heading with its path. A section without an end is left as it is. actions has an entry a section.
     """
-    met = sections.join(notes, path, "left").withColumn("note", F.coalesce("note", F.lit("")))
-    new = section(F.col("key"), F.col("title"), F.col("body"))
-    note = F.col("note")
-    met = met.withColumn("__start", F.expr("locate(concat('<!-- section:', cast(key as string), ' -->'), note)"))
-    met = met.withColumn("__end", F.expr(f"if(__start > 0, locate('{_END}', note, __start), 0)"))
-    met = met.withColumn("__heading", F.expr("locate(concat('\n## ', title, '\n'), note)"))
-    before = F.expr("substring(note, 1, __heading)")
-    met = met.withColumn("__open", F.when(F.col("__heading") > 0, F.length(before) - F.length(F.substring_index(before, "<!-- section:", -1)) - len("<!-- section:") + 1).otherwise(0))
-    met = met.withColumn("__open", F.when(F.col("__open") > 0, F.col("__open")).otherwise(0)).withColumn("__close", F.expr(f"if(__open > 0, locate('{_END}', note, __heading), 0)"))
-    own = (F.col("__start") > 0) & (F.col("__end") > 0)
-    grown = ~own & (F.col("__open") > 0) & (F.col("__close") > 0)
-    old_body = T.normalise(F.expr("substring(note, __heading + length(title) + 5, __close - __heading - length(title) - 5)"))
-    held = F.expr(f"substring(note, __start, __end - __start + {len(_END)})")
-    action = F.when(own & (_comparable(held) == _comparable(new)), "unchanged").when(own, "replace").when(grown & F.startswith(T.normalise(F.col("body")), old_body), "replace").otherwise("insert")
-    at, upto = F.when(own, F.col("__start")).otherwise(F.col("__open")), F.when(own, F.col("__end")).otherwise(F.col("__close")) + len(_END)
-    swapped = F.concat(F.substring(note, F.lit(1), at - 1), new, F.substring(note, upto, F.length(note)))
-    gap = F.when(note == "", F.concat(F.lit("# "), F.col(path).cast("string"), F.lit("\n\n"))).when(note.endswith("\n\n"), "").when(note.endswith("\n"), "\n").otherwise("\n\n")
-    added = F.concat(F.when(note == "", gap).otherwise(F.concat(note, gap)), new, F.lit("\n"))
-    return met.withColumn("action", action).select(path, "action", F.when(F.col("action") == "unchanged", note).when(F.col("action") == "replace", swapped).otherwise(added).alias("note"))
+    told = sections.groupBy(path).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("order"), "key", "title", "body"))).alias("s"))
+    met = told.join(notes, path, "left")
+    begun = F.struct(F.array().cast("array<string>").alias("actions"), F.coalesce("note", F.lit("")).alias("note"))
+    done = lambda acc, u: F.struct(F.concat(acc["actions"], F.array(u["action"])).alias("actions"), u["note"].alias("note"))
+    folded = F.aggregate("s", begun, lambda acc, s: _let(_upserted(F.col(path).cast("string"), acc["note"], s), lambda u: done(acc, u)))
+    return met.select(path, folded.alias("f")).select(path, "f.actions", "f.note")
 
 
 def daily_notes(sections: DataFrame) -> DataFrame:

@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..schemas import REQUEST
+from ..schemas import CONVERSATION, REQUEST, TURN
 
 VERSION = 1
 ACTIONS = ("saveConversation", "searchArchive", "ping")
 BEHAVIOURS = ("separate", "daily", "append")
+ROLES = ("user", "assistant", "reasoning")
+#: Parts of a turn that are lists, and their types.
+TURN_ARRAYS = [("toolCalls", "array<struct<name:string,input:string,output:string>>"), ("attachments", "array<struct<name:string,kind:string,byteSize:bigint,url:string,inline:boolean>>")]
 
 
 def read_requests(messages: DataFrame) -> DataFrame:
@@ -24,6 +27,49 @@ def read_requests(messages: DataFrame) -> DataFrame:
     return met.withColumn("id", F.coalesce(r["id"], F.get_json_object("message", "$.id"))).withColumn("error", error)
 
 
+#: Levels of a message that may cross: the value itself is level 0.
+DEEPEST = 8
+
+
+def plain_data_errors(messages: DataFrame, key: str = "id", label: str = "conversation") -> DataFrame:
+    """(key, path, error) of every value of ``messages(key, message)`` that can't cross: JSON that does not parse, values below level ``DEEPEST``, numbers that are not finite.
+
+    Values are taken apart level by level; a message without a fault has no row, and a null one is malformed.
+    """
+    spark = messages.sparkSession
+    level = messages.select(key, F.lit(label).alias("path"), F.try_parse_json("message").alias("v"), F.col("message"))
+    found = level.where("v is null").select(key, "path", F.lit("malformed").alias("error"))
+    level = level.where("v is not null").select(key, "path", "v")
+    for depth in range(DEEPEST + 2):
+        if depth > DEEPEST:
+            return found.unionByName(level.select(key, "path", F.lit("nested too deeply").alias("error")))
+        number = F.try_variant_get("v", "$", "double")
+        found = found.unionByName(level.where(number.isNotNull() & (F.isnan(number) | (F.abs(number) == float("inf")))).select(key, "path", F.lit("not a finite number").alias("error")))
+        below = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+        level = below.select(key, F.concat("path", F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), "key"))).alias("path"), F.col("value").alias("v"))
+    return found
+
+
+def decode_conversations(messages: DataFrame) -> DataFrame:
+    """``messages(message, ...)`` with conversation and errors: fields that may be absent have their defaults, others are told by their path.
+
+    A turn without a format is Markdown, and one without calls or attachments has none; a score is brought into 0 to 1, and absent
+    warnings are none. Sources that are not known stay as they are. Needed are a source, turns, and of each turn a known role and a body.
+    """
+    met = messages.withColumn("conversation", F.from_json("message", CONVERSATION))
+    c = F.col("conversation")
+    none = lambda field: F.array().cast(dict(TURN_ARRAYS)[field])
+    turn = lambda t: t.withField("format", F.coalesce(t["format"], F.lit("markdown"))).withField("toolCalls", F.coalesce(t["toolCalls"], none("toolCalls"))).withField("attachments", F.coalesce(t["attachments"], none("attachments")))
+    sure = c["confidence"].withField("score", T.clamp(c["confidence"]["score"])).withField("warnings", F.coalesce(c["confidence"]["warnings"], F.array().cast("array<string>")))
+    whole = c.withField("turns", F.transform(c["turns"], turn)).withField("confidence", F.when(c["confidence"].isNotNull(), sure))
+    at = lambda k, what: F.concat(F.lit("turns["), k.cast("string"), F.lit("]." + what))
+    role = lambda t, k: F.when(t["role"].isNull(), at(k, "role: missing")).when(~t["role"].isin(*ROLES), at(k, "role: unknown"))
+    each = F.flatten(F.transform(F.coalesce(c["turns"], F.array().cast(f"array<{TURN}>")), lambda t, k: F.array(role(t, k), F.when(t["body"].isNull(), at(k, "body: missing")))))
+    said = F.filter(F.concat(F.array(F.when(c["source"].isNull(), "source: missing"), F.when(c["turns"].isNull(), "turns: missing")), each), lambda e: e.isNotNull())
+    wrong = F.when(F.try_parse_json("message").isNull(), F.array(F.lit("malformed"))).otherwise(said)
+    return met.withColumn("errors", wrong).withColumn("conversation", whole)
+
+
 def resolve_destination(requests: DataFrame, presets: dict[str, tuple[str, str]], default: tuple[str, str]) -> DataFrame:
     """Adds folder and behaviour: of a known preset, else of an explicit path (always separate), else the default."""
     known = F.lit(None).cast("struct<folder:string,behaviour:string>")

@@ -17,7 +17,7 @@ from ..operators import search as S
 from ..operators.stored_index import StoredIndex
 from ..sources import store
 from ..sources import tables as src
-from .queries import _FP, _KEYS, _M, _NORM, _TAGS, _TITLE, _bm25_sql, _fingerprinted, _formed, _hits, _titles, query
+from .queries import _FP, _KEYS, _M, _NORM, _READ_BACK, _TAGS, _VERSIONS, _TITLE, _bm25_sql, _fingerprinted, _formed, _hits, _titles, _versions, query
 
 _SAFE_SQL = r"""regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace({0}, '[/:*?"<>|\\]+', ' ', 'g'), '\s+', ' ', 'g')), '[ .,_-]+$', ''), '^\.+', '')"""
 
@@ -276,6 +276,48 @@ def warning_sentences(spark, d):
     return g.select("conv_id", M.warning_sentence(F.col("w"), F.when(F.col("bare") > 0, 0.7).otherwise(1.0)).alias("sentence"))
 
 
+# -- messages ---------------------------------------------------------------------------------------------------------
+@query("plain_data_errors", "SELECT conv_id, 'conversation.turns' || repeat('[0]', 8) AS path, 'nested too deeply' AS error FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 12 >= 8")
+def plain_data_errors(spark, d):
+    """A message for each conversation, nested as deep as its id says."""
+    ids = _turns(spark, d).select("conv_id").distinct()
+    deep = F.expr("concat('{\"turns\":', repeat('[', cast(conv_id % 12 as int)), '1.5', repeat(']', cast(conv_id % 12 as int)), '}')")
+    return V.plain_data_errors(ids.select("conv_id", deep.alias("message")), "conv_id")
+
+
+@query(
+    "decoded_conversations",
+    """WITH g AS (SELECT conv_id, count(*)::BIGINT AS n_turns, count(text)::BIGINT AS bodies, list(turn ORDER BY turn) FILTER (text IS NULL) AS bare FROM conversations GROUP BY conv_id)
+SELECT conv_id, CASE conv_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'a new source' ELSE 'claude' END AS source, n_turns, n_turns AS plain, least(greatest((conv_id % 4 - 1)::DOUBLE, 0), 1) AS score,
+  array_to_string(list_concat(CASE WHEN conv_id % 5 = 0 THEN ['source: missing'] ELSE [] END, list_transform(coalesce(bare, []), lambda t: 'turns[' || t || '].body: missing')), '; ') AS errors FROM g""",
+)
+def decoded_conversations(spark, d):
+    """Conversations written as JSON, some without a source, some of a source that nobody knows, with a score out of range; and read again."""
+    k = F.col("conv_id")
+    rows = spark.read.parquet(f"{d}/conversations.parquet").withColumn("role", F.when(F.col("role").isin("user", "assistant"), F.col("role")).otherwise("user"))
+    g = rows.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("body"))).alias("turns"))
+    source = F.when(k % 5 == 1, "a new source").when(k % 5 > 1, "claude")
+    confidence = F.struct((k % 4 - 1).cast("double").alias("score"), F.lit(True).alias("complete"), F.lit("dom").alias("strategy"))
+    read = V.decode_conversations(g.select("conv_id", F.to_json(F.struct(source.alias("source"), "turns", confidence.alias("confidence"))).alias("message")))
+    c = F.col("conversation")
+    plain = F.size(F.filter(c["turns"], lambda t: (t["format"] == "markdown") & (F.size(t["toolCalls"]) == 0) & (F.size(t["attachments"]) == 0))).cast("long")
+    return read.select("conv_id", c["source"].alias("source"), F.size(c["turns"]).cast("long").alias("n_turns"), plain.alias("plain"), c["confidence"]["score"].alias("score"), F.array_join("errors", "; ").alias("errors"))
+
+
+@query(
+    "applied_decisions",
+    f"""WITH {_VERSIONS}, h AS (SELECT conv_id, sha256('web' || chr(31) || string_agg(chr(30) || role || chr(31) || b, '' ORDER BY turn)) AS body_hash FROM i WHERE b <> '' GROUP BY conv_id
+), a AS (SELECT ia.conv_id, CASE WHEN ea.x IS NULL THEN 'write_new' WHEN ia.conv_id % 11 = 0 THEN 'write_alongside' WHEN ia.x = ea.x THEN 'unchanged' WHEN len(ia.x) > len(ea.x) AND ia.x[1:len(ea.x)] = ea.x THEN 'append' ELSE 'write_alongside' END AS action FROM ia LEFT JOIN ea USING (conv_id))
+SELECT conv_id, action, CASE WHEN action <> 'unchanged' THEN body_hash END AS body_hash FROM a LEFT JOIN h USING (conv_id)""",
+)
+def applied_decisions(spark, d):
+    """What each decision writes, read back from the document: the whole conversation anew, or nothing where it is unchanged."""
+    existing, incoming = _versions(spark, d)
+    told = R.applied(existing, incoming, "Claude", "2024-01-01")
+    read = A.body_hashes(R.split_turns(told.where("document is not null"))).select("conv_id", "body_hash")
+    return told.select("conv_id", "action").join(read, "conv_id", "left")
+
+
 # -- files ------------------------------------------------------------------------------------------------------------
 @query("fanned_out", "WITH x AS (SELECT doc_id, lang || '.md' AS name, unnest(['first', 'second', 'third']) AS folder FROM documents) SELECT doc_id, folder, CASE WHEN folder = 'first' OR r = 1 THEN name ELSE replace(name, '.md', '') || ' (' || r || ').md' END AS final FROM (SELECT *, row_number() OVER (PARTITION BY folder, name ORDER BY doc_id) + CASE WHEN folder = 'third' AND name IN (SELECT DISTINCT lang || '.md' FROM documents WHERE doc_id % 2 = 0) THEN 1 ELSE 0 END AS r FROM x)")
 def fanned_out(spark, d):
@@ -285,7 +327,8 @@ def fanned_out(spark, d):
     return V.fan_out(docs.select("doc_id", F.concat("lang", F.lit(".md")).alias("name")), ["first", "second", "third"], taken, "doc_id").select("doc_id", "folder", "final")
 
 
-_TURN = f"""r AS (SELECT *, {_NORM.replace('{0}', 'body')} AS b FROM m), k AS (SELECT *, CASE WHEN role = 'assistant' AND conv_id % 2 = 0 THEN {_NORM.replace('{0}', 'substr(b, 1, 30)')} ELSE '' END AS why,
+# Some bodies begin like the decoration of a turn.
+_TURN = f"""r AS (SELECT *, {_NORM.replace('{0}', "CASE WHEN conv_id % 7 = 0 THEN 'Attachments:' || chr(10) || chr(10) || '- `x`' || chr(10) || body WHEN conv_id % 7 = 1 THEN '<!-- reasoning -->' || chr(10) || body ELSE body END")} AS b FROM m), k AS (SELECT *, CASE WHEN role = 'assistant' AND conv_id % 2 = 0 THEN {_NORM.replace('{0}', 'substr(b, 1, 30)')} ELSE '' END AS why,
   CASE WHEN role = 'user' AND conv_id % 3 = 0 THEN 'q' || turn END AS asked, CASE WHEN conv_id % 5 = 0 THEN 'file ' || turn || '.pdf' END AS file FROM r WHERE regexp_replace(body, '\\s+', '', 'g') <> '')"""
 
 
@@ -296,7 +339,9 @@ _TURN = f"""r AS (SELECT *, {_NORM.replace('{0}', 'body')} AS b FROM m), k AS (S
 )
 def decorated_round_trip(spark, d):
     """Turns with reasoning, tool calls and attachments, written as documents and read back from these alone."""
-    m = src.messages(spark, d).withColumn("body", F.regexp_replace("body", r"^\s+|\s+$", "")).where("body <> ''")
+    m = src.messages(spark, d).where(T.is_populated(F.col("body")))
+    like = F.when(F.col("conv_id") % 7 == 0, "Attachments:\n\n- `x`\n").when(F.col("conv_id") % 7 == 1, "<!-- reasoning -->\n").otherwise("")
+    m = m.withColumn("body", F.regexp_replace(F.concat(like, "body"), r"^\s+|\s+$", ""))
     k, none = F.col("conv_id"), F.array()
     why = F.when((F.col("role") == "assistant") & (k % 2 == 0), T.normalise(F.substring(T.normalise(F.col("body")), 1, 30)))
     call = F.struct(F.lit("search").alias("name"), F.concat(F.lit("q"), F.col("turn").cast("string")).alias("input"), F.substring("body", 1, 10).alias("output"))
@@ -331,7 +376,23 @@ def note_upserts(spark, d):
     old = F.when(k == 1, "something else").when(k == 2, F.concat(F.lit("<sub>noon</sub>\n\n"), body)).when(k == 4, "unlike").otherwise(F.concat(F.lit("read "), "v"))
     key = F.when(k.isin(1, 2), F.col("user_id")).otherwise(F.col("user_id") + 1_000_000)
     notes = u.where(k != 0).select("user_id", F.concat(F.lit("Mine.\n\n"), R.section(key, F.col("title"), old), F.lit("\nMy own end.")).alias("note"))
-    return R.upsert_sections(notes, u.select("user_id", F.col("user_id").alias("key"), "title", body.alias("body")), "user_id")
+    told = R.upsert_sections(notes, u.select("user_id", F.col("user_id").alias("key"), "title", body.alias("body")), "user_id")
+    return told.select("user_id", F.col("actions")[0].alias("action"), "note")
+
+
+@query(
+    "note_with_sections",
+    """WITH u AS (SELECT user_id // 10 AS day, user_id AS key, max(event_type) AS title, max(value)::VARCHAR AS v FROM events GROUP BY user_id), f AS (SELECT day, min(key) AS first FROM u GROUP BY day
+), s AS (SELECT u.*, key = first AS held, '<!-- section:' || key || ' -->' || chr(10) || '## ' || key || ' ' || title || chr(10) || chr(10) || 'read ' || v || chr(10) || '<!-- /section -->' AS x FROM u JOIN f USING (day))
+SELECT day, string_agg(CASE WHEN held THEN 'replace' ELSE 'insert' END, ',' ORDER BY key) AS actions, 'Mine.' || chr(10) || chr(10) || string_agg(CASE WHEN held THEN x || chr(10) || 'My own end.' ELSE x END, chr(10) || chr(10) ORDER BY key) || CASE WHEN count(*) > 1 THEN chr(10) ELSE '' END AS note FROM s GROUP BY day""",
+)
+def note_with_sections(spark, d):
+    """Sections of several users in one note: the first is there already and has changed, the others are put behind it."""
+    u = src.events(spark, d).groupBy("user_id").agg(F.max("event_type").alias("title"), F.max("value").cast("string").alias("v"))
+    u = u.select(F.floor(F.col("user_id") / 10).alias("day"), F.col("user_id").alias("key"), F.concat(F.col("user_id").cast("string"), F.lit(" "), "title").alias("title"), F.concat(F.lit("read "), "v").alias("body"))
+    held = u.groupBy("day").agg(F.min_by(F.struct("key", "title"), "key").alias("h"))
+    notes = held.select("day", F.concat(F.lit("Mine.\n\n"), R.section(F.col("h.key"), F.col("h.title"), F.lit("other")), F.lit("\nMy own end.")).alias("note"))
+    return R.upsert_sections(notes, u, "day").withColumn("actions", F.array_join("actions", ","))
 
 
 @query("fts_prefix", _bm25_sql(["@"]).replace("list_filter(ws, lambda x: x = '@')", "list_filter(ws, lambda x: starts_with(x, 'ti'))"))
@@ -350,17 +411,16 @@ def document_metadata(spark, d):
     g = _turns(spark, d).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.when(~F.col("role").isin("user", "assistant"), F.concat(F.lit("unknown role: "), "role")))).alias("w"), F.min(F.col("body") != "").alias("ok"))
     g = g.join(_titles(spark, d), "conv_id", "left").withColumn("title", F.coalesce("title", F.lit("")))
     c = F.col("conv_id").cast("string")
-    fields = R.all_fields(F.col("title"), "2024-01-01", F.lit("ChatGPT"), F.col("n"), F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("m: "), c)), F.concat(F.lit("https://example.org/a b/"), c), F.when(F.col("ok"), 1.0).otherwise(0.7), F.col("ok"), F.col("w"))
-    told = R.metadata(g.select("conv_id", R.frontmatter(fields).alias("document")), "conv_id")
+    fields = R.all_fields(F.col("title"), "2024-01-01", F.lit("ChatGPT"), F.col("n"), F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("m: "), c)), F.concat(F.lit("https://example.org/a b/"), c), F.when(F.col("ok"), 1.0).otherwise(0.7), F.col("ok"))
+    told = R.metadata(g.select("conv_id", R.frontmatter(fields, F.col("w")).alias("document")), "conv_id")
     return told.withColumn("warnings", F.array_join("warnings", "; "))
 
 
 @query(
     "saved_files",
     _TITLE + ", n AS (SELECT conv_id, CASE WHEN length(x) <= 80 THEN x WHEN regexp_matches(substr(x, 1, 80), '^.+ ') THEN regexp_replace(substr(x, 1, 80), ' [^ ]*$', '') ELSE substr(x, 1, 80) END AS s FROM (SELECT conv_id, " + _SAFE_SQL.replace("{0}", "title") + """ AS x FROM t)
-), b AS (SELECT conv_id, count(*)::BIGINT AS n_turns FROM m WHERE regexp_replace(body, '\\s+', '', 'g') <> '' GROUP BY conv_id
-), f AS (SELECT conv_id, n_turns, CASE WHEN coalesce(s, '') = '' THEN '2024-01-01' ELSE s END AS s FROM b LEFT JOIN n USING (conv_id)
-), r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY conv_id) AS k FROM f) SELECT conv_id, s || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END || '.md' AS final, n_turns, true AS intact FROM r""",
+), """ + _READ_BACK + """, f AS (SELECT conv_id, n_turns, body_hash, CASE WHEN coalesce(s, '') = '' THEN '2024-01-01' ELSE s END AS s FROM h LEFT JOIN n USING (conv_id)
+), r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY conv_id) AS k FROM f) SELECT conv_id, s || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END || '.md' AS final, n_turns, body_hash, true AS intact FROM r""",
 )
 def saved_files(spark, d):
     """One Markdown file for each conversation: its free name, and what is read back from its content."""

@@ -296,7 +296,11 @@ def index_delta(spark, d):
     return A.index_delta(rows.where(k != 1), seen, "doc_id")
 
 
-@query("render_round_trip", f"WITH {_M}, b AS (SELECT * FROM m WHERE regexp_replace(body, '\\s+', '', 'g') <> '') SELECT conv_id, count(*)::BIGINT AS n_turns, true AS intact FROM b GROUP BY conv_id")
+_READ_BACK = f"""b AS (SELECT * FROM m WHERE regexp_replace(body, '\\s+', '', 'g') <> ''
+), h AS (SELECT conv_id, count(*)::BIGINT AS n_turns, sha256('web' || chr(31) || string_agg(chr(30) || role || chr(31) || {_norm('body')}, '' ORDER BY turn)) AS body_hash FROM b GROUP BY conv_id)"""
+
+
+@query("render_round_trip", f"WITH {_M}, {_READ_BACK} SELECT conv_id, n_turns, body_hash, true AS intact FROM h")
 def render_round_trip(spark, d):
     return R.intact(R.render(src.messages(spark, d), "Claude", "2024-01-01"))
 

@@ -32,3 +32,56 @@ def test_log_and_tool_calls(spark):
     att = "array<struct<name:string,kind:string,byteSize:bigint,url:string,inline:boolean>>"
     text = spark.createDataFrame([([("a.png", "image", 10, "http://h/a b", False)],)], f"a {att}").select(V.attachments(F.col("a")).alias("t")).first()["t"]
     assert text == "Attachments:\n\n- `a.png` (image, 10 bytes) <http://h/a%20b>"
+
+
+def test_plain_data_and_defaults(spark):
+    deep = lambda n: '{"a":' + "[" * n + "1" + "]" * n + "}"
+    rows = spark.createDataFrame([(1, deep(7)), (2, deep(8)), (3, deep(12)), (4, "{broken"), (5, None), (6, '{"a":[null,"x",true,1.5,{"b c":[[]]}]}'), (7, '{"a":[1,1e999]}')], "id int, message string")
+    got = {(r["id"], r["path"], r["error"]) for r in V.plain_data_errors(rows).collect()}
+    assert {g for g in got if g[0] < 7} == {(2, "conversation.a" + "[0]" * 8, "nested too deeply"), (3, "conversation.a" + "[0]" * 8, "nested too deeply"), (4, "conversation", "malformed"), (5, "conversation", "malformed")}
+    # A number beyond a double does not parse, or is told: either way it does not cross.
+    assert {g[0] for g in got} >= {7}
+    said = [
+        {"source": "unheard of", "turns": [{"role": "user", "body": "hi"}], "confidence": {"score": 7, "complete": True, "strategy": "dom"}},
+        {"turns": [{"role": "alien", "body": "hi"}, {"role": "user"}, {"body": "x", "format": "html"}]},
+        {"source": "web"},
+    ]
+    read = V.decode_conversations(spark.createDataFrame([(k, json.dumps(s)) for k, s in enumerate(said)] + [(3, "{"), (4, None)], "k int, message string")).orderBy("k").collect()
+    first = read[0]["conversation"]
+    assert (first["source"], first["turns"][0]["format"], first["turns"][0]["toolCalls"], first["turns"][0]["attachments"], first["confidence"]["score"], first["confidence"]["warnings"]) == ("unheard of", "markdown", [], [], 1.0, [])
+    assert [r["errors"] for r in read] == [[], ["source: missing", "turns[0].role: unknown", "turns[1].body: missing", "turns[2].role: missing"], ["turns: missing"], ["malformed"], ["malformed"]]
+    assert read[1]["conversation"]["turns"][2]["format"] == "html"
+
+
+def test_any_number_of_warnings(spark):
+    from scrollmill.operators import render as R
+
+    rows = spark.createDataFrame([(1, [f"w: {k}" for k in range(40)]), (2, []), (3, None)], "path int, w array<string>")
+    got = {r["path"]: r["warnings"] for r in R.metadata(rows.select("path", R.frontmatter([("title", F.lit("t"))], F.col("w")).alias("document"))).collect()}
+    assert got == {1: [f"w: {k}" for k in range(40)], 2: [], 3: []}
+
+
+def test_turns_read_back_whatever_they_begin_with(spark):
+    from scrollmill.operators import render as R
+
+    hard = ["plain", "Attachments:\n\n- `a` (file)", "Attachments:", "<!-- reasoning -->\n\nx\n\n<!-- /reasoning -->", "<!-- body -->\n\nAttachments:", "<!-- body -->", "```tool\n{}\n```", "````tool\nx\n````\nmore", "a\n\nAttachments:\n\n- `b`"]
+    why = [None, "because", "so <!-- /reasoning --> <!-- //x --> end", "<!-- reasoning -->"]
+    call, file = "struct<name:string,input:string,output:string>", "struct<name:string,kind:string,byteSize:bigint,url:string>"
+    rows = [(n, (b, w, [("run", "ls", "out")] if n % 2 else [], [("f.txt", "file", 3, None)] if n % 3 else [])) for n, (b, w) in enumerate((b, w) for b in hard for w in why)]
+    table = spark.createDataFrame(rows, f"n int, t struct<body:string,reasoning:string,toolCalls:array<{call}>,attachments:array<{file}>>")
+    for r in table.select("n", "t", R.decode_turn(R.render_turn(F.col("t"))).alias("d")).collect():
+        assert {k: r["d"][k] for k in ("body", "reasoning", "toolCalls", "attachments")} == r["t"].asDict(), r["n"]
+
+
+def test_several_sections_of_one_note(spark):
+    from scrollmill.operators import render as R
+
+    notes = spark.createDataFrame([("p", "Mine.\n\n<!-- section:1 -->\n## One\n\nold\n<!-- /section -->\nend"), ("q", None)], "path string, note string")
+    sections = spark.createDataFrame([("p", 2, "Two", "b"), ("p", 1, "One", "new"), ("p", 3, "Two", "b and more"), ("q", 5, "Q", "x"), ("q", 6, "Q", "y"), ("r", 7, "R", "z")], "path string, key int, title string, body string")
+    out = R.upsert_sections(notes, sections)
+    got = {r["path"]: (r["actions"], r["note"]) for r in out.collect()}
+    s = lambda key, title, body: f"<!-- section:{key} -->\n## {title}\n\n{body}\n<!-- /section -->"
+    assert got["p"] == (["replace", "insert", "replace"], f"Mine.\n\n{s(1, 'One', 'new')}\nend\n\n{s(3, 'Two', 'b and more')}\n")
+    assert got["q"] == (["insert", "insert"], f"# q\n\n{s(5, 'Q', 'x')}\n\n{s(6, 'Q', 'y')}\n") and got["r"][1] == f"# r\n\n{s(7, 'R', 'z')}\n"
+    again = {r["path"]: (r["actions"], r["note"]) for r in R.upsert_sections(out.select("path", "note"), sections.where("key <> 2")).collect()}
+    assert all(set(again[p][0]) == {"unchanged"} and again[p][1] == got[p][1] for p in "pqr")
