@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..operators import archive as A
 from ..operators import elements as E
 from ..operators import harvest as H
+from ..operators import lines as L
 from ..operators import render as R
 from ..operators import saving as V
 from ..operators import search as S
@@ -230,6 +231,31 @@ def markdown_titles(spark, d):
     return _formed(spark, d).select("doc_id", M.title(F.col("body")).alias("title"))
 
 
+_LISTED = """f AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN t || chr(10) || '=====' || chr(10) || '- one' || chr(10) || '- two' || chr(10) || chr(10) || '- three' WHEN 1 THEN '## ' || t || ' ##' || chr(10) || '---' || chr(10) || '===' || chr(10) || t || chr(10) || '  --- ' WHEN 2 THEN chr(10) || '---' || chr(10) || '> ' || t ELSE t END AS body FROM (SELECT doc_id, trim(string_split(coalesce(text, ''), chr(10))[1]) AS t FROM documents))"""
+_LINE_TABLE = _LISTED + r""", w AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS line, unnest(range(0, len(string_split(body, chr(10))))) AS line_no FROM f
+), o AS (SELECT *, CASE WHEN regexp_matches(line, '^[ \t\r]*$') THEN 'blank' WHEN regexp_matches(line, '^[ \t]{0,3}#{1,6}([ \t]|$)') THEN 'heading' WHEN regexp_matches(line, '^[ \t]{0,3}(=+|-+)[ \t\r]*$') THEN 'underline' WHEN regexp_matches(line, '^[ \t]*([-+*]|[0-9]{1,9}[.)])([ \t]|$)') THEN 'item' WHEN regexp_matches(line, '^[ \t]{0,3}>') THEN 'quote' WHEN regexp_matches(line, '^[ \t]{0,3}\|.*\|') THEN 'row' ELSE 'text' END AS own FROM w
+), s AS (SELECT *, lag(own) OVER v AS before, lead(own) OVER v AS after, lead(line) OVER v AS below FROM o WINDOW v AS (PARTITION BY doc_id ORDER BY line_no)
+), k AS (SELECT *, CASE WHEN own = 'underline' AND coalesce(before, '') = 'text' THEN 'underline' WHEN own = 'underline' AND regexp_matches(line, '^[ \t]{0,3}-{3,}') THEN 'rule' WHEN own = 'underline' AND regexp_matches(line, '^[ \t]{0,3}-[ \t\r]*$') THEN 'item' WHEN own = 'underline' THEN 'text' WHEN own = 'text' AND coalesce(after, '') = 'underline' THEN 'title' ELSE own END AS kind FROM s)"""
+
+
+def _listed(spark, d):
+    k, t = F.col("doc_id") % 4, F.trim(F.split(F.coalesce("text", F.lit("")), "\n")[0])
+    body = F.when(k == 0, F.concat(t, F.lit("\n=====\n- one\n- two\n\n- three"))).when(k == 1, F.concat(F.lit("## "), t, F.lit(" ##\n---\n===\n"), t, F.lit("\n  --- "))).when(k == 2, F.concat(F.lit("\n---\n> "), t)).otherwise(t)
+    return src.documents(spark, d).select("doc_id", body.alias("body"))
+
+
+@query("line_kinds", "WITH " + _LINE_TABLE + " SELECT doc_id, kind, count(*)::BIGINT AS n, count(*) FILTER (own = 'item' AND coalesce(before, '') = 'item') AS tight FROM k GROUP BY doc_id, kind")
+def line_kinds(spark, d):
+    return L.lines(_listed(spark, d)).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("tight")).alias("tight"))
+
+
+@query("outlines", "WITH " + _LINE_TABLE + r""" SELECT doc_id, line_no::INTEGER AS line_no, (CASE WHEN kind = 'heading' THEN length(regexp_extract(line, '^[ \t]*(#+)', 1)) WHEN starts_with(trim(below), '=') THEN 1 ELSE 2 END)::INTEGER AS level,
+  CASE WHEN kind = 'heading' THEN regexp_replace(regexp_replace(line, '^[ \t]*#+[ \t]*', ''), '[ \t]*#*[ \t\r]*$', '') ELSE regexp_replace(line, '^[ \t\r]+|[ \t\r]+$', '', 'g') END AS title FROM k WHERE kind IN ('heading', 'title')""")
+def outlines(spark, d):
+    """Headings of documents, by marks and by underlines."""
+    return L.outline(_listed(spark, d))
+
+
 @query("iso_stamps", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+0000' AS stamp FROM events")
 def iso_stamps(spark, d):
     rows = src.events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))

@@ -10,22 +10,54 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_populated, looks_like_markdown
+from .store import exists
 
 FRAME_LIMIT = 512 << 20
 
 
+#: Files up to this number are opened by name; for more the folder is read, and what is not wanted is left out.
+BY_NAME = 1000
+
+
+def _markdown(spark: SparkSession, folder: str, recursive: bool) -> DataFrame | None:
+    if not exists(spark, folder):
+        return None
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.[mM][dD]").load(folder)
+    return files.where(~F.substring_index("path", folder.rstrip("/"), -1).rlike(r"/\."))
+
+
+def _stated(files: DataFrame) -> DataFrame:
+    return files.withColumns({"mtime": F.unix_micros("modificationTime") / 1e6, "byte_size": F.col("length")})
+
+
+def _decoded(files: DataFrame) -> DataFrame:
+    good = F.is_valid_utf8(F.col("content").cast("string"))
+    return _stated(files).select("path", "mtime", "byte_size", F.when(good, F.col("content").cast("string")).alias("content"), (~good).alias("failed"))
+
+
 def markdown_folder(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
     """(path, mtime, byte_size, content, failed) of the .md files; hidden ones are left out, a missing folder is empty.
 
     content is null and failed true where the bytes are not UTF-8.
     """
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    files = _markdown(spark, folder, recursive)
+    return spark.createDataFrame([], "path string, mtime double, byte_size long, content string, failed boolean") if files is None else _decoded(files)
+
+
+def listing(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame | None:
+    """(path, mtime, byte_size) of the .md files, none of which is opened; None if the folder is missing."""
+    files = _markdown(spark, folder, recursive)
+    return None if files is None else _stated(files).select("path", "mtime", "byte_size")
+
+
+def read_files(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
+    """``markdown_folder`` of the files in wanted(path). Few are opened by name, so a pass with few changes reads few files."""
+    few = [r["path"] for r in wanted.select("path").limit(BY_NAME + 1).collect()]
+    if not few:
         return spark.createDataFrame([], "path string, mtime double, byte_size long, content string, failed boolean")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.[mM][dD]").load(folder)
-    good = F.is_valid_utf8(F.col("content").cast("string"))
-    shown = ~F.substring_index("path", folder.rstrip("/"), -1).rlike(r"/\.")
-    return files.where(shown).select("path", (F.unix_micros("modificationTime") / 1e6).alias("mtime"), F.col("length").alias("byte_size"), F.when(good, F.col("content").cast("string")).alias("content"), (~good).alias("failed"))
+    if len(few) <= BY_NAME:
+        return _decoded(spark.read.format("binaryFile").load(few))
+    return _decoded(_markdown(spark, folder, True).join(wanted.select("path"), "path", "left_semi"))
 
 
 def frames(files: DataFrame) -> DataFrame:
