@@ -32,7 +32,7 @@ def duplicate_members(rows: DataFrame, key: str, fingerprint: str) -> DataFrame:
 
 def collision_names(names: DataFrame, by: str, order: str) -> DataFrame:
     """``names`` with final: the name, or ``name (n)`` from the second holder on, n from 2 in the given order."""
-    n = _numbered(names, by, order)
+    n = numbered(names, by, order)
     n = n.withColumn("final", F.when(F.col("__n") == 1, F.col(by)).otherwise(F.concat(F.col(by), F.lit(" ("), F.col("__n").cast("string"), F.lit(")"))))
     return n.drop("__n")
 
@@ -41,7 +41,7 @@ def collision_names(names: DataFrame, by: str, order: str) -> DataFrame:
 RANGES = 64
 
 
-def _numbered(rows: DataFrame, by: str, order: str) -> DataFrame:
+def numbered(rows: DataFrame, by: str, order: str) -> DataFrame:
     """``rows`` with __n, the place in ``order`` among equal ``by``. A numeric order is cut into ranges, so that no key is one task's work."""
     if not dict(rows.dtypes)[order].startswith(("bigint", "int", "smallint", "tinyint", "double", "float", "decimal")):
         return rows.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(order)))
@@ -139,11 +139,16 @@ def match_existing(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     old = told(existing.join(last.select("file"), "file", "left_semi"), "file")
     new = told(incoming.join(ours.select("conv_id"), "conv_id", "left_semi"), "conv_id")
     place = ["n", "turn", "x"]
+    # Of one or two turns a single equal one is enough, and then the least file that has it.
+    least = old.where("n <= 2").groupBy(place).agg(F.min("file").alias("file"))
+    brief = new.where("n <= 2").join(least, place).groupBy("conv_id").agg(F.min("file").alias("file"))
     rare = F.row_number().over(Window.partitionBy("conv_id").orderBy("often", "turn"))
-    few = new.join(old.groupBy(place).agg(F.count(F.lit(1)).alias("often")), place, "left").withColumn("often", F.coalesce("often", F.lit(0)))
-    pairs = few.withColumn("r", rare).where("r <= floor(n / 2) + 1").join(old, place).select("conv_id", "file").distinct()
-    same = pairs.join(new, "conv_id").join(old, [*place, "file"]).groupBy("conv_id", "file", "n").agg(F.count(F.lit(1)).alias("same")).where("2 * same >= n")
-    same = same.join(ours.select("conv_id", "hash"), "conv_id").select("n", "hash", "file").join(whole, ["n", "hash"]).select("conv_id", "file", F.lit(2).alias("rank"))
+    many = old.where("n > 2")
+    few = new.where("n > 2").join(many.groupBy(place).agg(F.count(F.lit(1)).alias("often")), place, "left").withColumn("often", F.coalesce("often", F.lit(0)))
+    pairs = few.withColumn("r", rare).where("r <= floor(n / 2) + 1").join(many, place).select("conv_id", "file").distinct()
+    same = pairs.join(new, "conv_id").join(many, [*place, "file"]).groupBy("conv_id", "file", "n").agg(F.count(F.lit(1)).alias("same")).where("2 * same >= n")
+    same = same.select("conv_id", "file").unionByName(brief)
+    same = same.join(ours.select("conv_id", "hash", "n"), "conv_id").select("n", "hash", "file").join(whole, ["n", "hash"]).select("conv_id", "file", F.lit(2).alias("rank"))
     best = heads.unionByName(same).groupBy("conv_id").agg(F.min(F.struct("rank", "file")).alias("b"))
     return best.select("conv_id", "b.file", F.element_at(F.array(F.lit("exact"), F.lit("prefix"), F.lit("edited")), F.col("b.rank") + 1).alias("how"))
 

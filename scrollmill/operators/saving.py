@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..schemas import CONVERSATION, REQUEST, TURN
+from .archive import numbered
 
 VERSION = 1
 ACTIONS = ("saveConversation", "searchArchive", "ping")
@@ -91,9 +92,11 @@ def free_names(wanted: DataFrame, taken: DataFrame, order: str) -> DataFrame:
     stem, ext = F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 2)
     base = taken.select("folder", F.regexp_replace("name", r"( \(\d+\))?(\.[^.]*)?$", "").alias("stem"), F.coalesce(F.try_to_number(F.regexp_extract("name", r" \((\d+)\)(\.[^.]*)?$", 1), F.lit("9999")).cast("int"), F.lit(1)).alias("n"))
     highest = base.groupBy("folder", "stem").agg(F.max("n").alias("highest"))
+    # Many files may want one name of one folder: their numbers are given range by range of the order.
+    wanted = numbered(wanted.withColumn("__wish", F.struct("folder", "name")), "__wish", order).drop("__wish")
     rows = wanted.withColumn("stem", stem).withColumn("ext", ext).join(highest, ["folder", "stem"], "left")
-    n = F.row_number().over(Window.partitionBy("folder", "name").orderBy(order)) + F.coalesce("highest", F.lit(0))
-    return rows.withColumn("final", F.when(n == 1, F.col("name")).otherwise(F.concat("stem", F.lit(" ("), n.cast("string"), F.lit(")"), "ext"))).drop("stem", "ext", "highest")
+    n = F.col("__n") + F.coalesce("highest", F.lit(0))
+    return rows.withColumn("final", F.when(n == 1, F.col("name")).otherwise(F.concat("stem", F.lit(" ("), n.cast("string"), F.lit(")"), "ext"))).drop("stem", "ext", "highest", "__n")
 
 
 def fan_out(files: DataFrame, folders: list[str], taken: DataFrame, order: str) -> DataFrame:
