@@ -246,42 +246,6 @@ def flat_nodes(html: str) -> list[tuple[int, int, str, list[tuple[str, str]], st
     return [tuple(n) for n in out]
 
 
-NODES = T.StructType(
-    [
-        T.StructField("nodes", T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("id", T.IntegerType()), ("last", T.IntegerType()), ("tag", T.StringType()), ("hints", T.IntegerType()), ("chrome", T.IntegerType()), ("from", T.IntegerType()), ("pieces", T.IntegerType()))]))),
-        T.StructField("pieces", T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("chrome", T.IntegerType())]))),
-    ]
-)
-
-
-def numbered(root: Node) -> tuple[list[list], list[tuple[str, int]]]:
-    """Nodes in document order (id, last node below, tag, hints of chrome in class and id, chrome elements at or above, first piece, pieces) and pieces of text."""
-    nodes: list[list] = []
-    pieces: list[tuple[str, int]] = []
-    stack: list[tuple] = [(root, 0, False)]
-    while stack:
-        n, chrome, done = stack.pop()
-        if isinstance(n, str):
-            pieces.append((n, chrome))
-        elif done:
-            row = nodes[chrome]
-            row[1], row[6] = len(nodes) - 1, len(pieces) - row[5]
-        else:
-            here = chrome + is_chrome(n)
-            hints = sum(any(h in n.attrs.get(a, "").lower() for h in CHROME_HINTS) for a in ("class", "id"))
-            stack.append((n, len(nodes), True))
-            nodes.append([len(nodes), 0, n.tag, hints, here, len(pieces), 0])
-            stack.extend((k, here, False) for k in reversed(n.kids))
-    return nodes, pieces
-
-
-@pandas_udf(NODES)
-def page_nodes(html: pd.Series) -> pd.DataFrame:
-    """What ``operators.pages`` measures: the elements of a page and its text between them."""
-    found = [numbered(parse(text or "")) for text in html]
-    return pd.DataFrame({"nodes": [[tuple(n) for n in nodes] for nodes, _ in found], "pieces": [pieces for _, pieces in found]})
-
-
 @pandas_udf(T.StringType())
 def html_to_markdown(html: pd.Series) -> pd.Series:
     return html.map(to_markdown)
