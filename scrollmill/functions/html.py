@@ -138,6 +138,21 @@ def _table(node: Node) -> str:
     return "\n".join([lines[0], "| " + " | ".join(["---"] * width) + " |", *lines[1:]])
 
 
+def _definitions(node: Node, depth: int) -> list[str]:
+    """Terms in bold and what they mean indented below, without blank lines between; whatever else stands there is apart."""
+    out, tight = [], False
+    for k in (x for x in node.kids if isinstance(x, Node)):
+        if k.tag in ("dt", "dd"):
+            if text := re.sub(r"\s+", " ", _inline(k)).strip():
+                line = f"**{text}**" if k.tag == "dt" else f"  {text}"
+                out[-1:] = [out[-1] + "\n" + line] if tight else [*out[-1:], line]
+                tight = True
+        elif k.tag not in IGNORED:
+            out += (held := _blocks(k, depth))
+            tight = tight and not held
+    return out
+
+
 def _blocks(node: Node, depth: int = 0) -> list[str]:
     out: list[str] = []
     run = Node("run")
@@ -186,8 +201,8 @@ def _blocks(node: Node, depth: int = 0) -> list[str]:
         elif k.tag == "table":
             if table := _table(k):
                 out.append(table)
-        elif k.tag == "dt":
-            out += [f"**{x}**" for x in _blocks(k, depth)]
+        elif k.tag == "dl":
+            out += _definitions(k, depth)
         else:
             out += _blocks(k, depth)
     flush()

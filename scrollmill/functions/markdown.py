@@ -63,6 +63,11 @@ def iso_stamp(ts: Column) -> Column:
     return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+0000'")
 
 
+def fallback_name(ts: Column) -> Column:
+    """The name of what has no title, by its time."""
+    return F.concat(F.lit("clipboard_save_"), F.date_format(ts, "yyyy-MM-dd_HH-mm-ss"))
+
+
 def typed_name(typed: Column, suggested: Column, clean) -> Column:
     """What was typed, made safe by ``clean``, with the suggestion's extension if it has none; the suggestion if nothing is left; null if that is unusable."""
     cleaned = clean(F.regexp_replace(typed, r"^\s+|\s+$", ""))

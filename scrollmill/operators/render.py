@@ -188,6 +188,22 @@ def upsert_sections(notes: DataFrame, sections: DataFrame, path: str = "path", o
     return met.select(path, folded.alias("f")).select(path, "f.actions", "f.note")
 
 
+def strip_sections(notes: DataFrame, keys: DataFrame, path: str = "path") -> DataFrame:
+    """(path, note) of ``notes(path, note)`` without the sections that ``keys(path, key)`` names, all else as it stood; null where none of them is in the note.
+
+    Only sections with an end go. A note without a key in ``keys`` has no row.
+    """
+    wanted = keys.groupBy(path).agg(F.array_sort(F.collect_set(F.col("key").cast("string"))).alias("k"))
+
+    def without(note: Column, key: Column) -> Column:
+        start = F.position(F.concat(F.lit("<!-- section:"), key, F.lit(" -->")), note)
+        end = F.when(start > 0, F.position(F.lit(_END), note, start)).otherwise(0)
+        return _let(F.struct(start.alias("s"), end.alias("e")), lambda at: F.when(at["e"] > 0, F.concat(F.substring(note, F.lit(1), at["s"] - 1), F.substring(note, at["e"] + len(_END), F.length(note)))).otherwise(note))
+
+    left = F.aggregate("k", F.col("note"), without)
+    return notes.join(wanted, path).select(path, left.alias("left"), "note").select(path, F.when(F.col("left") != F.col("note"), F.col("left")).alias("note"))
+
+
 def daily_notes(sections: DataFrame) -> DataFrame:
     """(day, note) from sections(day, key, seq, title, body): of each key the last section, at the place of its first.
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..schemas import CONVERSATION, REQUEST, TURN
+from ..sources.store import exists
 from .archive import numbered
 
 VERSION = 1
@@ -81,6 +82,46 @@ def resolve_destination(requests: DataFrame, presets: dict[str, tuple[str, str]]
     return requests.withColumn("folder", found["folder"]).withColumn("behaviour", found["behaviour"])
 
 
+PRESETS = "name string, path string, behaviour string"
+
+
+def read_presets(spark: SparkSession, path: str) -> DataFrame:
+    """(place, name, path, behaviour) of a file with a JSON array of presets, in its order; none if the file is missing or any of it is no preset."""
+    none = spark.createDataFrame([], f"place int, {PRESETS}")
+    if not exists(spark, path):
+        return none
+    held = spark.read.text(path, wholetext=True).select(F.from_json("value", f"array<struct<{', '.join(c.replace(' ', ':') for c in PRESETS.split(', '))}>>").alias("p"))
+    good = held.where(F.col("p").isNotNull() & ~F.exists("p", lambda x: x["name"].isNull() | x["path"].isNull() | x["behaviour"].isNull()))
+    return good.select(F.posexplode("p").alias("place", "x")).select("place", "x.*")
+
+
+def resolve_presets(requests: DataFrame, presets: DataFrame, default: str | None) -> DataFrame:
+    """``requests(preset, destination, ...)`` with folder, behaviour and configured: of the path that they name (a file a conversation), else of their preset, else of the first preset, else the default folder.
+
+    A behaviour that is not known is a file a conversation. configured is false for the default folder. Of presets with one name
+    the first counts.
+    """
+    kind = F.when(F.col("behaviour").isin(*BEHAVIOURS), F.col("behaviour")).otherwise("separate")
+    of = presets.groupBy("name").agg(F.min_by(F.struct(F.col("path").alias("folder"), kind.alias("behaviour")), "place").alias("__named"))
+    first = presets.agg(F.min_by(F.struct(F.col("path").alias("folder"), kind.alias("behaviour")), "place").alias("__first"))  # one row
+    met = requests.join(of.withColumnRenamed("name", "preset"), "preset", "left").crossJoin(F.broadcast(first))
+    own = F.when(F.coalesce("destination", F.lit("")) != "", F.struct(F.col("destination").alias("folder"), F.lit("separate").alias("behaviour")))
+    found = F.coalesce(own, "__named", "__first")
+    folder = F.coalesce(found["folder"], F.lit(default))
+    return met.withColumns({"folder": folder, "behaviour": F.coalesce(found["behaviour"], F.lit("separate")), "configured": found.isNotNull()}).drop("__named", "__first")
+
+
+def check_destinations(requests: DataFrame, folders: DataFrame) -> DataFrame:
+    """``requests(folder, configured, ...)`` with error, from folders(folder, is_directory, writable) that are there: null, or what is wrong.
+
+    ``noDestination``: nothing is configured and the default folder is not there; it is not made unasked. ``unwritable``: a folder
+    that is configured is missing, is none, or can't be written.
+    """
+    there = folders.groupBy("folder").agg(F.min(F.col("is_directory") & F.col("writable")).alias("__good"))
+    error = F.when(F.col("__good").isNull() & ~F.col("configured"), "noDestination").when(~F.coalesce("__good", F.lit(False)), "unwritable")
+    return requests.join(there, "folder", "left").withColumn("error", error).drop("__good")
+
+
 def file_name(title: Column, day: Column, behaviour: Column, log: str = "log") -> Column:
     """The title's name, the day's note, or the log; a title that leaves nothing is named by the day."""
     name = F.coalesce(F.nullif(T.safe_filename(title), F.lit("")), day)

@@ -344,6 +344,37 @@ def applied_decisions(spark, d):
     return told.select("conv_id", "action").join(read, "conv_id", "left")
 
 
+@query(
+    "resolved_destinations",
+    """WITH p AS (SELECT min(doc_id) AS place, lang AS name, '/notes/' || lang AS path, CASE lang WHEN 'en' THEN 'daily' WHEN 'fr' THEN 'append' ELSE 'else' END AS behaviour FROM documents GROUP BY lang
+), r AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN lang WHEN 1 THEN 'unknown' END AS preset, CASE WHEN doc_id % 6 = 5 THEN '/own/' || source END AS destination FROM documents
+), f AS (SELECT doc_id, CASE WHEN destination IS NOT NULL THEN destination ELSE coalesce(a.path, o.path) END AS folder, CASE WHEN destination IS NOT NULL THEN 'separate' ELSE replace(coalesce(a.behaviour, o.behaviour), 'else', 'separate') END AS behaviour FROM r LEFT JOIN p a ON a.name = r.preset, (SELECT path, behaviour FROM p ORDER BY place LIMIT 1) o)
+SELECT doc_id, folder, behaviour, CASE WHEN folder = '/notes/de' OR starts_with(folder, '/own/') AND folder <> '/own/src0' THEN 'unwritable' END AS error FROM f""",
+)
+def resolved_destinations(spark, d):
+    """Requests with a preset, an unknown one, none, or a path; one preset's folder can't be written, and of the paths only one is there."""
+    docs = src.documents(spark, d)
+    presets = docs.groupBy(F.col("lang").alias("name")).agg(F.min("doc_id").alias("place")).select("place", "name", F.concat(F.lit("/notes/"), "name").alias("path"), F.when(F.col("name") == "en", "daily").when(F.col("name") == "fr", "append").otherwise("else").alias("behaviour"))
+    k = F.col("doc_id")
+    requests = docs.select("doc_id", F.when(k % 3 == 0, F.col("lang")).when(k % 3 == 1, "unknown").alias("preset"), F.when(k % 6 == 5, F.concat(F.lit("/own/"), "source")).alias("destination"))
+    there = presets.select(F.col("path").alias("folder"), F.lit(True).alias("is_directory"), (F.col("name") != "de").alias("writable")).unionByName(docs.where("source = 'src0'").select(F.lit("/own/src0").alias("folder"), F.lit(True).alias("is_directory"), F.lit(True).alias("writable")).distinct())
+    return V.check_destinations(V.resolve_presets(requests, presets, "/default"), there).select("doc_id", "folder", "behaviour", "error")
+
+
+@query("stripped_notes", "SELECT user_id, CASE WHEN user_id % 3 <> 0 THEN 'Mine.' || chr(10) || '<!-- section:' || (user_id + 1) || ' -->' || chr(10) || '## other' || chr(10) || chr(10) || max(event_type) || chr(10) || '<!-- /section -->' || chr(10) || chr(10) || 'End.' END AS note FROM events GROUP BY user_id")
+def stripped_notes(spark, d):
+    """A note of each user with a section of theirs, but for each third, and one of another: the own one goes."""
+    u = src.events(spark, d).groupBy("user_id").agg(F.max("event_type").alias("title"))
+    own = F.when(F.col("user_id") % 3 != 0, R.section(F.col("user_id"), F.col("title"), F.lit("text"))).otherwise("")
+    note = F.concat(F.lit("Mine.\n"), R.section(F.col("user_id") + 1, F.lit("other"), F.col("title")), F.lit("\n"), own, F.lit("\nEnd."))
+    return R.strip_sections(u.select("user_id", note.alias("note")), u.select("user_id", F.col("user_id").alias("key")), "user_id")
+
+
+@query("fallback_names", "SELECT event_id, 'clipboard_save_' || strftime(ts, '%Y-%m-%d_%H-%M-%S') AS name FROM events")
+def fallback_names(spark, d):
+    return src.events(spark, d).select("event_id", M.fallback_name(F.col("ts").cast("timestamp")).alias("name"))
+
+
 # -- files ------------------------------------------------------------------------------------------------------------
 @query("fanned_out", "WITH x AS (SELECT doc_id, lang || '.md' AS name, unnest(['first', 'second', 'third']) AS folder FROM documents) SELECT doc_id, folder, CASE WHEN folder = 'first' OR r = 1 THEN name ELSE replace(name, '.md', '') || ' (' || r || ').md' END AS final FROM (SELECT *, row_number() OVER (PARTITION BY folder, name ORDER BY doc_id) + CASE WHEN folder = 'third' AND name IN (SELECT DISTINCT lang || '.md' FROM documents WHERE doc_id % 2 = 0) THEN 1 ELSE 0 END AS r FROM x)")
 def fanned_out(spark, d):

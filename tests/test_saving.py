@@ -85,3 +85,33 @@ def test_several_sections_of_one_note(spark):
     assert got["q"] == (["insert", "insert"], f"# q\n\n{s(5, 'Q', 'x')}\n\n{s(6, 'Q', 'y')}\n") and got["r"][1] == f"# r\n\n{s(7, 'R', 'z')}\n"
     again = {r["path"]: (r["actions"], r["note"]) for r in R.upsert_sections(out.select("path", "note"), sections.where("key <> 2")).collect()}
     assert all(set(again[p][0]) == {"unchanged"} and again[p][1] == got[p][1] for p in "pqr")
+
+
+def test_presets_and_checks(spark, tmp_path):
+    good = [{"name": "day", "path": "/d", "behaviour": "daily"}, {"name": "odd", "path": "/o", "behaviour": "dance"}, {"name": "day", "path": "/later", "behaviour": "append"}]
+    (tmp_path / "good.json").write_text(json.dumps(good, indent=1))
+    (tmp_path / "bad.json").write_text(json.dumps([*good, {"name": "no path"}]))
+    (tmp_path / "broken.json").write_text("[{")
+    read = lambda n: V.read_presets(spark, f"file://{tmp_path}/{n}")
+    assert [tuple(r) for r in read("good.json").orderBy("place").collect()] == [(k, *p.values()) for k, p in enumerate(good)]
+    assert [read(n).count() for n in ("bad.json", "broken.json", "none.json")] == [0, 0, 0]
+    rows = spark.createDataFrame([(1, "day", None), (2, "odd", ""), (3, "unknown", None), (4, None, None), (5, "day", "/own")], "k int, preset string, destination string")
+    with_presets = {r["k"]: (r["folder"], r["behaviour"], r["configured"]) for r in V.resolve_presets(rows, read("good.json"), "/default").collect()}
+    assert with_presets == {1: ("/d", "daily", True), 2: ("/o", "separate", True), 3: ("/d", "daily", True), 4: ("/d", "daily", True), 5: ("/own", "separate", True)}
+    without = V.resolve_presets(rows, read("none.json"), "/default")
+    assert {r["k"]: (r["folder"], r["configured"]) for r in without.collect()} == {1: ("/default", False), 2: ("/default", False), 3: ("/default", False), 4: ("/default", False), 5: ("/own", True)}
+    there = spark.createDataFrame([("/d", True, True), ("/o", True, False), ("/own", False, True)], "folder string, is_directory boolean, writable boolean")
+    told = lambda d: {r["k"]: r["error"] for r in V.check_destinations(d, there).collect()}
+    assert told(V.resolve_presets(rows, read("good.json"), "/default")) == {1: None, 2: "unwritable", 3: None, 4: None, 5: "unwritable"}
+    assert told(without) == {1: "noDestination", 2: "noDestination", 3: "noDestination", 4: "noDestination", 5: "unwritable"}
+
+
+def test_stripped_sections_and_definitions(spark):
+    from scrollmill.functions.html import to_markdown
+    from scrollmill.operators import render as R
+
+    s = lambda key: f"<!-- section:{key} -->\n## T\n\nbody\n<!-- /section -->"
+    notes = spark.createDataFrame([("p", f"a\n{s(1)}\nb\n{s(2)}\nc"), ("q", "nothing"), ("r", "<!-- section:1 -->\nnever closed"), ("s", s(1))], "path string, note string")
+    keys = spark.createDataFrame([("p", 1), ("p", 2), ("p", 9), ("q", 1), ("r", 1)], "path string, key int")
+    assert {r["path"]: r["note"] for r in R.strip_sections(notes, keys).collect()} == {"p": "a\n\nb\n\nc", "q": None, "r": None}
+    assert to_markdown("<dl><dt>Term</dt><dd>what <b>it</b>\n means</dd><dt>Next</dt><dd>more</dd></dl><p>after</p>") == "**Term**\n  what **it** means\n**Next**\n  more\n\nafter"
