@@ -97,18 +97,19 @@ def _lower(text: Column) -> Column:
 def find_votes(docs: DataFrame, templates: list[Template]) -> DataFrame:
     """(row, doc_id, n_words, p, template, label, base, size, k, t), written once: for each row of docs one with p = -1 and the rest null, and one for each vote, p its word."""
     words = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.array_remove(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), BETWEEN), "").alias("w"))
-    # The gram at each word, of fewer words at the end; the shorter gram is its beginning. In front stands the text itself.
+    # The gram at each word, of fewer words at the end; the shorter gram is its beginning. In front stands the text itself, as a gram
+    # without words, which meets a template of its own: so all rows come out of one inner join.
     long = F.transform("w", lambda x, i: F.concat_ws(" ", x, *(F.get("w", i + j) for j in range(1, MANY))))
-    cut = words.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.concat(F.array(F.lit(None).cast("string")), long).alias("g"))
+    cut = words.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.concat(F.array(F.lit("")), long).alias("g"))
     each = cut.select("row", "doc_id", "n_words", F.posexplode("g").alias("p", "long"))
     each = each.select("row", "doc_id", "n_words", (F.col("p") - 1).alias("p"), F.inline(F.array(F.struct(F.lit(MANY).alias("of"), F.col("long").alias("g")), F.struct(F.lit(FEW).alias("of"), F.substring_index("long", " ", FEW).alias("g")))))
-    each = each.where((F.col("p") >= 0) | (F.col("of") == MANY))
     grams = template_grams(docs.sparkSession, templates)
+    none = grams.sparkSession.range(1).select(*(F.lit(None).cast(grams.schema[c].dataType).alias(c) for c in grams.columns[:-2]), F.lit("").alias("gram"), F.xxhash64(F.lit(MANY), F.lit("")).alias("hash"))
+    grams = grams.unionByName(none)
     if sum(len(x.text.split(" ")) for x in templates) <= BROADCAST_WORDS:
         grams = F.broadcast(grams)
     # Hashed as lower-cased by Unicode, which is quick and at most joins more; the words decide, by A-Z alone.
-    met = each.join(grams, (F.xxhash64("of", F.lower("g")) == F.col("hash")) & (_lower(F.col("g")) == F.col("gram")), "left")
-    met = met.where((F.col("p") < 0) | F.col("template").isNotNull())
+    met = each.join(grams, (F.xxhash64("of", F.lower("g")) == F.col("hash")) & (_lower(F.col("g")) == F.col("gram")))
     return settle(met.select("row", "doc_id", "n_words", "p", "template", "label", "base", "size", "k", "t"), "votes")
 
 
