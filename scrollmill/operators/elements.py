@@ -25,6 +25,8 @@ from ..functions.markdown import believed_name, wrapped_math
 from ..functions.text import parse_size
 
 TEXT = "#text"
+#: Nodes that a task holds before it hands them on, beside those of one page.
+HELD = 10_000
 _NODE = "id int, last int, tag string, attrs map<string,string>, text string"
 
 
@@ -40,10 +42,15 @@ def elements(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            owners, nodes = [], []
             for k, html in enumerate(batch.column("html")):
-                nodes = flat_nodes(html.as_py() or "")
-                columns = [pa.array(c, t) for c, t in zip(zip(*nodes, strict=True), arrow.values(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array([k] * len(nodes))), *columns], [key, *arrow])
+                found = flat_nodes(html.as_py() or "")
+                owners += [k] * len(found)
+                nodes += found
+                if len(nodes) >= HELD or k + 1 == batch.num_rows:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*nodes, strict=True), arrow.values(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(owners)), *columns], [key, *arrow])
+                    owners, nodes = [], []
 
     return pages.select(key, "html").mapInArrow(run, schema)
 

@@ -4,7 +4,6 @@ import struct
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from scrollmill.operators import harvest as H
 from scrollmill.sources.files import FRAME_LIMIT, frames
