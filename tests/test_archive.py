@@ -82,6 +82,10 @@ def test_frontmatter(spark):
         ("<table><tr><td></td></tr></table>", None),
         ("<h2>T</h2><p>x &amp; y</p><script>1</script>", "## T\n\nx & y"),
         ("<p>a<p>b", "a\n\nb"),
+        ("<p>a &amp b &ampx; &lt;&#x27;&eacute; &quot</p>", "a &amp b &ampx; <'é &quot"),
+        ("<p>&nope; &notit; x && y &amp;amp;</p>&copy", "&nope; &notit; x && y &amp;\n\n&copy"),
+        ('<a href="/u?a=1&copy=2&amp;b">w&#</a>', "[w&#](/u?a=1&copy=2&b)"),
+        ("<pre><code>\ue000 & &am</code></pre>", "```\n\ue000 & &am\n```"),
         ('<a href="javascript:x">t</a> <a href="/u v">w</a>', "t [w](/u%20v)"),
         ("<pre><code class='language-py'>x = 1</code></pre>", "```py\nx = 1\n```"),
         ("", None),

@@ -36,6 +36,27 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() >= 0
 
 
+#: Headings and paragraphs that are cut within a reference, as some pages have them.
+CUT = ["Tea &amp;&amp", "Tea &quo", "&lt", "&#x27;a&#x27", "&amp;lt; &amp;quot;&quot", "a && b &", "&ampx; &gt;&gt", "<b>R&amp;D</b> &amp"]
+
+
+@pytest.fixture(scope="module")
+def cut_pages(tmp_path_factory):
+    import pandas as pd
+
+    d = str(tmp_path_factory.mktemp("cut"))
+    pages = [(k, f"https://example.net/{k}", f"<html><body><article><h1>{x}</h1><p>{x}</p></article></body></html>") for k, x in enumerate(CUT)]
+    pd.DataFrame(pages, columns=["page_id", "url", "html"]).to_parquet(f"{d}/pages.parquet")
+    return d
+
+
+def test_page_turns_of_cut_references(spark, cut_pages):
+    with duckdb.connect() as c:
+        c.execute(f"create view pages as select * from '{cut_pages}/pages.parquet'")
+        theirs = c.sql(ORACLES["page_turns"]).df()
+    assert len(theirs) == 2 * len(CUT) and rows(QUERIES["page_turns"](spark, cut_pages).toPandas()) == rows(theirs)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
