@@ -57,6 +57,13 @@ def test_page_turns_of_cut_references(spark, cut_pages):
     assert len(theirs) == 2 * len(CUT) and rows(QUERIES["page_turns"](spark, cut_pages).toPandas()) == rows(theirs)
 
 
+def test_recovered_math_of_cut_references(spark, cut_pages):
+    with duckdb.connect() as c:
+        c.execute(f"create view pages as select * from '{cut_pages}/pages.parquet'")
+        theirs = c.sql(ORACLES["recovered_math"]).df()
+    assert len(theirs) == len(CUT) and rows(QUERIES["recovered_math"](spark, cut_pages).toPandas()) == rows(theirs)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
