@@ -12,6 +12,7 @@ A page is parsed once, in the task that reads it. A page is one partition's work
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,10 +31,10 @@ HELD = 10_000
 _NODE = "id int, last int, tag string, attrs map<string,string>, text string"
 
 
-def elements(pages: DataFrame, key: str = "page_id") -> DataFrame:
+def elements(pages: DataFrame, key: str = "page_id", depth: float = math.inf) -> DataFrame:
     """(key, id, last, tag, attrs, text) of every element and text of ``pages(key, html)``; texts have the tag ``#text``.
 
-    A null page has only its root, number 0.
+    A null page has only its root, number 0. What is nested deeper than ``depth``, the root included, lies side by side.
     """
     schema = StructType.fromJson(pages.select(key).schema.jsonValue())
     for f in StructType.fromDDL(_NODE).fields:
@@ -44,7 +45,7 @@ def elements(pages: DataFrame, key: str = "page_id") -> DataFrame:
         for batch in batches:
             owners, nodes = [], []
             for k, html in enumerate(batch.column("html")):
-                found = flat_nodes(html.as_py() or "")
+                found = flat_nodes(html.as_py() or "", depth)
                 owners += [k] * len(found)
                 nodes += found
                 if len(nodes) >= HELD or k + 1 == batch.num_rows:

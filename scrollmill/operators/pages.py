@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.html import CHROME_CLASSES, CHROME_HINTS, CHROME_TAGS, region_markdown
+from ..functions.html import CHROME_CLASSES, CHROME_HINTS, CHROME_TAGS, DEPTH, region_markdown
 from ..functions.text import strip_site
 from ..sources.store import settle
 from .elements import TEXT, elements
@@ -133,7 +133,7 @@ def find_content(pages: DataFrame) -> DataFrame:
     neither, scored with all that it holds, the first of equal ones. Repeated and null ids do no harm; a null page has no region.
     """
     held = _numbered(pages)
-    nodes = settle(elements(held, _ROW), "elements")
+    nodes = settle(elements(held, _ROW, DEPTH), "elements")
     return held.join(_regions(nodes, _ROW), _ROW).select(*pages.columns, "region", "score", "length", "title")
 
 

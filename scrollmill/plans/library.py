@@ -120,7 +120,7 @@ _PAGE_TURNS = r"""a AS (SELECT page_id, string_split(regexp_extract(html, '(?s)<
 
 def _nodes(spark, d):
     """The elements of the pages as they are now: parsed once, by the first query of them. The name tells tables of an earlier parser apart."""
-    return store.kept(spark, f"elements-2-{store.version_of(spark, f'{d}/pages.parquet')}", lambda: E.elements(src.spread(src.pages(spark, d))))
+    return store.kept(spark, f"elements-3-{store.version_of(spark, f'{d}/pages.parquet')}", lambda: E.elements(src.spread(src.pages(spark, d))))
 
 
 @query("page_elements", "SELECT page_id, tag, count(*)::BIGINT AS n FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?s)<script>.*?</script>', '<script>'), '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY page_id, tag")

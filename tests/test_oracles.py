@@ -57,6 +57,18 @@ def test_page_turns_of_cut_references(spark, cut_pages):
     assert len(theirs) == 2 * len(CUT) and rows(QUERIES["page_turns"](spark, cut_pages).toPandas()) == rows(theirs)
 
 
+def test_page_turns_nested_deeply(spark, tmp_path):
+    """Paragraphs with bold text that is never closed lie within each other, 200 and more; what closes behind them is each its own."""
+    import pandas as pd
+
+    body = "<h1>T</h1>" + "".join(f"<p><b>open {k}.<br>" + f"<p>closed {k}.</p>" * (k % 3) for k in range(200)) + "<p>x.</p><p>y.</p>"
+    pd.DataFrame([(1, "https://example.net/1", f"<html><body><article>{body}</article></body></html>")], columns=["page_id", "url", "html"]).to_parquet(tmp_path / "pages.parquet")
+    with duckdb.connect() as c:
+        c.execute(f"create view pages as select * from '{tmp_path}/pages.parquet'")
+        theirs = c.sql(ORACLES["page_turns"]).df()
+    assert len(theirs) > 400 and rows(QUERIES["page_turns"](spark, str(tmp_path)).toPandas()) == rows(theirs)
+
+
 def test_recovered_math_of_cut_references(spark, cut_pages):
     with duckdb.connect() as c:
         c.execute(f"create view pages as select * from '{cut_pages}/pages.parquet'")
